@@ -2,7 +2,9 @@
 
 from screenloom.plans import (  # noqa: F401
     cleaning_queries,
+    feature_queries,
     metric_queries,
+    rule_queries,
     split_queries,
 )
 from screenloom.plans.registry import ORACLES, QUERIES

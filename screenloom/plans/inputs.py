@@ -161,10 +161,11 @@ def _notation(number: Column) -> Column:
     return F.translate(number.cast("string"), "0123456789", "Cc()1=ON2S")
 
 
-def described_orders(spark: SparkSession, sf: str) -> DataFrame:
+def describe(orders: DataFrame) -> DataFrame:
+    """Properties, motif flags and a score for every order, batch or stream."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     priority = F.col("o_orderpriority")
-    return read_table(spark, sf, "orders").select(
+    return orders.select(
         key.alias("row_id"),
         _notation(key * 7919).alias("input_smiles"),
         (F.col("o_totalprice") / 487.3).alias("MolWt"),
@@ -183,10 +184,16 @@ def described_orders(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def described_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return describe(read_table(spark, sf, "orders"))
+
+
+def screen_notation(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("canonical_smiles", notation_key(F.col("input_smiles")))
+
+
 def screened_orders(spark: SparkSession, sf: str) -> DataFrame:
-    return described_orders(spark, sf).withColumn(
-        "canonical_smiles", notation_key(F.col("input_smiles"))
-    )
+    return screen_notation(described_orders(spark, sf))
 
 
 # --- parts read as graphs: line numbers are atoms ---------------------------------
