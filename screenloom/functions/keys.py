@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,15 @@ def text_key(text: Column) -> Column:
     return F.when(flat != "", flat)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression named inside the lambda of an array function is evaluated for
+    every element; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def key_digest(key: Column) -> Column:
     """128-bit stand-in for a long key, so that shuffles carry 32 bytes, not the text."""
     return F.md5(key)
@@ -69,9 +80,14 @@ def notation_key(text: Column) -> Column:
     return F.when(notation_is_valid(text), F.trim(text))
 
 
-def hash_int(text: Column, first_hex: int = 1, digits: int = 8) -> Column:
-    """``digits`` hex digits of the text's md5 as a non-negative BIGINT."""
-    return F.conv(F.substring(F.md5(text), first_hex, digits), 16, 10).cast("bigint")
+def hex_int(hexes: Column, first: int = 1, digits: int = 8) -> Column:
+    """A run of hex digits as a non-negative BIGINT."""
+    return F.conv(F.substring(hexes, first, digits), 16, 10).cast("bigint")
+
+
+def hash_int(text: Column, first: int = 1, digits: int = 8) -> Column:
+    """A run of digits of the text's md5 as a non-negative BIGINT."""
+    return hex_int(F.md5(text), first, digits)
 
 
 def seeded_hash(seed: int, *parts: Column) -> Column:

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenloom import constants as K
-from screenloom.functions.keys import hash_int
+from screenloom.functions.keys import hash_int, hex_int
+from screenloom.session import stored
 
 ENTITY, ATOM = "entity_id", "atom_id"
 
@@ -84,7 +85,7 @@ def bit_provenance(
     rounds = F.array(
         *[
             F.struct(
-                (hash_int(F.col(f"h{r}")) % n_bits).cast("int").alias("bit"),
+                (hex_int(F.col(f"h{r}")) % n_bits).cast("int").alias("bit"),
                 F.lit(r).alias("radius"),
             )
             for r in range(radius + 1)
@@ -122,21 +123,20 @@ def graph_keys(atoms: DataFrame, bonds: DataFrame, radius: int = K.FP_RADIUS) ->
         .groupBy(ENTITY)
         .agg(
             F.count("*").alias("_n"),
-            F.sum(hash_int(F.col(h), 1)).alias("_s1"),
-            F.sum(hash_int(F.col(h), 9)).alias("_s2"),
+            F.sum(hex_int(F.col(h), 1)).alias("_s1"),
+            F.sum(hex_int(F.col(h), 9)).alias("_s2"),
         )
         .select(ENTITY, F.md5(_text(F.col("_n"), F.col("_s1"), F.col("_s2"))).alias("graph_key"))
     )
 
 
-def bit_atoms(asked: DataFrame, provenance: DataFrame, bonds: DataFrame, radius: int = K.FP_RADIUS) -> DataFrame:
-    """(entity_id, bit, atom_id): atoms in the union of the environments behind each asked bit.
+def _bit_hits(asked: DataFrame, provenance: DataFrame) -> DataFrame:
+    """Provenance of the asked bits; stored, as every round below reads it."""
+    return stored(asked.select(ENTITY, "bit").distinct().join(provenance, [ENTITY, "bit"]), "hits")
 
-    The frontier of a bit grows one bond per round and is made distinct each
-    time, so it never exceeds the atoms of the entity.
-    """
+
+def _grow(hits: DataFrame, bonds: DataFrame, radius: int) -> DataFrame:
     ends = bond_ends(bonds.select(ENTITY, "a", "b"))
-    hits = asked.select(ENTITY, "bit").distinct().join(provenance, [ENTITY, "bit"])
 
     def centers(r: int) -> DataFrame:
         return hits.filter(F.col("radius") == r).select(ENTITY, "bit", F.col("center").alias(ATOM))
@@ -148,31 +148,38 @@ def bit_atoms(asked: DataFrame, provenance: DataFrame, bonds: DataFrame, radius:
     return reached
 
 
+def bit_atoms(
+    asked: DataFrame, provenance: DataFrame, bonds: DataFrame, radius: int = K.FP_RADIUS
+) -> DataFrame:
+    """(entity_id, bit, atom_id): atoms in the union of the environments behind each asked bit.
+
+    The frontier of a bit grows one bond per round and is made distinct each
+    time, so it never exceeds the atoms of the entity.
+    """
+    return _grow(_bit_hits(asked, provenance), bonds, radius)
+
+
 def map_bits(
     asked: DataFrame, provenance: DataFrame, bonds: DataFrame, radius: int = K.FP_RADIUS
 ) -> DataFrame:
     """Per asked (entity_id, bit): number of environments and of atoms, and a note.
 
-    A bit the entity does not set keeps its row.  Join ``bit_atoms`` for the
-    atoms themselves.
+    A bit the entity does not set keeps its row.  ``bit_atoms`` gives the atoms
+    themselves.
     """
-    wanted = asked.select(ENTITY, "bit").distinct()
-    environments = (
-        wanted.join(provenance, [ENTITY, "bit"])
-        .groupBy(ENTITY, "bit")
-        .agg(F.count("*").alias("n_environments"))
-    )
-    atoms = (
-        bit_atoms(asked, provenance, bonds, radius)
-        .groupBy(ENTITY, "bit")
-        .agg(F.count("*").alias("n_atoms"))
-    )
-    active = F.col("n_environments") > 0
+    hits = _bit_hits(asked, provenance)
+    environments = hits.groupBy(ENTITY, "bit").agg(F.count("*").alias("n_environments"))
+    atoms = _grow(hits, bonds, radius).groupBy(ENTITY, "bit").agg(F.count("*").alias("n_atoms"))
     return (
-        wanted.join(environments, [ENTITY, "bit"], "left")
+        asked.select(ENTITY, "bit")
+        .distinct()
+        .join(environments, [ENTITY, "bit"], "left")
         .join(atoms, [ENTITY, "bit"], "left")
         .fillna(0, ["n_environments", "n_atoms"])
-        .withColumn("note", F.when(active, K.NOTE_ACTIVE_BIT).otherwise(K.NOTE_INACTIVE_BIT))
+        .withColumn(
+            "note",
+            F.when(F.col("n_environments") > 0, K.NOTE_ACTIVE_BIT).otherwise(K.NOTE_INACTIVE_BIT),
+        )
     )
 
 

@@ -4,6 +4,7 @@ from screenloom.plans import (  # noqa: F401
     cleaning_queries,
     feature_queries,
     metric_queries,
+    model_queries,
     rule_queries,
     split_queries,
 )

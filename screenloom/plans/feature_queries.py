@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from screenloom.functions.keys import text_key
 from screenloom.operators import features, graph
 from screenloom.plans import inputs as I
 from screenloom.plans.registry import query
-from screenloom.session import scratch_path
+from screenloom.session import scratch_path, spread, stored
 from screenloom.sources import records
 from screenloom.sources.tables import read_table
 
@@ -43,7 +44,7 @@ bits AS (
     f"WITH {_SQL_SHINGLES} SELECT doc_id, string_agg(bit, ',' ORDER BY bit) AS bits, count(*) AS n_bits FROM bits GROUP BY doc_id",
 )
 def shingle_fp(spark: SparkSession, sf: str) -> DataFrame:
-    rows = read_table(spark, sf, "documents").select(
+    rows = spread(read_table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", features.shingle_bits(F.col("text")).alias("b")
     )
     return rows.select("doc_id", _bits_text("b").alias("bits"), F.size("b").cast("bigint").alias("n_bits"))
@@ -56,23 +57,25 @@ def shingle_fp(spark: SparkSession, sf: str) -> DataFrame:
 )
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
     """Sparse combined vectors (2,048 bits + 2 descriptors), stored and read back."""
-    docs = read_table(spark, sf, "documents").select(
+    texts = spread(read_table(spark, sf, "documents").select("doc_id", "text", "n_chars"))
+    docs = texts.select(
         "doc_id",
         F.col("n_chars").cast("double").alias("n_chars"),
         (F.size(F.split(text_key(F.col("text")), " ")) + 0.0).alias("n_words"),
         features.shingle_bits(F.col("text")).alias("bits"),
     )
+    # A filter on a computed column would compute it twice; bits are stored first.
+    docs = stored(docs, "bits")
     table = features.assemble_features(docs, "combined", descriptors=["n_chars", "n_words"])
     path = scratch_path(spark, "features")
     records.write_features(table.select("doc_id", "bits", "features"), path)
-    stored = records.read_features(spark, path)
-    # The stored layout of a vector is not a SQL type; to_json shows its parts.
-    parts = F.from_json(F.to_json(F.struct("features")), "features STRUCT<size:INT,indices:ARRAY<INT>>")
-    return stored.select(
+    table = records.read_features(spark, path)
+    values = vector_to_array("features")
+    return table.select(
         "doc_id",
         F.size("bits").cast("bigint").alias("on_bits"),
-        parts["features"]["size"].alias("width"),
-        F.size(parts["features"]["indices"]).cast("bigint").alias("n_nonzero"),
+        F.size(values).alias("width"),
+        F.size(F.filter(values, lambda v: v != 0)).cast("bigint").alias("n_nonzero"),
     )
 
 
@@ -100,6 +103,12 @@ def lexical_descriptors(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- graphs ---------------------------------------------------------------------
 
+def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Atoms and bonds as stored tables: every round reads them several times."""
+    atoms, bonds = I.part_graph(spark, sf)
+    return stored(atoms, "atoms"), stored(bonds, "bonds")
+
+
 _H = "('0x' || substr(md5({x}), {at}, 8))::BIGINT"
 
 
@@ -119,18 +128,16 @@ a{r} AS (
 """
 
 
-_SQL_HASHES = (
-    "WITH "
-    + I.SQL_GRAPH
-    + """,
+_HASH_STEPS = (
+    """
 a0 AS (SELECT entity_id, atom_id, md5(concat_ws('|', element, CAST(charge AS VARCHAR), CAST(n_h AS VARCHAR),
          CAST(aromatic::INT AS VARCHAR))) AS h0 FROM atoms),"""
     + _sql_round(1)
     + ","
     + _sql_round(2)
 )
-_SQL_PROVENANCE = (
-    _SQL_HASHES
+_PROVENANCE_STEPS = (
+    _HASH_STEPS
     + """,
 provenance AS (
   SELECT entity_id, CAST(('0x' || substr(h, 1, 8))::BIGINT % 2048 AS INTEGER) AS bit, atom_id AS center, radius
@@ -139,6 +146,8 @@ provenance AS (
 )
 """
 )
+_SQL_HASHES = f"WITH {I.SQL_GRAPH}, {_HASH_STEPS}"
+_SQL_PROVENANCE = f"WITH {I.SQL_GRAPH}, {_PROVENANCE_STEPS}"
 
 
 @query(
@@ -148,23 +157,23 @@ provenance AS (
     SELECT entity_id, string_agg(bit, ',' ORDER BY bit) AS bits FROM f GROUP BY entity_id""",
 )
 def neighborhood_fp(spark: SparkSession, sf: str) -> DataFrame:
-    atoms, bonds = I.part_graph(spark, sf)
+    atoms, bonds = _graph(spark, sf)
     return graph.fingerprints(atoms, bonds).select("entity_id", _bits_text("bits").alias("bits"))
 
 
 @query("fp_provenance", _SQL_PROVENANCE + "SELECT entity_id, bit, center, radius FROM provenance")
 def fp_provenance(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.bit_provenance(*I.part_graph(spark, sf))
+    return graph.bit_provenance(*_graph(spark, sf))
 
 
 @query(
     "graph_key",
     _SQL_HASHES
-    + f"""SELECT entity_id, md5(concat_ws('|', CAST(count(*) AS VARCHAR), CAST(CAST(sum({_H.format(x="h2", at=1)}) AS BIGINT) AS VARCHAR),
-      CAST(CAST(sum({_H.format(x="h2", at=9)}) AS BIGINT) AS VARCHAR))) AS graph_key FROM a2 GROUP BY entity_id""",
+    + """SELECT entity_id, md5(concat_ws('|', CAST(count(*) AS VARCHAR), CAST(CAST(sum(('0x' || substr(h2, 1, 8))::BIGINT) AS BIGINT) AS VARCHAR),
+      CAST(CAST(sum(('0x' || substr(h2, 9, 8))::BIGINT) AS BIGINT) AS VARCHAR))) AS graph_key FROM a2 GROUP BY entity_id""",
 )
 def graph_key(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.graph_keys(*I.part_graph(spark, sf))
+    return graph.graph_keys(*_graph(spark, sf))
 
 
 # Asked bits: the lowest on-bit of each part, and one bit that may be off.
@@ -206,15 +215,15 @@ def _asked(provenance: DataFrame) -> DataFrame:
     LEFT JOIN (SELECT entity_id, bit, count(*) AS n_atoms FROM reached GROUP BY ALL) r USING (entity_id, bit)""",
 )
 def bit_provenance(spark: SparkSession, sf: str) -> DataFrame:
-    atoms, bonds = I.part_graph(spark, sf)
-    provenance = graph.bit_provenance(atoms, bonds)
+    atoms, bonds = _graph(spark, sf)
+    provenance = stored(graph.bit_provenance(atoms, bonds), "provenance")
     return graph.map_bits(_asked(provenance), provenance, bonds)
 
 
 @query("bit_atoms", _SQL_PROVENANCE + _SQL_ASKED + "SELECT entity_id, bit, atom_id FROM reached")
 def bit_atoms(spark: SparkSession, sf: str) -> DataFrame:
-    atoms, bonds = I.part_graph(spark, sf)
-    provenance = graph.bit_provenance(atoms, bonds)
+    atoms, bonds = _graph(spark, sf)
+    provenance = stored(graph.bit_provenance(atoms, bonds), "provenance")
     return graph.bit_atoms(_asked(provenance), provenance, bonds)
 
 
@@ -256,8 +265,7 @@ descriptors AS (
 )
 
 
-def _part_descriptors(spark: SparkSession, sf: str) -> DataFrame:
-    atoms, bonds = I.part_graph(spark, sf)
+def _part_descriptors(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     kind = graph.atom_type(F.col("element"), F.col("aromatic"), F.col("n_h"))
     contributions = atoms.groupBy(kind.alias("atom_type")).agg(
         F.round(F.avg("atom_id") / 10.0 - 0.2, 4).alias("logp"),
@@ -269,12 +277,12 @@ def _part_descriptors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("descriptors", _SQL_DESCRIPTORS + "SELECT * FROM descriptors")
 def descriptors(spark: SparkSession, sf: str) -> DataFrame:
-    return _part_descriptors(spark, sf)
+    return _part_descriptors(*_graph(spark, sf))
 
 
 @query(
     "combined_features",
-    _SQL_PROVENANCE.replace("WITH ", _SQL_DESCRIPTORS + ",", 1).replace(I.SQL_GRAPH + ",", "", 1)
+    f"{_SQL_DESCRIPTORS}, {_PROVENANCE_STEPS}"
     + """, f AS (SELECT DISTINCT entity_id, bit FROM provenance),
     fp AS (SELECT entity_id, string_agg(bit, ',' ORDER BY bit) AS bits FROM f GROUP BY entity_id)
     SELECT * FROM fp JOIN (SELECT entity_id, "MolWt", "LogP", "HBD", "HBA", "TPSA", "RotatableBonds", "RingCount",
@@ -282,9 +290,9 @@ def descriptors(spark: SparkSession, sf: str) -> DataFrame:
 )
 def combined_features(spark: SparkSession, sf: str) -> DataFrame:
     """Entities valid in both families: one equi-join, no positions."""
-    atoms, bonds = I.part_graph(spark, sf)
+    atoms, bonds = _graph(spark, sf)
     fp = graph.fingerprints(atoms, bonds).select("entity_id", _bits_text("bits").alias("bits"))
-    desc = _part_descriptors(spark, sf).select("entity_id", *K.DESCRIPTOR_NAMES)
+    desc = _part_descriptors(atoms, bonds).select("entity_id", *K.DESCRIPTOR_NAMES)
     return fp.join(desc.dropna(), "entity_id")
 
 
@@ -318,7 +326,7 @@ amine AS (
       entity_id IN (SELECT entity_id FROM amine) AS ring_amine FROM (SELECT DISTINCT entity_id FROM atoms)""",
 )
 def motif_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.motif_flags(*I.part_graph(spark, sf))
+    return graph.motif_flags(*_graph(spark, sf))
 
 
 # --- scaling --------------------------------------------------------------------

@@ -56,3 +56,12 @@ def stored(df: DataFrame, kind: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores before costly per-row work.
+
+    Large tables have splits enough and pass through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
