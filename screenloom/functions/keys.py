@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLANKS = "[ \\t\\n\\r\\f\\x0B]+"
+# Single plain spaces are left alone: they need no replacing.
+_BLANKS = "[ \\t\\n\\r\\f\\x0B]{2,}|[\\t\\n\\r\\f\\x0B]"
 
 
 def text_key(text: Column) -> Column:
@@ -16,6 +18,11 @@ def text_key(text: Column) -> Column:
     return F.when(flat != "", flat)
 
 
+def has_text(text: Column) -> Column:
+    """Whether ``text_key`` would leave anything; stops at the first character that does."""
+    return F.coalesce(text.rlike("[^ \\t\\n\\r\\f\\x0B]"), F.lit(False))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row.
 
@@ -80,6 +87,22 @@ def notation_key(text: Column) -> Column:
     return F.when(notation_is_valid(text), F.trim(text))
 
 
+@dataclass(frozen=True)
+class KeyRule:
+    """A key's validity test and its canonical form (used on valid keys only).
+
+    They are kept apart because a filter on the canonical form would make Spark
+    compute that form twice, once to filter and once to show.
+    """
+
+    is_valid: Callable[[Column], Column]
+    canonical: Callable[[Column], Column]
+
+
+TEXT = KeyRule(has_text, text_key)
+NOTATION = KeyRule(notation_is_valid, F.trim)
+
+
 def hex_int(hexes: Column, first: int = 1, digits: int = 8) -> Column:
     """A run of hex digits as a non-negative BIGINT."""
     return F.conv(F.substring(hexes, first, digits), 16, 10).cast("bigint")
@@ -90,6 +113,16 @@ def hash_int(text: Column, first: int = 1, digits: int = 8) -> Column:
     return hex_int(F.md5(text), first, digits)
 
 
+def hash60(*parts: Column) -> Column:
+    """60-bit hash of the parts as a BIGINT: eight bytes to shuffle, not thirty-two."""
+    return hash_int(F.concat_ws("|", *[p.cast("string") for p in parts]), 1, 15)
+
+
+def halves(h: Column) -> list[Column]:
+    """Low and high 30 bits of a 60-bit hash; their sums stay exact for 2**33 terms."""
+    return [h.bitwiseAND(F.lit(2**30 - 1)), F.shiftright(h, 30)]
+
+
 def seeded_hash(seed: int, *parts: Column) -> Column:
     """Hex hash that orders rows at random but repeatably for a seed."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))

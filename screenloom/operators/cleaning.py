@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenloom import constants as K
-from screenloom.functions.keys import text_key
-from screenloom.operators.voting import resolve_labels
+from screenloom.functions.keys import TEXT, KeyRule, key_digest
+from screenloom.operators.voting import keep_voted, vote
 
 
 class TooFewRows(ValueError):
     """A gate found fewer rows than the job needs."""
 
 
-def tag_valid(
-    df: DataFrame, key: str = K.KEY, normalise: Callable[[Column], Column] = text_key
-) -> DataFrame:
+def tag_valid(df: DataFrame, key: str = K.KEY, rule: KeyRule = TEXT) -> DataFrame:
     """Replace the key by its canonical form (null if invalid) and add ``_valid``."""
-    return df.withColumn(key, normalise(F.col(key))).withColumn("_valid", F.col(key).isNotNull())
+    ok = rule.is_valid(F.col(key))
+    return df.select(
+        *[
+            F.when(ok, rule.canonical(F.col(c))).alias(c) if c == key else F.col(c)
+            for c in df.columns
+        ],
+        ok.alias("_valid"),
+    )
 
 
 def drop_invalid(df: DataFrame, key: str = K.KEY) -> DataFrame:
@@ -53,17 +56,36 @@ def require_rows(df: DataFrame, least: int, what: str = "dataset") -> DataFrame:
     return df
 
 
+def valid_rows(
+    df: DataFrame,
+    key: str = K.KEY,
+    label: str = K.LABEL,
+    rule: KeyRule = TEXT,
+    strict: bool = False,
+) -> DataFrame:
+    """Rows with a valid key, still as it came, and a 0/1 label."""
+    return binary_labels(drop_unlabelled(df.filter(rule.is_valid(F.col(key))), label), label, strict)
+
+
 def clean(
     df: DataFrame,
     key: str = K.KEY,
     label: str = K.LABEL,
     source: str = K.SOURCE,
     row_id: str = K.ROW_ID,
-    normalise: Callable[[Column], Column] = text_key,
+    rule: KeyRule = TEXT,
     strict: bool = False,
     min_rows: int | None = None,
 ) -> DataFrame:
-    """Validate, filter and resolve duplicates; one lazy plan unless ``min_rows`` is set."""
-    rows = drop_unlabelled(drop_invalid(tag_valid(df, key, normalise), key), label)
-    out = resolve_labels(binary_labels(rows, label, strict), key, label, source, row_id)
+    """Validate, filter and resolve duplicates; one lazy plan unless ``min_rows`` is set.
+
+    The canonical key is computed once for the vote, where only its digest goes
+    on, and once more for the rows that survive.
+    """
+    digests = valid_rows(df, key, label, rule, strict).select(
+        key_digest(rule.canonical(F.col(key))).alias("key_digest"), label, source, row_id
+    )
+    votes = vote(digests, "key_digest", label, source, row_id, hashed=True)
+    out = keep_voted(df, votes.drop("key_digest"), label, source, row_id)
+    out = out.withColumn(key, rule.canonical(F.col(key)))
     return out if min_rows is None else require_rows(out, min_rows, "cleaned dataset")

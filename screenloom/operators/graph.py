@@ -17,11 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenloom import constants as K
-from screenloom.functions.keys import hash_int, hex_int
+from screenloom.functions.keys import halves, hash60
 from screenloom.session import stored
 
 ENTITY, ATOM = "entity_id", "atom_id"
 
+# An atom with more bonds than this is a hub; its messages go out from HUB_SALTS copies.
+HUB_DEGREE = 1_000_000
+HUB_SALTS = 64
+MAX_HUBS = 1_000_000
+
 
 def bond_ends(bonds: DataFrame) -> DataFrame:
     """Each bond seen from both of its ends: (entity_id, atom_id, other, ...)."""
@@ -38,56 +43,111 @@ def bond_ends(bonds: DataFrame) -> DataFrame:
     )
 
 
-def _text(*parts: Column) -> Column:
-    return F.concat_ws("|", *[p.cast("string") for p in parts])
+def find_hubs(bonds: DataFrame, degree: int = HUB_DEGREE) -> DataFrame:
+    """(entity_id, atom_id) of atoms with more than ``degree`` bonds; usually none.
+
+    At most 2 * bonds / degree rows, so it is small enough to broadcast; the
+    number is checked.
+    """
+    hubs = stored(
+        bond_ends(bonds.select(ENTITY, "a", "b"))
+        .groupBy(ENTITY, ATOM)
+        .agg(F.count("*").alias("_degree"))
+        .filter(F.col("_degree") > degree)
+        .select(ENTITY, ATOM),
+        "hubs",
+    )
+    if hubs.limit(MAX_HUBS + 1).count() > MAX_HUBS:
+        raise ValueError(f"more than {MAX_HUBS} hubs; raise the degree")
+    return hubs
+
+
+def _salt(df: DataFrame, atom: str, hubs: DataFrame | None, salt: Column) -> DataFrame:
+    """Add ``_salt``: 0, or ``salt`` on rows that belong to a hub."""
+    if hubs is None:
+        return df.withColumn("_salt", F.lit(0))
+    marked = hubs.select(ENTITY, F.col(ATOM).alias(atom), F.lit(True).alias("_hub"))
+    joined = df.join(F.broadcast(marked), [ENTITY, atom], "left")
+    salts = F.when(F.col("_hub"), salt).otherwise(F.array(F.lit(0)))
+    return joined.withColumn("_salt", F.explode(salts)).drop("_hub")
 
 
-def environment_hashes(atoms: DataFrame, bonds: DataFrame, radius: int = K.FP_RADIUS) -> DataFrame:
-    """One row per atom with ``h0`` .. ``h<radius>``: hashes of its growing neighbourhood."""
-    ends = bond_ends(bonds.select(ENTITY, "a", "b", "order"))
+def environment_hashes(
+    atoms: DataFrame,
+    bonds: DataFrame,
+    radius: int = K.FP_RADIUS,
+    hubs: DataFrame | None = None,
+) -> DataFrame:
+    """One row per atom with ``h0`` .. ``h<radius>``: 60-bit hashes of its growing neighbourhood.
+
+    Every atom also hears itself, so a round is one join and one aggregation and
+    reads the round before exactly once.  The digest of what an atom hears is
+    order-free: a count and two sums, combined on the map side.
+
+    Atoms hear hubs (see ``find_hubs``) from one of several salted copies, so no
+    task serves all neighbours of a hub.
+    """
+    heard_by = bond_ends(bonds.select(ENTITY, "a", "b", "order")).select(
+        ENTITY, ATOM, "other", "order", F.lit(False).alias("_self")
+    )
+    itself = atoms.select(
+        ENTITY,
+        ATOM,
+        F.col(ATOM).alias("other"),
+        F.lit(None).cast("int").alias("order"),
+        F.lit(True).alias("_self"),
+    )
+    one_of = F.array(F.pmod(F.xxhash64(ATOM), F.lit(HUB_SALTS)).cast("int"))
+    ends = _salt(heard_by.unionByName(itself), "other", hubs, one_of)
     state = atoms.select(
         ENTITY,
         ATOM,
-        F.md5(
-            _text(F.col("element"), F.col("charge"), F.col("n_h"), F.col("aromatic").cast("int"))
+        hash60(
+            F.col("element"), F.col("charge"), F.col("n_h"), F.col("aromatic").cast("int")
         ).alias("h0"),
     )
+    all_of = F.sequence(F.lit(0), F.lit(HUB_SALTS - 1))
     for r in range(1, radius + 1):
-        heard = _text(F.col("order"), F.col(f"h{r - 1}"))
-        digest = (
-            ends.join(
-                state.select(ENTITY, F.col(ATOM).alias("other"), f"h{r - 1}"), [ENTITY, "other"]
-            )
+        known = [f"h{i}" for i in range(r)]
+        said = _salt(state.withColumnRenamed(ATOM, "other"), "other", hubs, all_of)
+        message = hash60(F.col("order"), F.col(known[-1]))
+        low, high = halves(F.col("_m"))
+        own, far = F.col("_self"), ~F.col("_self")
+        state = (
+            ends.join(said, [ENTITY, "other", "_salt"])
+            .withColumn("_m", F.when(far, message))
             .groupBy(ENTITY, ATOM)
             .agg(
-                F.count("*").alias("_n"),
-                F.sum(hash_int(heard, 1)).alias("_s1"),
-                F.sum(hash_int(heard, 9)).alias("_s2"),
+                *[F.sum(F.when(own, F.col(h))).alias(h) for h in known],
+                F.count("_m").alias("_n"),
+                F.coalesce(F.sum(low), F.lit(0)).alias("_s1"),
+                F.coalesce(F.sum(high), F.lit(0)).alias("_s2"),
+            )
+            .filter(F.col("h0").isNotNull())
+            .select(
+                ENTITY,
+                ATOM,
+                *known,
+                hash60(
+                    F.lit(r), F.col(known[-1]), F.col("_n"), F.col("_s1"), F.col("_s2")
+                ).alias(f"h{r}"),
             )
         )
-        told = [F.coalesce(F.col(c), F.lit(0)) for c in ("_n", "_s1", "_s2")]
-        state = (
-            state.join(digest, [ENTITY, ATOM], "left")
-            .withColumn(f"h{r}", F.md5(_text(F.lit(r), F.col(f"h{r - 1}"), *told)))
-            .drop("_n", "_s1", "_s2")
-        )
-        if r > K.FP_RADIUS:
-            # Each round reads the one before twice; keep deep runs linear.
-            state = state.checkpoint()
     return state
 
 
 def bit_provenance(
-    atoms: DataFrame, bonds: DataFrame, radius: int = K.FP_RADIUS, n_bits: int = K.FP_BITS
+    atoms: DataFrame,
+    bonds: DataFrame,
+    radius: int = K.FP_RADIUS,
+    n_bits: int = K.FP_BITS,
+    hubs: DataFrame | None = None,
 ) -> DataFrame:
     """(entity_id, bit, center, radius): which neighbourhoods set which bit."""
-    hashes = environment_hashes(atoms, bonds, radius)
+    hashes = environment_hashes(atoms, bonds, radius, hubs)
     rounds = F.array(
         *[
-            F.struct(
-                (hex_int(F.col(f"h{r}")) % n_bits).cast("int").alias("bit"),
-                F.lit(r).alias("radius"),
-            )
+            F.struct((F.col(f"h{r}") % n_bits).cast("int").alias("bit"), F.lit(r).alias("radius"))
             for r in range(radius + 1)
         ]
     )
@@ -112,21 +172,27 @@ def fingerprints(
     return fold_bits(bit_provenance(atoms, bonds, radius, n_bits))
 
 
-def graph_keys(atoms: DataFrame, bonds: DataFrame, radius: int = K.FP_RADIUS) -> DataFrame:
+def graph_keys(
+    atoms: DataFrame,
+    bonds: DataFrame,
+    radius: int = K.FP_RADIUS,
+    hubs: DataFrame | None = None,
+) -> DataFrame:
     """(entity_id, graph_key): equal for equal graphs however atoms are numbered.
 
     Graphs the neighbourhood refinement cannot tell apart share a key.
     """
-    h = f"h{radius}"
+    low, high = halves(F.col(f"h{radius}"))
     return (
-        environment_hashes(atoms, bonds, radius)
+        environment_hashes(atoms, bonds, radius, hubs)
         .groupBy(ENTITY)
-        .agg(
-            F.count("*").alias("_n"),
-            F.sum(hex_int(F.col(h), 1)).alias("_s1"),
-            F.sum(hex_int(F.col(h), 9)).alias("_s2"),
+        .agg(F.count("*").alias("_n"), F.sum(low).alias("_s1"), F.sum(high).alias("_s2"))
+        .select(
+            ENTITY,
+            F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("_n", "_s1", "_s2")])).alias(
+                "graph_key"
+            ),
         )
-        .select(ENTITY, F.md5(_text(F.col("_n"), F.col("_s1"), F.col("_s2"))).alias("graph_key"))
     )
 
 

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from screenloom import constants as K
 from screenloom.functions.keys import seeded_hash
 
-# 16**5 prefixes: the histogram has at most 1,048,576 narrow rows per class, and
-# one prefix of 10**11 rows holds about 100,000 of them.
-PREFIX_DIGITS = 5
+# 16**4 prefixes: the histogram has at most 65,536 narrow rows per class, and one
+# prefix of a class of 10**11 rows holds about 1.5 million hashes to order.
+PREFIX_DIGITS = 4
 
 
 def apportion(part_size: Column, count: str, label: str) -> Column:

@@ -15,11 +15,13 @@ from screenloom import constants as K
 from screenloom.functions.keys import key_digest
 
 
-def duplicate_keys(df: DataFrame, key: str = K.KEY) -> DataFrame:
+def duplicate_keys(df: DataFrame, key: str = K.KEY, hashed: bool = False) -> DataFrame:
     """Keys (as digests) that occur more than once, with their counts."""
+    if not hashed:
+        df = df.filter(F.col(key).isNotNull())
+    digest = F.col(key) if hashed else key_digest(F.col(key))
     return (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(key_digest(F.col(key)).alias("key_digest"))
+        df.groupBy(digest.alias("key_digest"))
         .agg(F.count("*").alias("n_rows"))
         .filter("n_rows > 1")
     )
@@ -45,10 +47,16 @@ def vote(
     label: str = K.LABEL,
     source: str = K.SOURCE,
     row_id: str = K.ROW_ID,
+    hashed: bool = False,
 ) -> DataFrame:
-    """One row per key digest: voted label (a tie gives 1), merged sources, first row id."""
-    narrow = df.filter(F.col(key).isNotNull()).select(
-        key_digest(F.col(key)).alias("key_digest"),
+    """One row per key digest: voted label (a tie gives 1), merged sources, first row id.
+
+    ``hashed``: the key column already holds non-null digests.
+    """
+    if not hashed:
+        df = df.filter(F.col(key).isNotNull())
+    narrow = df.select(
+        (F.col(key) if hashed else key_digest(F.col(key))).alias("key_digest"),
         F.col(label).cast("bigint").alias("_label"),
         F.col(source).alias("_source"),
         F.col(row_id).alias("_row"),
@@ -64,25 +72,41 @@ def vote(
     )
 
 
+def keep_voted(
+    df: DataFrame,
+    votes: DataFrame,
+    label: str = K.LABEL,
+    source: str = K.SOURCE,
+    row_id: str = K.ROW_ID,
+) -> DataFrame:
+    """The first row of each key with the voted label and merged sources.
+
+    ``row_id`` must be unique.  Wide columns are not aggregated: the vote names
+    the surviving rows and one equi-join on the row id keeps them, so wide
+    values cross the network once at most.
+    """
+    rest = [c for c in df.columns if c not in (label, source, "key_digest")]
+    kept = df.select(*rest).join(votes, F.col(row_id) == F.col("_first"))
+    picked = {label: F.col("_vote").alias(label), source: F.col("_sources").alias(source)}
+    return kept.select(*[picked.get(c, F.col(c)) for c in df.columns], "n_merged")
+
+
 def resolve_labels(
     df: DataFrame,
     key: str = K.KEY,
     label: str = K.LABEL,
     source: str = K.SOURCE,
     row_id: str = K.ROW_ID,
+    hashed: bool = False,
 ) -> DataFrame:
-    """One row per key: the first row (lowest ``row_id``) with voted label and merged sources.
+    """One row per key: its first row with voted label and merged sources.
 
-    ``row_id`` must be unique.  Rows whose key is null vanish.  The wide columns
-    are not aggregated: the vote names the surviving rows and one equi-join on
-    the row id keeps them, so wide values cross the network once at most.
+    Rows whose key is null vanish.  With ``hashed`` the key is a digest, and it
+    is taken from the vote, so no pass but the first one computes it.
     """
-    votes = vote(df, key, label, source, row_id)
-    rest = [c for c in df.columns if c not in (label, source)]
-    kept = (
-        df.select(*rest)
-        .filter(F.col(key).isNotNull())
-        .join(votes.drop("key_digest"), F.col(row_id) == F.col("_first"))
+    votes = vote(df, key, label, source, row_id, hashed)
+    if hashed and key == "key_digest":
+        return keep_voted(df, votes, label, source, row_id)
+    return keep_voted(
+        df.filter(F.col(key).isNotNull()), votes.drop("key_digest"), label, source, row_id
     )
-    picked = {label: F.col("_vote").alias(label), source: F.col("_sources").alias(source)}
-    return kept.select(*[picked.get(c, F.col(c)) for c in df.columns], "n_merged")

@@ -15,11 +15,6 @@ from screenloom.sources import delimited, records
 from screenloom.sources.tables import read_table
 
 
-def _digest(df: DataFrame) -> DataFrame:
-    """Show the digest of the key instead of the whole text."""
-    return df.withColumn("key_digest", key_digest(F.col(K.KEY))).drop(K.KEY)
-
-
 # --- sources and sinks --------------------------------------------------------
 
 
@@ -194,7 +189,7 @@ def binary_labels_strict(spark: SparkSession, sf: str) -> DataFrame:
         WHERE smiles IS NOT NULL GROUP BY smiles HAVING count(*) > 1""",
 )
 def duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return voting.duplicate_keys(cleaning.tag_valid(I.labelled_documents(spark, sf)))
+    return voting.duplicate_keys(I.digest_documents(spark, sf), "key_digest", hashed=True)
 
 
 _SQL_LINE_LABELS = """
@@ -217,14 +212,9 @@ def label_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {I.SQL_LABELLED} SELECT key_digest, label, source, row_id, lang, n_chars, n_merged FROM resolved",
 )
 def resolve_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """The digest replaces the text before the vote, so no text is shuffled."""
-    rows = cleaning.drop_unlabelled(
-        cleaning.drop_invalid(cleaning.tag_valid(I.labelled_documents(spark, sf)))
-    )
-    narrow = _digest(cleaning.binary_labels(rows))
-    return voting.resolve_labels(narrow, key="key_digest").withColumn(
-        "key_digest", F.col("key_digest")
-    )
+    """Digests stand for the texts throughout, so no text is shuffled."""
+    rows = cleaning.binary_labels(cleaning.drop_unlabelled(I.digest_documents(spark, sf)))
+    return voting.resolve_labels(rows, key="key_digest", hashed=True)
 
 
 @query(
@@ -280,8 +270,7 @@ def clean_chain(spark: SparkSession, sf: str) -> DataFrame:
         FROM c""",
 )
 def class_balance(spark: SparkSession, sf: str) -> DataFrame:
-    rows = cleaning.drop_invalid(cleaning.tag_valid(I.labelled_documents(spark, sf)))
-    return summaries.class_balance(cleaning.binary_labels(rows))
+    return summaries.class_balance(cleaning.valid_rows(I.labelled_documents(spark, sf)))
 
 
 @query(
@@ -320,8 +309,7 @@ def source_counts(spark: SparkSession, sf: str) -> DataFrame:
                (n_pos + n_neg) / (2 * n_neg) AS balanced_neg FROM c""",
 )
 def class_weights(spark: SparkSession, sf: str) -> DataFrame:
-    rows = cleaning.drop_invalid(cleaning.tag_valid(I.labelled_documents(spark, sf)))
-    return summaries.class_weights(cleaning.binary_labels(rows))
+    return summaries.class_weights(cleaning.valid_rows(I.labelled_documents(spark, sf)))
 
 
 _SQL_FOLDS = """

@@ -109,29 +109,34 @@ def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return stored(atoms, "atoms"), stored(bonds, "bonds")
 
 
-_H = "('0x' || substr(md5({x}), {at}, 8))::BIGINT"
+def _h60(*parts: str) -> str:
+    text = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"('0x' || substr(md5(concat_ws('|', {text})), 1, 15))::BIGINT"
+
+
+_HALF = 2**30
 
 
 def _sql_round(r: int) -> str:
-    heard = f'concat_ws(\'|\', CAST(e."order" AS VARCHAR), o.h{r - 1})'
-    s1, s2 = _H.format(x=heard, at=1), _H.format(x=heard, at=9)
     return f"""
+m{r} AS (
+  SELECT e.entity_id, e.atom_id, {_h60('e."order"', f"o.h{r - 1}")} AS m
+  FROM ends e JOIN a{r - 1} o ON o.entity_id = e.entity_id AND o.atom_id = e.other
+),
 d{r} AS (
-  SELECT e.entity_id, e.atom_id, count(*) AS n, CAST(sum({s1}) AS BIGINT) AS s1, CAST(sum({s2}) AS BIGINT) AS s2
-  FROM ends e JOIN a{r - 1} o ON o.entity_id = e.entity_id AND o.atom_id = e.other GROUP BY ALL
+  SELECT entity_id, atom_id, count(*) AS n, CAST(sum(m % {_HALF}) AS BIGINT) AS s1,
+         CAST(sum(m // {_HALF}) AS BIGINT) AS s2 FROM m{r} GROUP BY ALL
 ),
 a{r} AS (
-  SELECT a.*, md5(concat_ws('|', '{r}', a.h{r - 1}, CAST(coalesce(n, 0) AS VARCHAR), CAST(coalesce(s1, 0) AS VARCHAR),
-      CAST(coalesce(s2, 0) AS VARCHAR))) AS h{r}
+  SELECT a.*, {_h60(str(r), f"a.h{r - 1}", "coalesce(n, 0)", "coalesce(s1, 0)", "coalesce(s2, 0)")} AS h{r}
   FROM a{r - 1} a LEFT JOIN d{r} d ON d.entity_id = a.entity_id AND d.atom_id = a.atom_id
 )
 """
 
 
 _HASH_STEPS = (
-    """
-a0 AS (SELECT entity_id, atom_id, md5(concat_ws('|', element, CAST(charge AS VARCHAR), CAST(n_h AS VARCHAR),
-         CAST(aromatic::INT AS VARCHAR))) AS h0 FROM atoms),"""
+    f"""
+a0 AS (SELECT entity_id, atom_id, {_h60("element", "charge", "n_h", "aromatic::INT")} AS h0 FROM atoms),"""
     + _sql_round(1)
     + ","
     + _sql_round(2)
@@ -140,7 +145,7 @@ _PROVENANCE_STEPS = (
     _HASH_STEPS
     + """,
 provenance AS (
-  SELECT entity_id, CAST(('0x' || substr(h, 1, 8))::BIGINT % 2048 AS INTEGER) AS bit, atom_id AS center, radius
+  SELECT entity_id, CAST(h % 2048 AS INTEGER) AS bit, atom_id AS center, radius
   FROM (SELECT entity_id, atom_id, h0 AS h, 0 AS radius FROM a2 UNION ALL SELECT entity_id, atom_id, h1, 1 FROM a2
         UNION ALL SELECT entity_id, atom_id, h2, 2 FROM a2)
 )
@@ -169,8 +174,9 @@ def fp_provenance(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "graph_key",
     _SQL_HASHES
-    + """SELECT entity_id, md5(concat_ws('|', CAST(count(*) AS VARCHAR), CAST(CAST(sum(('0x' || substr(h2, 1, 8))::BIGINT) AS BIGINT) AS VARCHAR),
-      CAST(CAST(sum(('0x' || substr(h2, 9, 8))::BIGINT) AS BIGINT) AS VARCHAR))) AS graph_key FROM a2 GROUP BY entity_id""",
+    + f"""SELECT entity_id, md5(concat_ws('|', CAST(count(*) AS VARCHAR),
+      CAST(CAST(sum(h2 % {_HALF}) AS BIGINT) AS VARCHAR), CAST(CAST(sum(h2 // {_HALF}) AS BIGINT) AS VARCHAR))) AS graph_key
+      FROM a2 GROUP BY entity_id""",
 )
 def graph_key(spark: SparkSession, sf: str) -> DataFrame:
     return graph.graph_keys(*_graph(spark, sf))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenloom.functions.keys import notation_key
+from screenloom.functions.keys import TEXT, key_digest, notation_key
+from screenloom.session import spread
 from screenloom.sources.tables import read_table
 
 # --- labelled documents -------------------------------------------------------
@@ -42,6 +43,27 @@ resolved AS (
 """
 
 
+def digest_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled documents by the digest of their text key.
+
+    The digest is taken before the labels are joined, so no text is shuffled.
+    """
+    labels = read_table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    docs = read_table(spark, sf, "documents")
+    return (
+        spread(docs.filter(TEXT.is_valid(F.col("text"))))
+        .select(
+            "doc_id",
+            key_digest(TEXT.canonical(F.col("text"))).alias("key_digest"),
+            "source",
+            "lang",
+            "n_chars",
+        )
+        .join(labels, "doc_id", "left")
+        .withColumnRenamed("doc_id", "row_id")
+    )
+
+
 def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
     labels = read_table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
     return (

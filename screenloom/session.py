@@ -16,6 +16,8 @@ def local_session(cores: int | str = "*", name: str = "screenloom", **conf: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
+        # Small tables, costly rows: let small partitions stay apart on all cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
