@@ -26,6 +26,7 @@ ENTITY, ATOM = "entity_id", "atom_id"
 HUB_DEGREE = 1_000_000
 HUB_SALTS = 64
 MAX_HUBS = 1_000_000
+MAX_ATOM_TYPES = 100_000
 
 
 def bond_ends(bonds: DataFrame) -> DataFrame:
@@ -249,6 +250,47 @@ def map_bits(
     )
 
 
+def count_components(atoms: DataFrame, bonds: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(entity_id, n_components): connected pieces of every entity.
+
+    Each round an atom takes the lowest label among itself and its neighbours and
+    then the label of that label, so the rounds grow with the logarithm of the
+    longest chain.  Rounds are stored, which keeps the lineage flat.
+    """
+    ends = stored(bond_ends(bonds.select(ENTITY, "a", "b")), "ends")
+    labels = atoms.select(ENTITY, ATOM, F.col(ATOM).alias("piece"))
+    for _ in range(max_rounds):
+        near = (
+            ends.join(
+                labels.select(ENTITY, F.col(ATOM).alias("other"), F.col("piece").alias("_near")),
+                [ENTITY, "other"],
+            )
+            .groupBy(ENTITY, ATOM)
+            .agg(F.min("_near").alias("_near"))
+        )
+        lower = stored(
+            labels.join(near, [ENTITY, ATOM], "left").select(
+                ENTITY,
+                ATOM,
+                F.least("piece", "_near").alias("_low"),
+                (F.col("_near") < F.col("piece")).alias("_moved"),
+            ),
+            "pieces",
+        )
+        if lower.filter("_moved").isEmpty():
+            break
+        jump = lower.select(ENTITY, F.col(ATOM).alias("_low"), F.col("_low").alias("piece"))
+        labels = stored(
+            lower.select(ENTITY, ATOM, "_low").join(jump, [ENTITY, "_low"]).select(ENTITY, ATOM, "piece"),
+            "labels",
+        )
+    else:
+        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+    return labels.groupBy(ENTITY).agg(
+        F.count_if(F.col("piece") == F.col(ATOM)).alias("n_components")
+    )
+
+
 def atom_type(element: Column, aromatic: Column, n_h: Column) -> Column:
     """Default atom type: element, aromatic flag, hydrogens."""
     return F.concat_ws(":", element, aromatic.cast("int").cast("string"), n_h.cast("string"))
@@ -280,9 +322,12 @@ def descriptors(
     full = atoms.join(degree, [ENTITY, ATOM], "left").fillna(0, ["degree", "unsaturated"])
     if contributions is not None:
         kind = atom_type(F.col("element"), F.col("aromatic"), F.col("n_h"))
-        full = full.withColumn("atom_type", kind).join(
-            contributions.select("atom_type", "logp", "tpsa"), "atom_type", "left"
-        )
+        table = contributions.select("atom_type", "logp", "tpsa")
+        # One atom type may be a third of all atoms, so a table of usual size is
+        # broadcast; a larger one is left to a skew-aware shuffle join.
+        if table.limit(MAX_ATOM_TYPES + 1).count() <= MAX_ATOM_TYPES:
+            table = F.broadcast(table)
+        full = full.withColumn("atom_type", kind).join(table, "atom_type", "left")
     else:
         nothing = F.lit(None).cast("double")
         full = full.withColumn("logp", nothing).withColumn("tpsa", nothing)

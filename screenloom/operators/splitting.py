@@ -8,7 +8,9 @@ know is the hash at each cut.  The cuts come from
 2. running totals over the histogram (its size is fixed by the prefix length),
 3. the exact rank inside the few prefixes a cut falls into.
 
-What is broadcast back is one row per class.  The table itself is only scanned.
+What comes back to the driver is one hash per class and cut.  Placing a row is
+then a plain column expression: the table is never shuffled, and reading the
+result again costs no more than reading the table.
 """
 
 from __future__ import annotations
@@ -59,37 +61,36 @@ def assign_by_cuts(
     out: str,
     seed: int,
     prefix_digits: int,
-    last_part: str | int | None,
+    last_part: str | int,
 ) -> DataFrame:
     """Name the part of each row.
 
     ``cuts``: (label, _part, _rank) with the last rank of each part.  A row
     beyond every cut gets ``last_part``.
     """
-    hashed = df.withColumn("_hash", seeded_hash(seed, F.col(id_col)))
-    at = _cut_positions(hist, cuts.select(label, "_part", "_rank"), label)
-    # A handful of rows: one per class and cut.
-    edge = F.broadcast(at)
+    hash_of = seeded_hash(seed, F.col(id_col))
+    at = F.broadcast(_cut_positions(hist, cuts.select(label, "_part", "_rank"), label))
+    hashed = df.select(label, hash_of.alias("_hash"))
     ranked = (
-        hashed.select(label, "_hash", F.substring("_hash", 1, prefix_digits).alias("_prefix"))
+        hashed.withColumn("_prefix", F.substring("_hash", 1, prefix_digits))
         .join(F.broadcast(at.select(label, "_prefix").distinct()), [label, "_prefix"])
         .withColumn(
             "_seen", F.row_number().over(Window.partitionBy(label, "_prefix").orderBy("_hash"))
         )
     )
+    # One row per class and non-empty part: its last hash.
     found = (
-        ranked.join(edge, [label, "_prefix"])
+        ranked.join(at, [label, "_prefix"])
         .filter(F.col("_seen") == F.col("_place"))
-        .select(label, "_part", F.col("_hash").alias("_cut"))
+        .select(label, "_part", "_hash")
+        .collect()
     )
-    # Empty parts (rank 0) have no cut row and so never match.
-    per_class = found.groupBy(label).agg(
-        F.array_sort(F.collect_list(F.struct("_cut", "_part"))).alias("_cuts")
-    )
-    hit = F.filter("_cuts", lambda c: F.col("_hash") <= c["_cut"])
-    part = F.get(hit, F.lit(0))["_part"]
-    placed = hashed.join(F.broadcast(per_class), label, "left")
-    return placed.withColumn(out, F.coalesce(part, F.lit(last_part))).drop("_hash", "_cuts")
+    part = F.lit(last_part)
+    # From the last cut to the first, so that the first one a row is under wins.
+    for row in sorted(found, key=lambda r: (str(r[label]), r["_hash"]), reverse=True):
+        inside = (F.col(label) == row[label]) & (hash_of <= row["_hash"])
+        part = F.when(inside, F.lit(row["_part"])).otherwise(part)
+    return df.withColumn(out, part)
 
 
 def class_histogram(
@@ -135,7 +136,8 @@ def stratified_split(
 
     Sizes are ceil(test * n) and ceil(val / (train + val) * rest).  ``id_col``
     must be unique (it is, after duplicates are resolved).  ``df`` is scanned
-    three times, so hand in a stored table, not a long plan.
+    to find the cuts and again by whoever reads the result, so hand in a stored
+    table, not a long plan.
     """
     _check_ratios(*ratios)
     if min_rows is not None:
@@ -157,9 +159,7 @@ def stratified_split(
         ),
         "_test",
     ).filter((F.col("_rank") > 0) & ~((F.col("_part") == "val") & (F.col("_rank") == F.col("_test"))))
-    return assign_by_cuts(df, cuts, hist, id_col, label, "split", seed, prefix_digits, "train").select(
-        *df.columns, "split"
-    )
+    return assign_by_cuts(df, cuts, hist, id_col, label, "split", seed, prefix_digits, "train")
 
 
 def stratified_folds(
@@ -183,9 +183,7 @@ def stratified_folds(
         )
         .filter("_size > 0")
     )
-    return assign_by_cuts(df, cuts, hist, id_col, label, "fold", seed, prefix_digits, folds - 1).select(
-        *df.columns, "fold"
-    )
+    return assign_by_cuts(df, cuts, hist, id_col, label, "fold", seed, prefix_digits, folds - 1)
 
 
 def sample_rows(

@@ -34,17 +34,17 @@ def _rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _split_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, float]]:
-    rows = _rows(spark, sf).withColumn("features", array_to_vector("x")).drop("x")
-    split = stratified_split(stored(rows, "rows"), "row_id")
-    _, totals = models.with_weights(split.filter("split = 'train'"))
-    weighted, _ = models.with_weights(split)
-    return stored(weighted, "split"), totals
+def _split_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
+    """Split and weighted rows (stored once), and the small models for them."""
+    rows = stored(_rows(spark, sf).withColumn("features", array_to_vector("x")).drop("x"), "rows")
+    split = stratified_split(rows, "row_id")
+    weighted, n = models.with_weights(split, counted=split.filter("split = 'train'"))
+    return weighted, models.build_models(n, SMALL)
 
 
 def _score_test(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    rows, totals = _split_rows(spark, sf)
-    model = models.build_models(int(totals["n"]), SMALL)[name].fit(rows.filter("split = 'train'"))
+    rows, small = _split_rows(spark, sf)
+    model = small[name].fit(rows.filter("split = 'train'"))
     return models.add_score(model, rows.filter("split <> 'train'")).select(
         "row_id", "label", "split", "score"
     )
@@ -67,9 +67,8 @@ def train_score_rf(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("cv_compare")
 def cv_compare(spark: SparkSession, sf: str) -> DataFrame:
-    rows, totals = _split_rows(spark, sf)
-    train = stored(stratified_folds(rows.filter("split = 'train'"), id_col="row_id"), "folds")
-    small = models.build_models(int(totals["n"]), SMALL)
+    rows, small = _split_rows(spark, sf)
+    train = stratified_folds(rows.filter("split = 'train'"), id_col="row_id")
     return summaries.cv_summary(models.cross_validate(train, small))
 
 
@@ -77,18 +76,18 @@ def cv_compare(spark: SparkSession, sf: str) -> DataFrame:
 def tune_search(spark: SparkSession, sf: str) -> DataFrame:
     """Three drawn settings, two folds, tree numbers scaled down."""
     rows, _ = _split_rows(spark, sf)
-    train = stored(stratified_folds(rows.filter("split = 'train'"), 2, "row_id"), "folds")
+    train = stratified_folds(rows.filter("split = 'train'"), 2, "row_id")
     draws = models.draw_parameters(3)
-    small = lambda p: models.boosted_trees(
+    scaled = lambda p: models.boosted_trees(
         {**p, "n_estimators": p["n_estimators"] // 100, "max_depth": min(p["max_depth"], 4)}
     )
-    return models.search(train, draws, small, folds=2)
+    return models.search(train, draws, scaled, folds=2)
 
 
 @query("calibrate")
 def calibrate(spark: SparkSession, sf: str) -> DataFrame:
-    rows, totals = _split_rows(spark, sf)
-    model = models.build_models(int(totals["n"]), SMALL)[models.BOOSTED].fit(rows.filter("split = 'train'"))
+    rows, small = _split_rows(spark, sf)
+    model = small[models.BOOSTED].fit(rows.filter("split = 'train'"))
     scored = stored(models.add_score(model, rows).select("row_id", "label", "split", "score"), "scored")
     iso = models.calibrate(scored.filter("split = 'val'"))
     return models.add_calibrated(iso, scored.filter("split = 'test'"))
@@ -118,8 +117,8 @@ def anomaly_score(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("attributions")
 def attributions(spark: SparkSession, sf: str) -> DataFrame:
-    rows, totals = _split_rows(spark, sf)
-    model = models.build_models(int(totals["n"]), SMALL)[models.BOOSTED].fit(rows.filter("split = 'train'"))
+    rows, small = _split_rows(spark, sf)
+    model = small[models.BOOSTED].fit(rows.filter("split = 'train'"))
     leaves = attribution.leaf_paths(attribution.read_nodes(spark, model), classes=False)
     return attribution.attributions(rows, leaves)
 
@@ -127,8 +126,8 @@ def attributions(spark: SparkSession, sf: str) -> DataFrame:
 # Additivity: base value plus all attributions of a row is the model's raw margin.
 @query("attribution_additive", "SELECT vec_id AS row_id, true AS additive FROM embeddings")
 def attribution_additive(spark: SparkSession, sf: str) -> DataFrame:
-    rows, totals = _split_rows(spark, sf)
-    model = models.build_models(int(totals["n"]), SMALL)[models.BOOSTED].fit(rows.filter("split = 'train'"))
+    rows, small = _split_rows(spark, sf)
+    model = small[models.BOOSTED].fit(rows.filter("split = 'train'"))
     leaves = attribution.leaf_paths(attribution.read_nodes(spark, model), classes=False)
     sums = attribution.attributions(rows, leaves).groupBy("row_id").agg(F.sum("shap").alias("total"))
     margin = model.transform(rows).select(

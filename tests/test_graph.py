@@ -131,3 +131,15 @@ def test_lexical_counts(spark, text, heavy, rings, aromatic):
     t = F.col("t")
     row = df.select(lexical.heavy_atoms(t), lexical.ring_count(t), lexical.aromatic_atoms(t)).first()
     assert tuple(row) == (heavy, rings, aromatic)
+
+
+def test_components(spark):
+    n = 70
+    atoms = [(0, (i * 37) % n, "C", 0, 2, False) for i in range(n)] + [(1, i, "C", 0, 4, False) for i in range(3)]
+    # One long chain in scrambled order; entity 1 is a pair and a single atom.
+    bonds = [(0, (i * 37) % n, ((i + 1) * 37) % n, 1, False, False) for i in range(n - 1)] + [(1, 2, 0, 1, False, False)]
+    a, b = spark.createDataFrame(atoms, ATOMS), spark.createDataFrame(bonds, BONDS)
+    pieces = graph.count_components(a, b)
+    assert {r.entity_id: r.n_components for r in pieces.collect()} == {0: 1, 1: 2}
+    rings = {r.entity_id: r.RingCount for r in graph.descriptors(a, b, components=pieces).collect()}
+    assert rings == {0: 0, 1: 0}
