@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 _BLANKS = "[ \\t\\n\\r\\f\\x0B]{2,}|[\\t\\n\\r\\f\\x0B]"
 
 
+def flat_text(text: Column) -> Column:
+    """Lower case, trimmed, every run of blanks one space."""
+    return F.lower(F.trim(F.regexp_replace(text, _BLANKS, " ")))
+
+
 def text_key(text: Column) -> Column:
     """Case- and spacing-insensitive key of a text; null when nothing is left."""
-    flat = F.lower(F.trim(F.regexp_replace(text, _BLANKS, " ")))
-    return F.when(flat != "", flat)
+    return F.when(has_text(text), flat_text(text))
 
 
 def has_text(text: Column) -> Column:
-    """Whether ``text_key`` would leave anything; stops at the first character that does."""
+    """Whether a text holds anything but blanks; stops at the first such character."""
     return F.coalesce(text.rlike("[^ \\t\\n\\r\\f\\x0B]"), F.lit(False))
 
 
@@ -99,7 +103,7 @@ class KeyRule:
     canonical: Callable[[Column], Column]
 
 
-TEXT = KeyRule(has_text, text_key)
+TEXT = KeyRule(has_text, flat_text)
 NOTATION = KeyRule(notation_is_valid, F.trim)
 
 

@@ -81,14 +81,18 @@ def keep_voted(
 ) -> DataFrame:
     """The first row of each key with the voted label and merged sources.
 
-    ``row_id`` must be unique.  Wide columns are not aggregated: the vote names
-    the surviving rows and one equi-join on the row id keeps them, so wide
+    ``row_id`` must be unique.  ``df`` may be any table of the rows: it needs
+    neither key, label nor source.  Wide columns are not aggregated: the vote
+    names the surviving rows and one equi-join on the row id keeps them, so wide
     values cross the network once at most.
     """
-    rest = [c for c in df.columns if c not in (label, source, "key_digest")]
+    voted = {label: F.col("_vote").alias(label), source: F.col("_sources").alias(source)}
+    rest = [c for c in df.columns if c not in voted and c != "key_digest"]
     kept = df.select(*rest).join(votes, F.col(row_id) == F.col("_first"))
-    picked = {label: F.col("_vote").alias(label), source: F.col("_sources").alias(source)}
-    return kept.select(*[picked.get(c, F.col(c)) for c in df.columns], "n_merged")
+    shown = [c for c in df.columns if c in rest or c in voted]
+    added = [c for c in (label, source) if c not in shown]
+    digest = ["key_digest"] if "key_digest" in votes.columns else []
+    return kept.select(*digest, *[voted.get(c, F.col(c)) for c in shown + added], "n_merged")
 
 
 def resolve_labels(
@@ -97,16 +101,10 @@ def resolve_labels(
     label: str = K.LABEL,
     source: str = K.SOURCE,
     row_id: str = K.ROW_ID,
-    hashed: bool = False,
 ) -> DataFrame:
     """One row per key: its first row with voted label and merged sources.
 
-    Rows whose key is null vanish.  With ``hashed`` the key is a digest, and it
-    is taken from the vote, so no pass but the first one computes it.
+    Rows whose key is null vanish.
     """
-    votes = vote(df, key, label, source, row_id, hashed)
-    if hashed and key == "key_digest":
-        return keep_voted(df, votes, label, source, row_id)
-    return keep_voted(
-        df.filter(F.col(key).isNotNull()), votes.drop("key_digest"), label, source, row_id
-    )
+    votes = vote(df, key, label, source, row_id).drop("key_digest")
+    return keep_voted(df, votes, label, source, row_id)

@@ -212,9 +212,13 @@ def label_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {I.SQL_LABELLED} SELECT key_digest, label, source, row_id, lang, n_chars, n_merged FROM resolved",
 )
 def resolve_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Digests stand for the texts throughout, so no text is shuffled."""
+    """Digests stand for the texts: texts are read once and never shuffled."""
     rows = cleaning.binary_labels(cleaning.drop_unlabelled(I.digest_documents(spark, sf)))
-    return voting.resolve_labels(rows, key="key_digest", hashed=True)
+    votes = voting.vote(rows, key="key_digest", hashed=True)
+    about = read_table(spark, sf, "documents").select(
+        F.col("doc_id").alias("row_id"), "lang", "n_chars"
+    )
+    return voting.keep_voted(about, votes)
 
 
 @query(

@@ -56,8 +56,6 @@ def digest_documents(spark: SparkSession, sf: str) -> DataFrame:
             "doc_id",
             key_digest(TEXT.canonical(F.col("text"))).alias("key_digest"),
             "source",
-            "lang",
-            "n_chars",
         )
         .join(labels, "doc_id", "left")
         .withColumnRenamed("doc_id", "row_id")
