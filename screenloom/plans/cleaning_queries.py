@@ -249,12 +249,12 @@ def resolve_labels_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "clean_pipeline",
+    "clean_chain",
     f"""WITH {I.SQL_LABELLED}, texts AS (SELECT row_id AS rid, smiles AS text_key FROM keyed)
         SELECT text_key AS smiles, label, source, row_id, lang, n_chars, n_merged
         FROM resolved JOIN texts ON rid = row_id""",
 )
-def clean_chain(spark: SparkSession, sf: str) -> DataFrame:
+def clean_texts(spark: SparkSession, sf: str) -> DataFrame:
     """The whole chain, keys kept as full texts."""
     return cleaning.clean(I.labelled_documents(spark, sf))
 

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 FOLDER = "/root/testdata/sf0.001"
 QUICK = [
     "resolve_labels",
-    "clean_pipeline",
+    "clean_chain",
     "stratified_split",
     "evaluate_all",
     "score_batch",
