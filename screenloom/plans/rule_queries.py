@@ -260,10 +260,13 @@ def compare_pairs(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "compare_properties",
     f"""WITH {I.SQL_DESCRIBED}, {_SQL_PAIRS},
-    long AS (UNPIVOT (SELECT row_id, "MolWt"::DOUBLE AS "MolWt", "LogP"::DOUBLE AS "LogP", "TPSA"::DOUBLE AS "TPSA" FROM described)
-             ON "MolWt", "LogP", "TPSA" INTO NAME property VALUE v)
-    SELECT pair_id, a.property AS property, a.v AS a_value, b.v AS b_value FROM pairs
-    JOIN long a ON a.row_id = a_id JOIN long b ON b.row_id = b_id AND a.property = b.property""",
+    sides AS (
+      SELECT pair_id, a."MolWt" AS aw, b."MolWt" AS bw, a."LogP" AS al, b."LogP" AS bl, a."TPSA" AS tpsa_a, b."TPSA" AS tpsa_b
+      FROM pairs JOIN described a ON a.row_id = a_id JOIN described b ON b.row_id = b_id
+    )
+    SELECT pair_id, 'MolWt' AS property, aw AS a_value, bw AS b_value FROM sides
+    UNION ALL SELECT pair_id, 'LogP', al, bl FROM sides
+    UNION ALL SELECT pair_id, 'TPSA', tpsa_a, tpsa_b FROM sides""",
 )
 def compare_properties(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.compare_properties(
