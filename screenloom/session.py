@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,25 +27,19 @@ def local_session(cores: int | str = "*", name: str = "screenloom", **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can read, as the cluster names it.
+    """The folder for intermediate tables, which every executor can read.
 
-    Only a session without ``spark.checkpoint.dir`` (a local test) gets a
-    temporary folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``.  Without that setting the
+    warehouse is used, which executors share as well; the session's own
+    settings stay as they are.
     """
-    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="screenloom-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder or context.getCheckpointDir()
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, kind: str) -> str:
     """A new, unused path inside the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, kind: str = "table") -> DataFrame:

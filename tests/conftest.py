@@ -9,8 +9,15 @@ from screenloom.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, "screenloom-tests", **{"spark.sql.shuffle.partitions": "4"})
+def spark(tmp_path_factory):
+    session = local_session(
+        4,
+        "screenloom-tests",
+        **{
+            "spark.sql.shuffle.partitions": "4",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+        },
+    )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
