@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenloom.llm import bpe_tree, language_id, simhash
+from screenloom.llm import bpe_tree, language_id, pfair_mix, pii_boost, simhash
 from screenloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -45,3 +46,31 @@ def op6_bpe_tree(spark: SparkSession, sf: str) -> DataFrame:
 def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
+
+
+def listed(spans):
+    """kind:start:end, comma-joined, of spans in order."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+@query("op5_pii_boost")
+def op5_pii_boost(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = pii_boost.fit(docs)
+    found = docs.select("doc_id", pii_boost.spans(docs, model).alias("spans"))
+    base = F.filter("spans", lambda x: x["base"])
+    kinds = F.transform(base, lambda x: x["kind"])
+    counts = [(F.size(base) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii_boost.KINDS]
+    digest = F.sha2(listed(base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, listed("spans").alias("spans"))
+
+
+@query("op10_pfair_mix")
+def op10_pfair_mix(spark: SparkSession, sf: str) -> DataFrame:
+    placed = pfair_mix.placements(table(spark, sf, "documents"))
+    return placed.select(F.col("key").alias("doc_id"), "source", "block", "phase", "slot", "place")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
