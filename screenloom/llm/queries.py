@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenloom.llm import bpe_tree, language_id, pfair_mix, pii_boost, simhash
+from screenloom.llm import ann_scan, bpe_tree, chat_format, cover_tree, language_id, pfair_mix, pii_boost, simhash
 from screenloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -74,3 +74,19 @@ def op10_pfair_mix(spark: SparkSession, sf: str) -> DataFrame:
 @query("pipeline")
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
+
+
+@query("op1_chat_format", chat_format.SQL)
+def op1_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    return chat_format.rendered(table(spark, sf, "conversations"))
+
+
+@query("op3_ann_scan")
+def op3_ann_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return ann_scan.neighbours(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op8_cover_tree")
+def op8_cover_tree(spark: SparkSession, sf: str) -> DataFrame:
+    found = cover_tree.near_duplicates(table(spark, sf, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
