@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenloom.llm import ann_scan, bpe_tree, chat_format, cover_tree, language_id, pfair_mix, pii_boost, simhash
+from screenloom.llm import ann_scan, bpe_tree, chat_format, cover_tree, language_id, lbl_lm, pfair_mix, pii_boost, simhash
 from screenloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -90,3 +90,10 @@ def op3_ann_scan(spark: SparkSession, sf: str) -> DataFrame:
 def op8_cover_tree(spark: SparkSession, sf: str) -> DataFrame:
     found = cover_tree.near_duplicates(table(spark, sf, "embeddings"))
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+@query("op9_lbl_lm")
+def op9_lbl_lm(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    scored = lbl_lm.scores(docs, remainder(7) != 2)
+    return scored.select("doc_id", (remainder(7) == 2).alias("held_out"), *scored.columns[1:])
