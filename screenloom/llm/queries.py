@@ -7,7 +7,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenloom.llm import ann_scan, bpe_tree, chat_format, cover_tree, language_id, lbl_lm, pfair_mix, pii_boost, simhash
+from screenloom.llm import (
+    ann_scan,
+    bpe_tree,
+    chat_format,
+    cover_tree,
+    language_id,
+    lbl_lm,
+    pfair_mix,
+    pii_boost,
+    simhash,
+    suffix_dedup,
+)
 from screenloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -97,3 +108,8 @@ def op9_lbl_lm(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     scored = lbl_lm.scores(docs, remainder(7) != 2)
     return scored.select("doc_id", (remainder(7) == 2).alias("held_out"), *scored.columns[1:])
+
+
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf, "documents"), with_kept=False).drop("kept")
