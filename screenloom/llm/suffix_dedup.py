@@ -10,11 +10,11 @@ run of window starts that share it; its context is the text those windows cover.
 3. The rest, with one specimen of each context of the same GRAM, is sorted.  Suffixes are
    range-partitioned by the leading bytes of their anchors, by splitters that Spark samples; each
    bucket sorts its windows by multikey quicksort, eight bytes a token, groups of one retiring; equal
-   windows stand together.  A GRAM that straddles buckets is compared across the boundary by 128-bit
-   digests of its windows.
+   windows stand together.  A GRAM with more than SPLIT contexts is cut at several buckets; its windows
+   are compared across those boundaries by 128-bit digests.
 
-A frequent passage is one specimen per distinct context however many copies there are, and its
-contexts may be spread over several buckets.  A task holds its bucket's share, never a whole group.
+A frequent passage is one specimen per distinct context however many copies there are.  A task holds
+its bucket's share, never an unbounded group.
 
 Null text reads as empty.  Strings never cross documents and are judged on the input.  Rows are
 identified by id and text together: repeated rows count as copies of each other; null ids are
@@ -41,6 +41,8 @@ from screenloom.session import stored
 SPAN = 200
 GRAM = 64
 WINDOW = SPAN - GRAM + 1
+#: Contexts of one gram that stay in one bucket.
+SPLIT = 8192
 #: Contexts sorted at a time.
 CONTEXTS = 4096
 ANCHOR = "fp long, c long, d long, k long, lo int, size int, p int"
@@ -141,7 +143,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """(d, k, start, stop): window starts whose strings occur elsewhere, as ranges, last included."""
     named = _named(docs, key, text)
     anchors = _anchors(named)
-    twice = anchors.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
+    # Stored, so that the join may split a frequent gram over tasks.
+    twice = stored(anchors.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp"), "grams")
     met = stored(anchors.join(twice, "fp"), "anchors")
     shape = ["fp", "c", "size", (F.col("p") - F.col("lo")).alias("at")]
     contexts = stored(
@@ -151,8 +154,12 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     whole = contexts.filter("n > 1").select("fp", "c", "size", "at")
     settled = met.select(*shape, "d", "k", "lo").join(whole, ["fp", "c", "size", "at"])
     settled = settled.select("d", "k", F.col("lo").alias("start"), (F.col("lo") + F.col("size") - 1).alias("stop"))
-    open_ = contexts.filter("n = 1").select("fp").distinct()
-    specimens = contexts.join(open_, "fp").select("one.*", "fp", "c", "size", "at", (F.col("n") == 1).alias("single"))
+    open_ = contexts.groupBy("fp").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).filter("least = 1")
+    parts = F.ceil(F.col("contexts") / SPLIT)
+    specimens = contexts.join(open_.select("fp", parts.alias("parts")), "fp").select(
+        "one.*", "fp", "c", "size", "at", (F.col("n") == 1).alias("single"),
+        F.pmod("c", "parts").cast("int").alias("sub"), (F.col("parts") > 1).alias("split"),
+    )
     sorted_ = stored(_sorted(_specimen_texts(named, specimens)), "sorted")
     found = sorted_.filter("g1 is null").select("d", "k", "start", "stop")
     return settled.union(found).union(_across(sorted_.filter("g1 is not null")))
@@ -167,9 +174,9 @@ def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _specimen_texts(named: DataFrame, specimens: DataFrame) -> DataFrame:
     """Specimens with the bytes of their contexts and two leading tokens of their anchors."""
-    wanted = specimens.groupBy("d", "k").agg(F.collect_list(F.struct("fp", "c", "lo", "size", "at", "single")).alias("w"))
+    wanted = specimens.groupBy("d", "k").agg(F.collect_list(F.struct("fp", "sub", "lo", "size", "at", "single", "split")).alias("w"))
     joined = named.select("d", "k", _pressed("text").alias("z")).join(wanted, ["d", "k"]).select("d", "k", "z", "w")
-    names = ["lead1", "lead2", "fp", "c", "d", "k", "lo", "size", "at", "single", "body"]
+    names = ["lead1", "lead2", "fp", "d", "k", "sub", "lo", "size", "at", "single", "split", "body"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,46 +186,38 @@ def _specimen_texts(named: DataFrame, specimens: DataFrame) -> DataFrame:
                 for x in w:
                     own = body[x["lo"] : x["lo"] + x["size"] + SPAN - 1]
                     lead = [int.from_bytes(own[x["at"] + i : x["at"] + i + 8], "big") - (1 << 63) for i in (0, 8)]
-                    rows.append((*lead, x["fp"], x["c"], d, k, x["lo"], x["size"], x["at"], x["single"], own))
+                    rows.append((*lead, x["fp"], d, k, x["sub"], x["lo"], x["size"], x["at"], x["single"], x["split"], own))
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
 
-    kinds = [pa.int64()] * 6 + [pa.int32()] * 3 + [pa.bool_(), pa.binary()]
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 4 + [pa.bool_()] * 2 + [pa.binary()]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
     return joined.mapInArrow(
-        cut, "lead1 long, lead2 long, fp long, c long, d long, k long, lo int, size int, at int, single boolean, body binary"
+        cut,
+        "lead1 long, lead2 long, fp long, d long, k long, sub int, lo int, size int, at int, "
+        "single boolean, split boolean, body binary",
     )
 
 
 def _sorted(specimens: DataFrame) -> DataFrame:
-    """Repeated windows of single contexts by bucket; and digests of windows of grams at a bucket's ends."""
+    """Repeated windows of single contexts by bucket; and digests of the windows of grams that are cut."""
+
+    keys = ["lead1", "lead2", "fp", "sub"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        first = True
-        for table in whole_groups(batches, ["lead1", "lead2"], CONTEXTS):
-            if held is not None:
-                yield from _bucket_part(held, first, False)
-                first = False
-            held = table
-        if held is not None:
-            yield from _bucket_part(held, first, True)
-
-    dealt = specimens.repartitionByRange("lead1", "lead2", "c").sortWithinPartitions("lead1", "lead2", "fp")
+        for table in whole_groups(batches, keys, CONTEXTS):
+            yield from _bucket_part(table)
+
+    dealt = specimens.repartitionByRange(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(search, "d long, k long, start int, stop int, g1 long, g2 long")
 
 
-def _bucket_part(table: pa.Table, opens: bool, closes: bool) -> Iterator[pa.RecordBatch]:
-    """Sorts whole lead groups; at the ends of the bucket also tells what a neighbour may need."""
+def _bucket_part(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Sorts whole groups; of a gram that is cut it also tells what the other buckets may need."""
     fp, d, k, lo, size, at = (table.column(c).to_numpy() for c in ("fp", "d", "k", "lo", "size", "at"))
     single = table.column("single").to_numpy()
     body, offsets = utf8(table.column("body").combine_chunks())
     body, offsets = body[offsets[0] : offsets[-1]], offsets - offsets[0]
-    lead = table.column("lead1").to_numpy()
-    edge = np.zeros(len(fp), bool)
-    if opens:
-        edge |= lead == lead[0]
-    if closes:
-        edge |= lead == lead[-1]
+    edge = table.column("split").to_numpy()
     found = np.zeros(int(size.sum()), bool)
     first = np.cumsum(size) - size
     token = tokens_at(body)
@@ -273,7 +272,7 @@ def equal_strings(token: np.ndarray, pointer: np.ndarray, group: np.ndarray) ->
 
 
 def _across(edges: DataFrame) -> DataFrame:
-    """Windows at bucket ends that a window of another bucket equals."""
+    """Windows of cut grams that a window of another bucket equals."""
     twice = edges.groupBy("g1", "g2").agg(F.count("*").alias("n")).filter("n > 1").select("g1", "g2")
     return edges.filter("d is not null").join(twice, ["g1", "g2"]).select("d", "k", "start", "stop")
 
