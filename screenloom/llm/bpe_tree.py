@@ -19,7 +19,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, pairwise
 from struct import pack
 
 import numpy as np
@@ -28,13 +28,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenloom.llm.common import gather_ranges
+from screenloom.llm.common import gather_ranges, row_slices, utf8
 
 #: Bytes up to which a leaf is merged directly, and up to which the merge is a plain loop.
 LEAF_BYTES = 4
 LOOP_BYTES = 48
 #: Entries that the memo of short pieces and of pairs may hold; a full memo starts afresh.
-MEMO = 400_000
+MEMO = 200_000
 #: Bytes up to which pieces go into the memo.
 MEMO_BYTES = 48
 #: Above every rank.
@@ -200,6 +200,11 @@ class Decoder:
         return self.body[gather_ranges(self.start[ids], self.size[ids])].tobytes()
 
 
+def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Row ranges of bounded size, so that few rows are Python objects at a time."""
+    return row_slices(np.diff(np.asarray(column.offsets) if pa.types.is_list(column.type) else utf8(column)[1]))
+
+
 def encoded(
     docs: DataFrame, path: str, pattern: str, text: str = "text", cut_at_spaces: bool = False
 ) -> Column:
@@ -213,9 +218,12 @@ def encoded(
     def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(ranks.value, pattern, cut_at_spaces)
         for column in columns:
-            rows = [encoder.packed(t) if t else b"" for t in column.to_pylist()]
-            ends = np.cumsum([0, *map(len, rows)]) // 4
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), np.frombuffer(b"".join(rows), "<i4"))
+            done = [pa.array([], pa.list_(pa.int32()))]
+            for a, b in _slices(column.cast(pa.large_binary())):
+                rows = [encoder.packed(t) if t else b"" for t in column.slice(a, b - a).to_pylist()]
+                ends = np.cumsum([0, *map(len, rows)]) // 4
+                done.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), np.frombuffer(b"".join(rows), "<i4")))
+            yield pa.concat_arrays(done)
 
     return encode(F.col(text))
 
@@ -230,8 +238,9 @@ def decoded(docs: DataFrame, path: str, ids: str = "ids") -> Column:
         for column in columns:
             values = column.values.to_numpy(zero_copy_only=False)
             offsets = np.asarray(column.offsets)
-            yield pa.array(
-                [decoder.decode(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary()
-            )
+            done = [pa.array([], pa.binary())]
+            for a, b in _slices(column):
+                done.append(pa.array([decoder.decode(values[x:y]) for x, y in pairwise(offsets[a : b + 1])], pa.binary()))
+            yield pa.concat_arrays(done)
 
     return decode(F.col(ids))
