@@ -26,7 +26,6 @@ ENTITY, ATOM = "entity_id", "atom_id"
 HUB_DEGREE = 1_000_000
 HUB_SALTS = 64
 MAX_HUBS = 1_000_000
-MAX_ATOM_TYPES = 100_000
 
 
 def bond_ends(bonds: DataFrame) -> DataFrame:
@@ -250,7 +249,7 @@ def map_bits(
     )
 
 
-def count_components(atoms: DataFrame, bonds: DataFrame, max_rounds: int = 60) -> DataFrame:
+def count_components(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """(entity_id, n_components): connected pieces of every entity.
 
     Each round an atom takes the lowest label among itself and its neighbours and
@@ -259,7 +258,7 @@ def count_components(atoms: DataFrame, bonds: DataFrame, max_rounds: int = 60) -
     """
     ends = stored(bond_ends(bonds.select(ENTITY, "a", "b")), "ends")
     labels = atoms.select(ENTITY, ATOM, F.col(ATOM).alias("piece"))
-    for _ in range(max_rounds):
+    while True:
         near = (
             ends.join(
                 labels.select(ENTITY, F.col(ATOM).alias("other"), F.col("piece").alias("_near")),
@@ -284,8 +283,6 @@ def count_components(atoms: DataFrame, bonds: DataFrame, max_rounds: int = 60) -
             lower.select(ENTITY, ATOM, "_low").join(jump, [ENTITY, "_low"]).select(ENTITY, ATOM, "piece"),
             "labels",
         )
-    else:
-        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     return labels.groupBy(ENTITY).agg(
         F.count_if(F.col("piece") == F.col(ATOM)).alias("n_components")
     )
@@ -323,10 +320,6 @@ def descriptors(
     if contributions is not None:
         kind = atom_type(F.col("element"), F.col("aromatic"), F.col("n_h"))
         table = contributions.select("atom_type", "logp", "tpsa")
-        # One atom type may be a third of all atoms, so a table of usual size is
-        # broadcast; a larger one is left to a skew-aware shuffle join.
-        if table.limit(MAX_ATOM_TYPES + 1).count() <= MAX_ATOM_TYPES:
-            table = F.broadcast(table)
         full = full.withColumn("atom_type", kind).join(table, "atom_type", "left")
     else:
         nothing = F.lit(None).cast("double")

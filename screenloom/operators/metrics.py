@@ -20,8 +20,13 @@ from screenloom.operators.running import running_totals
 def score_histogram(
     df: DataFrame, score: str = "score", label: str = K.LABEL, by: Sequence[str] = ()
 ) -> DataFrame:
+    """Positives and negatives per distinct score.
+
+    Rows without a score (null or NaN) or with a label other than 0 and 1 are left out.
+    """
+    scored = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
     return (
-        df.filter(F.col(score).isNotNull() & F.col(label).isin(0, 1))
+        df.filter(scored & F.col(label).isin(0, 1))
         .groupBy(*by, F.col(score).cast("double").alias("score"))
         .agg(
             F.count_if(F.col(label) == 1).alias("n_pos"),

@@ -12,7 +12,7 @@ from screenloom.functions.keys import text_key
 from screenloom.operators import features, graph
 from screenloom.plans import inputs as I
 from screenloom.plans.registry import query
-from screenloom.session import scratch_path, spread, stored
+from screenloom.session import scratch_path, stored
 from screenloom.sources import records
 from screenloom.sources.tables import read_table
 
@@ -44,7 +44,7 @@ bits AS (
     f"WITH {_SQL_SHINGLES} SELECT doc_id, string_agg(bit, ',' ORDER BY bit) AS bits, count(*) AS n_bits FROM bits GROUP BY doc_id",
 )
 def shingle_fp(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spread(read_table(spark, sf, "documents").select("doc_id", "text")).select(
+    rows = read_table(spark, sf, "documents").select(
         "doc_id", features.shingle_bits(F.col("text")).alias("b")
     )
     return rows.select("doc_id", _bits_text("b").alias("bits"), F.size("b").cast("bigint").alias("n_bits"))
@@ -57,7 +57,7 @@ def shingle_fp(spark: SparkSession, sf: str) -> DataFrame:
 )
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
     """Sparse combined vectors (2,048 bits + 2 descriptors), stored and read back."""
-    texts = spread(read_table(spark, sf, "documents").select("doc_id", "text", "n_chars"))
+    texts = read_table(spark, sf, "documents")
     docs = texts.select(
         "doc_id",
         F.col("n_chars").cast("double").alias("n_chars"),

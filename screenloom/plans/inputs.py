@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenloom.functions.keys import TEXT, key_digest, notation_key
-from screenloom.session import spread
 from screenloom.sources.tables import read_table
 
 # --- labelled documents -------------------------------------------------------
@@ -51,7 +50,7 @@ def digest_documents(spark: SparkSession, sf: str) -> DataFrame:
     labels = read_table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
     docs = read_table(spark, sf, "documents")
     return (
-        spread(docs.filter(TEXT.is_valid(F.col("text"))))
+        docs.filter(TEXT.is_valid(F.col("text")))
         .select(
             "doc_id",
             key_digest(TEXT.canonical(F.col("text"))).alias("key_digest"),

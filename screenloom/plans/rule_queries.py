@@ -9,7 +9,7 @@ from screenloom.functions import tiers
 from screenloom.operators import merging, scoring, summaries
 from screenloom.plans import inputs as I
 from screenloom.plans.registry import query
-from screenloom.session import scratch_path, spread
+from screenloom.session import scratch_path
 from screenloom.sources import delimited
 from screenloom.sources.tables import read_table
 from screenloom.streaming.scoring import file_stream, score_stream
@@ -192,7 +192,7 @@ def score_passthrough(spark: SparkSession, sf: str) -> DataFrame:
     wanted = ["row_id", "SMILES", "name"]
     delimited.write_delimited(rows.select(*wanted), source)
     schema = "row_id BIGINT, SMILES STRING, name STRING"
-    read = spread(delimited.read_delimited(spark, source, schema, null_tokens=False))
+    read = delimited.read_delimited(spark, source, schema, null_tokens=False)
     key = merging.resolve_column(read.columns, "smiles")
     features = I.screened_orders(spark, sf).drop("input_smiles", "name")
     scored = scoring.score_batch(
@@ -278,7 +278,7 @@ def compare_properties(spark: SparkSession, sf: str) -> DataFrame:
 def stream_score(spark: SparkSession, sf: str) -> DataFrame:
     """The batch transform over a file stream; the result must equal ``score_batch``."""
     schema = read_table(spark, sf, "orders").schema
-    stream = file_stream(spark, sf, schema, glob="orders.parquet")
+    stream = file_stream(spark, f"{sf}/orders.parquet*", schema)
     out = scratch_path(spark, "stream-out")
 
     def transform(rows: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ def local_session(cores: int | str = "*", name: str = "screenloom", **conf: str)
         # Small tables, costly rows: let small partitions stay apart on all cores.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Small files, costly rows: several splits to a file.
+        .config("spark.sql.files.maxPartitionBytes", "1m")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
     )
@@ -51,12 +53,3 @@ def stored(df: DataFrame, kind: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than cores before costly per-row work.
-
-    Large tables have splits enough and pass through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

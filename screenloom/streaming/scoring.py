@@ -16,14 +16,14 @@ from screenloom.session import scratch_path
 
 
 def file_stream(
-    spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet", per_trigger: int = 64
+    spark: SparkSession, path: str, schema: T.StructType, per_trigger: int = 64
 ) -> DataFrame:
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", per_trigger)
-        .parquet(folder)
-    )
+    """A stream of the Parquet files under ``path``: a folder, or a pattern of files or folders.
+
+    A path that matches nothing is an error, as in a batch.
+    """
+    spark.read.schema(schema).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
 def score_stream(

@@ -3,7 +3,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from screenloom.session import scratch_path, spread, stored
+from screenloom.session import scratch_path, stored
 from screenloom.sources import delimited, records
 
 
@@ -55,8 +55,7 @@ def test_json_splits_and_snapshot(spark, tmp_path):
     assert len(built) == 3
 
 
-def test_scratch_and_spread(spark):
+def test_scratch(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     df = spark.range(10).withColumn("t", F.col("id") * 2)
     assert stored(df).count() == 10
-    assert spread(df.coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
