@@ -41,6 +41,8 @@ CENTRES = 16
 RADII = (1.0, 0.5, 0.25, 0.125)
 #: Safety margin of all bounds against rounding.
 SLACK = 1e-9
+#: The margin of cosines in single precision.
+ROUGH = 1e-5
 ROWS = 1024
 
 
@@ -61,6 +63,7 @@ class Tree(NamedTuple):
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, np.float64)
     x = x / np.abs(x).max(1, keepdims=True)  # neither overflow nor underflow in the norm
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -94,13 +97,14 @@ def build(raw: np.ndarray, ids: np.ndarray, weight: np.ndarray) -> Tree:
         np.maximum.at(reach, node, apart[center[node], np.arange(n)])
         levels.append(Level(center, np.array(parents), reach, node))
     levels.append(Level(np.arange(n), levels[-1].node, np.zeros(n), np.arange(n)))
-    return Tree(ids, weight, raw, levels)
+    single = raw.astype(np.float32)
+    return Tree(ids, weight, single if np.array_equal(single, raw) else raw, levels)
 
 
 def dual(a: Tree, b: Tree, same: bool, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Linked weight by point of a and of b, and a forest over the links (heads, tails; b's points follow a's)."""
-    limit = np.sqrt(2 - 2 * cosine)
-    xa, xb = unit(a.raw), unit(b.raw)
+    limit = float(np.sqrt(2 - 2 * cosine))
+    xa, xb = unit(a.raw).astype(np.float32), unit(b.raw).astype(np.float32)  # for bounds only
     na, nb = len(xa), len(xb)
     count_a, count_b = np.zeros(na, np.int64), np.zeros(nb, np.int64)
     heads, tails = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -113,11 +117,16 @@ def dual(a: Tree, b: Tree, same: bool, cosine: float = COSINE) -> tuple[np.ndarr
         rows, cols = np.flatnonzero(met.any(1)), np.flatnonzero(met.any(0))
         if not len(rows):
             return count_a, count_b, np.concatenate(heads), np.concatenate(tails)
-        apart = np.sqrt(np.maximum(0, 2 - 2 * (xa[la.center[rows]] @ xb[lb.center[cols]].T)))
-        reach = la.radius[rows][:, None] + lb.radius[cols]
-        within = met[np.ix_(rows, cols)] & (apart <= limit + reach + SLACK)
+        # Distances are compared by their cosines: d <= r where cosine >= 1 - r^2 / 2.
+        near = xa[la.center[rows]] @ xb[lb.center[cols]].T
+        reach = (la.radius[rows][:, None] + lb.radius[cols]).astype(np.float32)
+        within = near >= 1 - ROUGH - (limit + reach) ** 2 / 2
+        within &= met[np.ix_(rows, cols)]
         alive = np.zeros(met.shape, bool)
-        inside = within & (apart + reach <= limit - SLACK)
+        inside = np.zeros(within.shape, bool)
+        i, j = np.nonzero(within)
+        left = limit - reach[i, j]
+        inside[i, j] = (left > 0) & (near[i, j] >= 1 + ROUGH - left**2 / 2)
         alive[np.ix_(rows, cols)] = within & ~inside
         if inside.any():
             _link_nodes(rows, cols, inside, la, lb, a, b, same, count_a, count_b, heads, tails, shift)
@@ -126,7 +135,7 @@ def dual(a: Tree, b: Tree, same: bool, cosine: float = COSINE) -> tuple[np.ndarr
         other = np.flatnonzero(met[own].any(0))
         if not len(own):
             continue
-        near = met[np.ix_(own, other)] & (xa[own] @ xb[other].T >= cosine - SLACK)
+        near = met[np.ix_(own, other)] & (xa[own] @ xb[other].T >= cosine - ROUGH)
         i, j = np.nonzero(near)
         i, j = own[i], other[j]
         keep = exact_cosine(a.raw[i], b.raw[j]) >= cosine
@@ -177,6 +186,7 @@ def _link_nodes(rows, cols, inside, la, lb, a, b, same, count_a, count_b, heads,
 
 def exact_cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Cosines of rows; of scaled rows where the plain squares over- or underflow."""
+    x, y = np.asarray(x, np.float64), np.asarray(y, np.float64)
     sx, sy = np.abs(x).max(1, initial=1e-300, keepdims=True), np.abs(y).max(1, initial=1e-300, keepdims=True)
     far = (sx > 1e100) | (sx < 1e-100) | (sy > 1e100) | (sy < 1e-100)
     x, y = np.where(far, x / sx, x), np.where(far, y / sy, y)
