@@ -44,6 +44,8 @@ SLACK = 1e-9
 #: The margin of cosines in single precision.
 ROUGH = 1e-5
 ROWS = 1024
+#: A level of two trees is walked if its pairs of nodes are fewer than those of points by this factor.
+FEWER = 4
 
 
 class Level(NamedTuple):
@@ -111,9 +113,12 @@ def dual(a: Tree, b: Tree, same: bool, cosine: float = COSINE) -> tuple[np.ndarr
     shift = 0 if same else na
     alive = np.ones((1, 1), bool)
     for depth, (la, lb) in enumerate(zip(a.levels, b.levels, strict=True)):
-        met = alive[la.parent][:, lb.parent] if depth else alive
-        if depth + 1 == len(a.levels):
+        if depth and len(la.center) * len(lb.center) * FEWER > na * nb:
+            # Levels of little more than single points would save nothing: go down to the points.
+            la, lb = a.levels[depth - 1], b.levels[depth - 1]
+            met = alive[la.node][:, lb.node]
             break
+        met = alive[la.parent][:, lb.parent] if depth else alive
         rows, cols = np.flatnonzero(met.any(1)), np.flatnonzero(met.any(0))
         if not len(rows):
             return count_a, count_b, np.concatenate(heads), np.concatenate(tails)
