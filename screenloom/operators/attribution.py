@@ -2,7 +2,8 @@
 
 A tree is a sum over its leaves; a leaf's share depends only on the features on
 its path.  For each leaf and path feature the path-dependent Shapley value is a
-closed form over the other path features, evaluated for whole Arrow batches.
+closed form over the other path features, evaluated per pattern of intervals and
+looked up for whole Arrow batches.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from screenloom import constants as K
 from screenloom.session import scratch_path
 
-# Nodes are collected and broadcast; their number is set by the model's parameters.
-MAX_NODES = 2_000_000
+# Numbers that a table of patterns may hold at a time.
+CELLS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -34,7 +36,10 @@ class Leaf:
 
 
 def read_nodes(spark: SparkSession, model) -> pd.DataFrame:
-    """Node table of a fitted tree ensemble, from its saved form."""
+    """Node table of a fitted tree ensemble, from its saved form.
+
+    The driver holds the model itself, so it can hold its nodes; their number is set by the model's parameters.
+    """
     path = scratch_path(spark, "ensemble")
     model.write().save(path)
     weights = spark.read.parquet(f"{path}/treesMetadata").toDF("tree_id", "meta", "weight")
@@ -50,10 +55,7 @@ def read_nodes(spark: SparkSession, model) -> pd.DataFrame:
         F.try_element_at(n["split"]["leftCategoriesOrThreshold"], F.lit(1)).alias("threshold"),
         n["split"]["numCategories"].alias("n_categories"),
     )
-    rows = nodes.join(F.broadcast(weights.drop("meta")), "tree_id")
-    if rows.limit(MAX_NODES + 1).count() > MAX_NODES:
-        raise ValueError(f"the ensemble has more than {MAX_NODES} nodes")
-    return rows.toPandas()
+    return nodes.join(weights.drop("meta"), "tree_id").toPandas()
 
 
 def leaf_paths(nodes: pd.DataFrame, classes: bool) -> list[Leaf]:
@@ -104,62 +106,129 @@ def base_value(leaves: list[Leaf]) -> float:
     return sum(leaf.value * math.prod(leaf.cover) for leaf in leaves)
 
 
-def batch_attributions(x: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
-    """Shapley values of a batch, (rows, features)."""
-    out = np.zeros(x.shape)
+@dataclass(frozen=True)
+class LeafGroup:
+    """Leaves with equally many path features, as arrays (leaf, path feature)."""
+
+    value: np.ndarray
+    features: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    cover: np.ndarray
+
+
+def grouped(leaves: list[Leaf], used: list[int]) -> list[LeafGroup]:
+    """Leaves by path length; features are numbered by their place in ``used``."""
+    place = {f: i for i, f in enumerate(used)}
+    by_length: dict[int, list[Leaf]] = {}
     for leaf in leaves:
-        d = len(leaf.features)
-        if d == 0:
-            continue
-        inside = [
-            ((x[:, f] > lo) & (x[:, f] <= hi)).astype(float)
-            for f, lo, hi in zip(leaf.features, leaf.low, leaf.high)
-        ]
-        share = [math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)]
-        for i, f in enumerate(leaf.features):
-            # Coefficient k: sum over all sets of k other features held at the row's value.
-            terms = [np.ones(len(x))]
-            for j in range(d):
-                if j == i:
-                    continue
-                z, o = leaf.cover[j], inside[j]
-                grown = [t * z for t in terms] + [np.zeros(len(x))]
-                for k, t in enumerate(terms):
-                    grown[k + 1] = grown[k + 1] + t * o
-                terms = grown
-            weighted = sum(s * t for s, t in zip(share, terms))
-            out[:, f] += leaf.value * (inside[i] - leaf.cover[i]) * weighted
+        if leaf.features:  # a bare root explains nothing
+            by_length.setdefault(len(leaf.features), []).append(leaf)
+    return [
+        LeafGroup(
+            np.array([leaf.value for leaf in some]),
+            np.array([[place[f] for f in leaf.features] for leaf in some]),
+            np.array([leaf.low for leaf in some]),
+            np.array([leaf.high for leaf in some]),
+            np.array([leaf.cover for leaf in some]),
+        )
+        for some in by_length.values()
+    ]
+
+
+def pattern_values(inside: np.ndarray, cover: np.ndarray) -> np.ndarray:
+    """Shapley values (leaf, path feature, pattern) of leaves of value 1.
+
+    A row matters to a leaf only by which path intervals it lies in: ``inside``
+    (pattern, path feature) holds such patterns, ``cover`` (leaf, path feature) the ratios.
+    """
+    d = cover.shape[1]
+    share = np.array([math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)])
+    out = np.empty((len(cover), d, len(inside)))
+    for i in range(d):
+        # Coefficient k: sum over all sets of k other features held at the row's value.
+        terms = np.zeros((d, len(cover), len(inside)))
+        terms[0] = 1.0
+        degree = 0
+        for j in range(d):
+            if j == i:
+                continue
+            z, o = cover[:, j, None], inside[None, :, j]
+            degree += 1
+            for k in range(degree, 0, -1):
+                terms[k] = terms[k] * z + terms[k - 1] * o
+            terms[0] *= z
+        out[:, i] = (inside[None, :, i] - cover[:, i, None]) * np.tensordot(share, terms, 1)
     return out
 
 
+def batch_attributions(x: np.ndarray, groups: list[LeafGroup]) -> np.ndarray:
+    """Shapley values of a batch, (rows, used features).
+
+    A leaf has at most 2**d patterns: their values are computed once and looked up by row.
+    """
+    columns = np.ascontiguousarray(x.T)
+    out = np.zeros(columns.shape)
+    for group in groups:
+        d = group.features.shape[1]
+        every = 2**d <= len(x)
+        step = max(1, CELLS // (d * d * 2**d)) if every else 1
+        for first in range(0, len(group.value), step):
+            chunk = range(first, min(first + step, len(group.value)))
+            if every:
+                tables = pattern_values(_bits(np.arange(2**d), d), group.cover[chunk.start : chunk.stop])
+            for leaf in chunk:
+                code = np.zeros(len(x), np.int64)
+                for j, f in enumerate(group.features[leaf]):
+                    within = (columns[f] > group.low[leaf, j]) & (columns[f] <= group.high[leaf, j])
+                    code |= within.astype(np.int64) << j
+                if every:
+                    table = tables[leaf - first]
+                else:  # only the patterns that occur
+                    seen, code = np.unique(code, return_inverse=True)
+                    table = pattern_values(_bits(seen, d), group.cover[leaf : leaf + 1])[0]
+                table = table * group.value[leaf]
+                for j, f in enumerate(group.features[leaf]):
+                    out[f] += table[j].take(code)
+    return out.T
+
+
+def _bits(codes: np.ndarray, d: int) -> np.ndarray:
+    return ((codes[:, None] >> np.arange(d)) & 1).astype(float)
+
+
 ATTRIBUTION_SCHEMA = "row_id BIGINT, feature_index INT, value DOUBLE, shap DOUBLE"
 
 
 def attributions(
     df: DataFrame, leaves: list[Leaf], features: str = "features", id_col: str = K.ROW_ID
 ) -> DataFrame:
-    """Long table of the non-zero attributions of every row."""
-    shared = df.sparkSession.sparkContext.broadcast(leaves)
+    """Long table of the non-zero attributions of every row.
+
+    Only the features that the ensemble uses leave the JVM.
+    """
+    used = sorted({f for leaf in leaves for f in leaf.features}) or [0]
+    shared = df.sparkSession.sparkContext.broadcast((np.array(used), grouped(leaves, used)))
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if batch.empty:
                 continue
             x = np.stack(batch["x"].to_numpy())
-            phi = batch_attributions(x, shared.value)
+            names, groups = shared.value
+            phi = batch_attributions(x, groups)
             row, col = np.nonzero(phi)
             yield pd.DataFrame(
                 {
                     "row_id": batch["row_id"].to_numpy()[row],
-                    "feature_index": col.astype(np.int32),
+                    "feature_index": names[col].astype(np.int32),
                     "value": x[row, col],
                     "shap": phi[row, col],
                 }
             )
 
-    rows = df.select(
-        F.col(id_col).cast("bigint").alias("row_id"), vector_to_array(features).alias("x")
-    )
+    sliced = VectorSlicer(inputCol=features, outputCol="_used", indices=used).transform(df)
+    rows = sliced.select(F.col(id_col).cast("bigint").alias("row_id"), vector_to_array("_used").alias("x"))
     return rows.mapInPandas(explain, ATTRIBUTION_SCHEMA)
 
 

@@ -1,27 +1,37 @@
 """Exact running totals over any number of distinct scores.
 
-A window over the whole table would put every row into one task.  Here the
-scores are cut into three levels by their binary digits (20 bits, 20 bits, the
-rest).  Each level is totalled inside its parent, and the level totals are handed
-down by equi-joins, so no window ever holds more than about a million narrow
-rows, wherever the scores cluster.  Multiplying a double by a power of two is
-exact, so the digits are exact and so are the totals.
+A window over the whole table would put every row into one task.  Here the rows
+are cut into RANGES ranges at their own approximate quantiles, wherever the scores
+lie.  Rows are totalled inside their range, and the totals of the ranges before it
+are handed down by an equi-join.  The cuts only balance the ranges; the totals are
+exact whatever the cuts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BITS = 20
-_SIZE = float(2**BITS)
+from screenloom.session import stored
 
+RANGES = 1024
+#: A quantile is off by at most one part in this many of the rows.
+ACCURACY = 10_000
 
-def _digit(x: Column) -> Column:
-    """Whole part of x in units of 2**-20, held inside [0, 2**20]."""
-    return F.least(F.greatest(F.floor(x * _SIZE), F.lit(0)), F.lit(2**BITS)).cast("int")
+
+def ranged(hist: DataFrame, order_col: str) -> DataFrame:
+    """Add ``_range``: ranges of about equally many rows that follow the order of ``order_col``."""
+    value = F.col(order_col).cast("double") + 0.0  # one zero, not two
+    shares = [i / RANGES for i in range(1, RANGES)]
+    found = hist.agg(F.percentile_approx(value, shares, ACCURACY).alias("cuts")).first()["cuts"]
+    cuts = sorted({c for c in found or [] if math.isfinite(c)} or {0.0})
+    splits = [-math.inf, *cuts, math.inf]
+    buckets = Bucketizer(splits=splits, inputCol="_value", outputCol="_range", handleInvalid="keep")
+    return buckets.transform(hist.withColumn("_value", value)).withColumn("_range", F.col("_range").cast("int"))
 
 
 def running_totals(
@@ -34,60 +44,35 @@ def running_totals(
 ) -> DataFrame:
     """Add ``cum_<v>`` (inclusive) for every value column; ``total_<v>`` if asked.
 
-    ``hist`` holds one row per (by, order value), order values mostly in [0, 1]
-    (others are right too, but share a group).
+    ``hist`` holds one row per (by, order value); it is stored, as its cuts are
+    found before its totals.  NaN comes after all numbers; rows without an order
+    value are left out.
     """
     by = list(by)
     order = F.desc if descending else F.asc
-    s = F.col(order_col)
-    cut = hist.withColumn("_d1", _digit(s)).withColumn(
-        "_d2", _digit(s * _SIZE - F.col("_d1"))
-    )
+    cut = ranged(stored(hist, "hist"), order_col)
     upto = (Window.unboundedPreceding, Window.currentRow)
-
-    def window(keys: Sequence[str], by_col: str):
-        keys = list(keys) or [F.lit(0)]
-        return Window.partitionBy(*keys).orderBy(order(by_col)).rowsBetween(*upto)
-
-    sums = [F.sum(v).alias(f"_s_{v}") for v in values]
-    mid = cut.groupBy(*by, "_d1", "_d2").agg(*sums)
-    top = mid.groupBy(*by, "_d1").agg(*[F.sum(f"_s_{v}").alias(f"_s_{v}") for v in values])
-    top_w = window(by, "_d1")
-    whole = Window.partitionBy(*(by or [F.lit(0)]))
-    top = top.select(
+    series = Window.partitionBy(*(by or [F.lit(0)]))
+    before = series.orderBy(order("_range")).rowsBetween(*upto)
+    # At most RANGES + 1 rows to a series.
+    sums = cut.groupBy(*by, "_range").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
+    offsets = sums.select(
         *by,
-        "_d1",
-        *[(F.sum(f"_s_{v}").over(top_w) - F.col(f"_s_{v}")).alias(f"_o1_{v}") for v in values],
-        *(
-            [F.sum(f"_s_{v}").over(whole).alias(f"total_{v}") for v in values]
-            if with_total
-            else []
-        ),
+        "_range",
+        *[(F.sum(f"_s_{v}").over(before) - F.col(f"_s_{v}")).alias(f"_before_{v}") for v in values],
+        *([F.sum(f"_s_{v}").over(series).alias(f"total_{v}") for v in values] if with_total else []),
     )
-    mid_w = window([*by, "_d1"], "_d2")
-    mid = mid.select(
-        *by,
-        "_d1",
-        "_d2",
-        *[(F.sum(f"_s_{v}").over(mid_w) - F.col(f"_s_{v}")).alias(f"_o2_{v}") for v in values],
-    ).join(top, [*by, "_d1"])
-    low_w = window([*by, "_d1", "_d2"], order_col)
-    low = cut
-    for v in values:
-        low = low.withColumn(f"_o3_{v}", F.sum(v).over(low_w))
-    joined = low.join(mid, [*by, "_d1", "_d2"])
-    return joined.select(
+    inside = Window.partitionBy(*by, "_range").orderBy(order("_value")).rowsBetween(*upto)
+    local = cut.withColumns({f"_inside_{v}": F.sum(v).over(inside) for v in values})
+    return local.join(offsets, [*by, "_range"]).select(
         *hist.columns,
-        *[
-            (F.col(f"_o1_{v}") + F.col(f"_o2_{v}") + F.col(f"_o3_{v}")).alias(f"cum_{v}")
-            for v in values
-        ],
+        *[(F.col(f"_before_{v}") + F.col(f"_inside_{v}")).alias(f"cum_{v}") for v in values],
         *([f"total_{v}" for v in values] if with_total else []),
     )
 
 
 def exact_quantile(df: DataFrame, col: str, q: float) -> float:
-    """Linearly interpolated quantile of a column in [0, 1], exact at any size.
+    """Linearly interpolated quantile of a column, exact at any size.
 
     The two neighbouring order statistics come back to the driver, nothing else.
     """
