@@ -10,10 +10,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from screenloom import constants as K
 from screenloom.operators import attribution, features, models, outliers, summaries
 from screenloom.operators.splitting import stratified_folds, stratified_split
 from screenloom.plans import training
+from screenloom.plans import inputs as I
 from screenloom.plans.registry import query
+from screenloom.plans.split_queries import SQL_SPLIT_OF
 from screenloom.session import scratch_path, stored
 from screenloom.sources.tables import read_table
 
@@ -22,7 +25,8 @@ SMALL = {
     models.LOGISTIC: {"max_iter": 50},
     models.FOREST: {"n_estimators": 10, "max_depth": 4},
 }
-_FOREST = {"trees": 50, "sample": 128}
+_SQL_SPLIT = f"""WITH base AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(label >= 5 AS INTEGER) AS label FROM embeddings),
+{SQL_SPLIT_OF} SELECT CAST(id AS BIGINT) AS row_id, label, split, true AS recomputed FROM split WHERE split <> 'train'"""
 
 
 def _rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,25 +46,41 @@ def _split_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
     return weighted, models.build_models(n, SMALL)
 
 
+def _from_leaves(model, rows: DataFrame, classes: bool) -> DataFrame:
+    """(row_id, total): the base value and all attributions of a row, from the exported nodes."""
+    leaves = attribution.leaf_paths(attribution.read_nodes(rows.sparkSession, model), classes=classes)
+    sums = attribution.attributions(rows, leaves).groupBy("row_id").agg(F.sum("shap").alias("sum"))
+    total = F.lit(attribution.base_value(leaves)) + F.coalesce("sum", F.lit(0.0))
+    return rows.select("row_id").join(sums, "row_id", "left").select("row_id", total.alias("total"))
+
+
 def _score_test(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """Rows outside the training split, and whether their score follows from the exported model."""
     rows, small = _split_rows(spark, sf)
     model = small[name].fit(rows.filter("split = 'train'"))
-    return models.add_score(model, rows.filter("split <> 'train'")).select(
-        "row_id", "label", "split", "score"
-    )
-
-
-@query("train_score")
+    tested = rows.filter("split <> 'train'")
+    scored = models.add_score(model, tested).select("row_id", "label", "split", "score", vector_to_array("features").alias("x"))
+    if name == models.LOGISTIC:
+        weights = F.array(*[F.lit(float(w)) for w in model.coefficients])
+        dot = F.aggregate(F.zip_with("x", weights, lambda a, b: a * b), F.lit(float(model.intercept)), lambda s, t: s + t)
+        scored, own = scored.withColumn("total", dot), 1 / (1 + F.exp(-F.col("total")))
+    else:
+        scored = scored.join(_from_leaves(model, tested, name == models.FOREST), "row_id")
+        own = F.col("total") if name == models.FOREST else 1 / (1 + F.exp(-2 * F.col("total")))
+    return scored.select("row_id", "label", "split", (F.abs(F.col("score") - own) < 1e-9).alias("recomputed"))
+
+
+@query("train_score", _SQL_SPLIT)
 def train_score(spark: SparkSession, sf: str) -> DataFrame:
     return _score_test(spark, sf, models.BOOSTED)
 
 
-@query("train_score_lr")
+@query("train_score_lr", _SQL_SPLIT)
 def train_score_lr(spark: SparkSession, sf: str) -> DataFrame:
     return _score_test(spark, sf, models.LOGISTIC)
 
 
-@query("train_score_rf")
+@query("train_score_rf", _SQL_SPLIT)
 def train_score_rf(spark: SparkSession, sf: str) -> DataFrame:
     return _score_test(spark, sf, models.FOREST)
 
@@ -84,35 +104,53 @@ def tune_search(spark: SparkSession, sf: str) -> DataFrame:
     return models.search(train, small, folds=2)
 
 
-@query("calibrate")
+@query(
+    "calibrate",
+    f"""WITH {I.SQL_HIST},
+    binned AS (SELECT floor(score * 100) / 100 AS s, sum(label)::DOUBLE AS p, count(*)::DOUBLE AS n FROM scored GROUP BY 1),
+    summed AS (SELECT s, p, n, row_number() OVER (ORDER BY s) AS k, sum(p) OVER (ORDER BY s) AS cp, sum(n) OVER (ORDER BY s) AS cn
+               FROM binned),
+    lows AS (SELECT i.s, a.k, min((b.cp - a.cp + a.p) / (b.cn - a.cn + a.n)) AS low
+             FROM summed i JOIN summed a ON a.k <= i.k JOIN summed b ON b.k >= i.k GROUP BY 1, 2)
+    SELECT s AS score, round(max(low), 9) AS calibrated FROM lows GROUP BY 1""",
+)
 def calibrate(spark: SparkSession, sf: str) -> DataFrame:
-    rows, small = _split_rows(spark, sf)
-    model = small[models.BOOSTED].fit(rows.filter("split = 'train'"))
-    scored = stored(models.add_score(model, rows).select("row_id", "label", "split", "score"), "scored")
-    iso = models.calibrate(scored.filter("split = 'val'"))
-    return models.add_calibrated(iso, scored.filter("split = 'test'"))
+    """The isotonic map fitted on scores in steps of a hundredth, at each of them."""
+    rows = I.scored_events(spark, sf).withColumn("score", F.floor(F.col("score") * 100) / 100)
+    model = models.calibrate(rows)
+    each = rows.select("score").distinct()
+    return models.add_calibrated(model, each).select("score", F.round("calibrated", 9).alias("calibrated"))
 
 
-@query("anomaly_fit")
+@query(
+    "anomaly_fit",
+    f"""SELECT CAST(i AS INTEGER) AS tree_id, CAST(least({K.FOREST_SAMPLE}, (SELECT count(*) FROM embeddings)) AS INTEGER) AS n_rows,
+    true AS whole FROM range({K.FOREST_TREES}) r(i)""",
+)
 def anomaly_fit(spark: SparkSession, sf: str) -> DataFrame:
-    """Size and depth of every tree."""
-    forest = outliers.OutlierForest.fit(_rows(spark, sf), "x", "row_id", **_FOREST)
+    """Every tree: its sample, and whether its leaves share the sample out and its nodes make a tree."""
+    forest = outliers.OutlierForest.fit(_rows(spark, sf), "x", "row_id")
     path = scratch_path(spark, "forest")
     forest.save(spark, path)
-    return spark.read.parquet(path).groupBy("tree_id").agg(
-        F.count("*").alias("n_nodes"), F.max("depth").alias("depth"), F.max("n_rows").alias("n_rows")
-    )
+    leaf = F.col("feature") < 0
+    n = F.max("n_rows")
+    whole = (F.sum(F.when(leaf, F.col("n_rows"))) == n) & (F.count("*") == 2 * F.count_if(leaf) - 1)
+    deep = F.max("depth") <= F.ceil(F.log2(n))
+    return spark.read.parquet(path).groupBy("tree_id").agg(n.alias("n_rows"), (whole & deep).alias("whole"))
 
 
-@query("anomaly_score")
+@query("anomaly_score", "SELECT vec_id AS row_id, true AS consistent, true AS share_right FROM embeddings")
 def anomaly_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each status is the sign of its score, and the rows out of domain are the share asked for."""
     rows = _rows(spark, sf)
-    forest = outliers.OutlierForest.fit(rows, "x", "row_id", **_FOREST)
-    scored = forest.apply(rows, "x")
+    forest = outliers.OutlierForest.fit(rows, "x", "row_id")
+    scored = stored(forest.apply(rows, "x").select("row_id", "domain_score", "domain_status"), "domain")
+    out, n = scored.agg(F.count_if(F.col("domain_status") == -1), F.count("*")).first()
     more = outliers.domain_columns(F.col("domain_status"))
-    return scored.select(
-        "row_id", "domain_score", "domain_status", *[c.alias(n) for n, c in more.items()]
-    )
+    sign = F.when(F.col("domain_score") < 0, -1).otherwise(1) == F.col("domain_status")
+    same = sign & (more["is_ood"] == (F.col("domain_score") < 0))
+    right = abs(out - K.FOREST_CONTAMINATION * n) <= 1 + 0.01 * n
+    return scored.select("row_id", same.alias("consistent"), F.lit(right).alias("share_right"))
 
 
 @query("attributions")
@@ -128,13 +166,21 @@ def attributions(spark: SparkSession, sf: str) -> DataFrame:
 def attribution_additive(spark: SparkSession, sf: str) -> DataFrame:
     rows, small = _split_rows(spark, sf)
     model = small[models.BOOSTED].fit(rows.filter("split = 'train'"))
-    leaves = attribution.leaf_paths(attribution.read_nodes(spark, model), classes=False)
-    sums = attribution.attributions(rows, leaves).groupBy("row_id").agg(F.sum("shap").alias("total"))
     margin = model.transform(rows).select(
         "row_id", F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("margin")
     )
-    gap = F.col("margin") - F.lit(attribution.base_value(leaves)) - F.coalesce("total", F.lit(0.0))
-    return margin.join(sums, "row_id", "left").select("row_id", (F.abs(gap) < 1e-9).alias("additive"))
+    gap = F.col("margin") - F.col("total")
+    return margin.join(_from_leaves(model, rows, False), "row_id").select("row_id", (F.abs(gap) < 1e-9).alias("additive"))
+
+
+@query("attribution_forest", "SELECT vec_id AS row_id, true AS additive FROM embeddings")
+def attribution_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of a random forest, whose attributions add up to its probability."""
+    rows, small = _split_rows(spark, sf)
+    model = small[models.FOREST].fit(rows.filter("split = 'train'"))
+    scored = models.add_score(model, rows).select("row_id", "score")
+    gap = F.col("score") - F.col("total")
+    return scored.join(_from_leaves(model, rows, True), "row_id").select("row_id", (F.abs(gap) < 1e-9).alias("additive"))
 
 
 _SQL_ATTR = """
@@ -180,7 +226,7 @@ def local_top_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("screen_end_to_end")
 def screen_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents: shingle bits and lengths, the whole training job, metrics on the test rows."""
+    """Documents: shingle bits and lengths, the whole training job with tuning, metrics on the test rows."""
     labels = read_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
     docs = (
         read_table(spark, sf, "documents")
@@ -190,15 +236,13 @@ def screen_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
             "label",
             F.log1p(F.col("n_chars")).alias("log_chars"),
             F.size(F.split("text", "\n")).cast("double").alias("n_lines"),
-            features.shingle_bits(F.col("text"), n_bits=256).alias("bits"),
+            features.shingle_bits(F.col("text")).alias("bits"),
         )
     )
     result = training.train(
         stored(docs, "docs"),
         descriptors=["log_chars", "n_lines"],
-        n_bits=256,
         params=SMALL,
-        compare=False,
-        forest=_FOREST,
+        draws=[{"max_depth": 2}, {"max_depth": 3}],
     )
     return training.evaluate(result)

@@ -13,7 +13,7 @@ from screenloom.session import scratch_path, stored
 from screenloom.sources import records
 from screenloom.sources.tables import read_table
 
-_SQL_SPLIT_OF = """
+SQL_SPLIT_OF = """
 ranked AS (
   SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || id)) AS rn FROM base
 ),
@@ -41,12 +41,12 @@ split AS (
 """
 
 _SQL_DOC_SPLIT = (
-    "WITH " + I.SQL_LABELLED + ", base AS (SELECT key_digest AS id, label FROM resolved)," + _SQL_SPLIT_OF
+    "WITH " + I.SQL_LABELLED + ", base AS (SELECT key_digest AS id, label FROM resolved)," + SQL_SPLIT_OF
 )
 _SQL_ORDER_SPLIT = (
     """WITH base AS (SELECT CAST(o_orderkey AS VARCHAR) AS id,
     CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS INTEGER) AS label FROM orders),"""
-    + _SQL_SPLIT_OF
+    + SQL_SPLIT_OF
 )
 
 

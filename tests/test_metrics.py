@@ -188,3 +188,18 @@ def test_running_totals_against_cumsum(spark):
     down = {r.s: r.cum_n for r in running.running_totals(df, "s", ["n"], descending=True).collect()}
     total = sum(i % 5 for i in range(len(scores)))
     assert all(up[s] + down[s] == total + i % 5 for i, s in enumerate(scores))
+
+
+@pytest.mark.parametrize("values", [
+    [2.5 + i for i in range(3000)],
+    [1e-14 * i for i in range(3000)],
+    [-5.0 - i / 7 for i in range(3000)],
+    [0.5] * 10 + [float("inf"), float("-inf")],
+])
+def test_no_range_holds_many_rows_wherever_scores_lie(spark, values):
+    rows = [(v, i % 3 + 1) for i, v in enumerate(sorted(set(values)))]
+    df = spark.createDataFrame(rows, "s DOUBLE, n LONG")
+    largest = running.ranged(df, "s").groupBy("_range").count().agg({"count": "max"}).first()[0]
+    assert largest <= 2 + 2 * len(rows) / running.RANGES
+    got = {r.s: r.cum_n for r in running.running_totals(df, "s", ["n"]).collect()}
+    assert [got[s] for s, _ in rows] == np.cumsum([n for _, n in rows]).tolist()
