@@ -86,6 +86,8 @@ def clean(
         key_digest(rule.canonical(F.col(key))).alias("key_digest"), label, source, row_id
     )
     votes = vote(digests, "key_digest", label, source, row_id, hashed=True)
-    out = keep_voted(df, votes.drop("key_digest"), label, source, row_id)
+    # Rows that had no vote need not travel to the join.
+    voted = drop_unlabelled(df.filter(rule.is_valid(F.col(key))), label)
+    out = keep_voted(voted, votes.drop("key_digest"), label, source, row_id)
     out = out.withColumn(key, rule.canonical(F.col(key)))
     return out if min_rows is None else require_rows(out, min_rows, "cleaned dataset")
