@@ -115,6 +115,45 @@ def test_trees_learn_and_add_spans(spark):
         assert all(a[1] <= b[0] for a, b in zip(taken, taken[1:]))
 
 
+def test_planted_loose_forms_are_found_and_clean_numbers_stay(spark):
+    rng = random.Random(8)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    part = lambda: str(rng.randint(1, 254))
+
+    def card():
+        body = "4" + number(14)
+        return next(body + c for c in "0123456789" if pii_boost.luhn(body + c))
+
+    def text(*middle):
+        return " ".join(f"{words(rng, 9)} {m}" for m in middle) + " " + words(rng, 9)
+
+    def plain():
+        groups = card()
+        return text(
+            f"mail {words(rng, 1)}.{number(2)}@{words(rng, 1)}.org", f"host {'.'.join(part() for _ in range(4))}",
+            f"card {' '.join(groups[i : i + 4] for i in range(0, 16, 4))}", f"call +1 (415) {number(3)}-{number(4)}",
+        )
+
+    loose, clean = [], []
+    for _ in range(40):
+        digits = card()
+        wanted = [
+            f"j{number(2)} (at) {words(rng, 1)} (dot) org", "[.]".join(part() for _ in range(4)),
+            ".".join(digits[i : i + 4] for i in range(0, 16, 4)), f"1 (415) {number(3)}-{number(4)}",
+        ]
+        cues = ("mail", "host", "card", "call")
+        loose.append((text(*(f"{c} {w}" for c, w in zip(cues, wanted, strict=True))), wanted))
+        clean.append(text(f"order {number(10)}", f"version 2021.{number(1)}.{number(2)}.3", f"dated 2019-04-{rng.randint(10, 28)}", f"boxes @ 12.{number(2)} each"))
+    rows = [*(plain() for _ in range(600)), *(t for t, _ in loose), *clean]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    model = pii_boost.fit(docs)
+    assert set(model) == set(pii_boost.KINDS) and all(np.isfinite(m.threshold) for m in model.values())
+    for k in range(4):
+        hit = [any(not base and t[a:b] == w[k] for _, a, b, base in pii_boost.all_spans(t, model)) for t, w in loose]
+        assert np.mean(hit) >= 0.9, pii_boost.KINDS[k]
+    assert sum(len(pii_boost.all_spans(t, model)) for t in clean) <= 3
+
+
 def test_boosting_and_threshold():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((4000, 4))
