@@ -215,6 +215,39 @@ def test_phase_shares_stay_within_a_block():
             assert np.abs(served - len(slots) / p.frame * np.arange(1, p.length + 1)).max() < 1
 
 
+def furthest(order, weights):
+    """The greatest distance of a source from its share of the given weights, over all slots."""
+    t = np.arange(1, len(order) + 1)
+    total = sum(weights.values())
+    return max(np.abs(np.cumsum(np.array(order) == s) - w / total * t).max() for s, w in weights.items())
+
+
+def test_given_weights_are_kept_over_many_frames():
+    many = {f"s{i:02d}": math.sqrt(n) for i, n in enumerate([100_000, *range(9_000, 18_500, 500)])}
+    for weights in ({"a": 0.9, "b": 0.05, "c": 0.05}, many):
+        slots = 20 * pfair_mix.FRAME
+        total = sum(weights.values())
+        plan = pfair_mix.phases({s: int(w / total * slots) for s, w in weights.items()}, weights)
+        frame, length = plan[0].frame, plan[0].length
+        repeats = range(-(-length // frame))
+        order = [s for _, s in sorted((k * frame + x, s) for s, own in plan[0].slots.items() for x in own for k in repeats)][:length]
+        assert length > 19 * pfair_mix.FRAME
+        assert furthest(order, weights) < 1
+
+
+def test_rows_keep_given_weights_across_frames(spark, monkeypatch):
+    monkeypatch.setattr(pfair_mix, "FRAME", 16)
+    weights = {"a": 0.9, "b": 0.05, "c": 0.05}
+    rows = [(i, "a" if i % 20 < 18 else "bc"[i % 2]) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    out = pfair_mix.placements(docs, weights, block_rows=3).collect()
+    assert sorted(r.key for r in out) == list(range(6000))
+    slots = {r.slot: (r.source, r.block, r.phase) for r in out}
+    assert sorted(slots) == list(range(len(slots)))
+    order = [slots[i][0] for i in range(len(slots)) if slots[i][2] == 0]
+    assert len(order) > 100 * pfair_mix.FRAME and furthest(order, weights) < 1
+
+
 # Language model
 
 
