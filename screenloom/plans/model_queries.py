@@ -1,7 +1,7 @@
 """Queries on training, comparison, calibration, outliers and attributions.
 
-The fits here use few and shallow trees: the settings are parameters, the data
-is the whole table.
+All fits have the settings of the constants, over the whole table: 300 boosted trees of
+depth 6, 200 forest trees of depth 10, 1000 iterations, SEARCH_DRAWS settings on CV_FOLDS folds.
 """
 
 from __future__ import annotations
@@ -20,11 +20,6 @@ from screenloom.plans.split_queries import SQL_SPLIT_OF
 from screenloom.session import scratch_path, stored
 from screenloom.sources.tables import read_table
 
-SMALL = {
-    models.BOOSTED: {"n_estimators": 8, "max_depth": 3},
-    models.LOGISTIC: {"max_iter": 50},
-    models.FOREST: {"n_estimators": 10, "max_depth": 4},
-}
 _SQL_SPLIT = f"""WITH base AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(label >= 5 AS INTEGER) AS label FROM embeddings),
 {SQL_SPLIT_OF} SELECT CAST(id AS BIGINT) AS row_id, label, split, true AS recomputed FROM split WHERE split <> 'train'"""
 
@@ -39,11 +34,11 @@ def _rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _split_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
-    """Split and weighted rows (stored once), and the small models for them."""
+    """Split and weighted rows (stored once), and the models for them."""
     rows = stored(_rows(spark, sf).withColumn("features", array_to_vector("x")).drop("x"), "rows")
     split = stratified_split(rows, "row_id")
     weighted, n = models.with_weights(split, counted=split.filter("split = 'train'"))
-    return weighted, models.build_models(n, SMALL)
+    return weighted, models.build_models(n)
 
 
 def _from_leaves(model, rows: DataFrame, classes: bool) -> DataFrame:
@@ -56,8 +51,8 @@ def _from_leaves(model, rows: DataFrame, classes: bool) -> DataFrame:
 
 def _score_test(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """Rows outside the training split, and whether their score follows from the exported model."""
-    rows, small = _split_rows(spark, sf)
-    model = small[name].fit(rows.filter("split = 'train'"))
+    rows, candidates = _split_rows(spark, sf)
+    model = candidates[name].fit(rows.filter("split = 'train'"))
     tested = rows.filter("split <> 'train'")
     scored = models.add_score(model, tested).select("row_id", "label", "split", "score", vector_to_array("features").alias("x"))
     if name == models.LOGISTIC:
@@ -87,21 +82,17 @@ def train_score_rf(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("cv_compare")
 def cv_compare(spark: SparkSession, sf: str) -> DataFrame:
-    rows, small = _split_rows(spark, sf)
+    rows, candidates = _split_rows(spark, sf)
     train = stratified_folds(rows.filter("split = 'train'"), id_col="row_id")
-    return summaries.cv_summary(models.cross_validate(train, small))
+    return summaries.cv_summary(models.cross_validate(train, candidates))
 
 
 @query("tune_search")
 def tune_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Three drawn settings with fewer and shallower trees, as reported, on two folds."""
+    """All drawn settings on all folds."""
     rows, _ = _split_rows(spark, sf)
-    train = stratified_folds(rows.filter("split = 'train'"), 2, "row_id")
-    small = [
-        {**p, "n_estimators": p["n_estimators"] // 100, "max_depth": min(p["max_depth"], 4)}
-        for p in models.draw_parameters(3)
-    ]
-    return models.search(train, small, folds=2)
+    train = stratified_folds(rows.filter("split = 'train'"), id_col="row_id")
+    return models.search(train, models.draw_parameters())
 
 
 @query(
@@ -155,8 +146,8 @@ def anomaly_score(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("attributions")
 def attributions(spark: SparkSession, sf: str) -> DataFrame:
-    rows, small = _split_rows(spark, sf)
-    model = small[models.BOOSTED].fit(rows.filter("split = 'train'"))
+    rows, candidates = _split_rows(spark, sf)
+    model = candidates[models.BOOSTED].fit(rows.filter("split = 'train'"))
     leaves = attribution.leaf_paths(attribution.read_nodes(spark, model), classes=False)
     return attribution.attributions(rows, leaves)
 
@@ -164,8 +155,8 @@ def attributions(spark: SparkSession, sf: str) -> DataFrame:
 # Additivity: base value plus all attributions of a row is the model's raw margin.
 @query("attribution_additive", "SELECT vec_id AS row_id, true AS additive FROM embeddings")
 def attribution_additive(spark: SparkSession, sf: str) -> DataFrame:
-    rows, small = _split_rows(spark, sf)
-    model = small[models.BOOSTED].fit(rows.filter("split = 'train'"))
+    rows, candidates = _split_rows(spark, sf)
+    model = candidates[models.BOOSTED].fit(rows.filter("split = 'train'"))
     margin = model.transform(rows).select(
         "row_id", F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("margin")
     )
@@ -176,8 +167,8 @@ def attribution_additive(spark: SparkSession, sf: str) -> DataFrame:
 @query("attribution_forest", "SELECT vec_id AS row_id, true AS additive FROM embeddings")
 def attribution_forest(spark: SparkSession, sf: str) -> DataFrame:
     """The same of a random forest, whose attributions add up to its probability."""
-    rows, small = _split_rows(spark, sf)
-    model = small[models.FOREST].fit(rows.filter("split = 'train'"))
+    rows, candidates = _split_rows(spark, sf)
+    model = candidates[models.FOREST].fit(rows.filter("split = 'train'"))
     scored = models.add_score(model, rows).select("row_id", "score")
     gap = F.col("score") - F.col("total")
     return scored.join(_from_leaves(model, rows, True), "row_id").select("row_id", (F.abs(gap) < 1e-9).alias("additive"))
@@ -242,7 +233,6 @@ def screen_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     result = training.train(
         stored(docs, "docs"),
         descriptors=["log_chars", "n_lines"],
-        params=SMALL,
-        draws=[{"max_depth": 2}, {"max_depth": 3}],
+        draws=models.draw_parameters(),
     )
     return training.evaluate(result)
