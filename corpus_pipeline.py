@@ -29,12 +29,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates.
 
-    Repeated rows of that id stay one row; a null id is in no group and stays.
+    An id with several texts loses only those whose own group has a smaller id.  Identical rows
+    become one row; a null id is in no group and stays.
     """
     found = stored(simhash.near_duplicates(docs), "groups")
-    gone = found.filter("doc_id != component_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return kept
+    gone = found.filter("doc_id != component_id").select(F.struct("doc_id", "fp").alias("gone"))
+    marked = docs.select(F.struct("*").alias("row"), simhash.fingerprint("text").alias("fp"))
+    own = F.struct(F.col("row.doc_id").alias("doc_id"), F.col("fp"))
+    kept = marked.join(gone, own == F.col("gone"), "left_anti").select("row")
+    apart = F.when(F.col("row.doc_id").isNull(), F.monotonically_increasing_id())
+    return kept.withColumn("apart", apart).dropDuplicates().select("row.*")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

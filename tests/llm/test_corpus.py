@@ -303,3 +303,12 @@ def test_pipeline_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     letters = {r.doc_id: r.text for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
     assert {r.doc_id for r in out} <= set(letters) and len(out) < docs.count() and all(r.exact for r in out)
+
+
+def test_repeated_ids_lose_only_the_text_that_has_a_copy(spark):
+    copied, alone, third = (words(random.Random(i), 80) for i in range(3))
+    rows = [(1, copied), (2, copied), (2, alone), (3, third), (3, third), (None, third), (None, third)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    assert got == {(1, copied): 1, (2, alone): 1, (3, third): 1, (None, third): 2}
