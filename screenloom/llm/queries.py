@@ -12,8 +12,10 @@ from screenloom.llm import (
     bpe_tree,
     chat_format,
     cover_tree,
+    filter_audit,
     language_id,
     lbl_lm,
+    ns_clusters,
     pfair_mix,
     pii_boost,
     simhash,
@@ -113,3 +115,14 @@ def op9_lbl_lm(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_suffix_dedup")
 def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, sf, "documents"), with_kept=False).drop("kept")
+
+
+@query("op12_filter_audit", filter_audit.SQL)
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op13_ns_clusters", ns_clusters.SQL)
+def op13_ns_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    found, centroids, _ = ns_clusters.clustered(table(spark, sf, "embeddings"))
+    return ns_clusters.with_digests(found, centroids)
