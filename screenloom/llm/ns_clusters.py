@@ -54,7 +54,7 @@ def first_centroids(vectors: DataFrame, clusters: int = CLUSTERS) -> np.ndarray:
     """The vectors whose ids have the smallest hashes, in the order of the hashes."""
     mark = F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")), 256)
     first = vectors.select(mark.alias("mark"), "x").dropna().orderBy("mark", "x").limit(clusters).collect()
-    return np.array([r["x"] for r in first], np.int64).reshape(len(first), -1)
+    return np.array([r["x"] for r in first], np.int64) if first else np.zeros((0, 0), np.int64)
 
 
 def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:

@@ -12,6 +12,7 @@ from screenloom.llm import (
     bpe_tree,
     chat_format,
     cover_tree,
+    edit_prints,
     filter_audit,
     language_id,
     lbl_lm,
@@ -126,3 +127,8 @@ def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
 def op13_ns_clusters(spark: SparkSession, sf: str) -> DataFrame:
     found, centroids, _ = ns_clusters.clustered(table(spark, sf, "embeddings"))
     return ns_clusters.with_digests(found, centroids)
+
+
+@query("op11_edit_prints")
+def op11_edit_prints(spark: SparkSession, sf: str) -> DataFrame:
+    return edit_prints.with_edits(table(spark, sf, "documents"))
