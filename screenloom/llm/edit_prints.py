@@ -230,7 +230,7 @@ def in_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return moved.repartitionById(len(cut) + 1, F.col("range")).sortWithinPartitions("range", "guard", "id", "h")
 
 
-EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands_edited long, bands_next long"
 
 
 def edited_texts(texts: list[str], following: list[str]) -> list[str]:
@@ -239,7 +239,7 @@ def edited_texts(texts: list[str], following: list[str]) -> list[str]:
 
 
 def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likeness to it and to the next text."""
+    """Fingerprints of every text and of its edited text, their likeness to it and to the next text, and the bands shared."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = zstandard.ZstdDecompressor()
@@ -267,6 +267,7 @@ def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 def _edited_rows(texts: list[str], following: list[str], ids: list, symbols: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
     edited = edited_texts(texts, following)
     other = embedded(edited)
+    bands, bands_edited, bands_next = (band_keys(s, lengths_of(s)) for s in (symbols, other, after))
     columns = [
         pa.array(ids, pa.int64()),
         pa.array([len(t) for t in texts], pa.int64()),
@@ -275,6 +276,8 @@ def _edited_rows(texts: list[str], following: list[str], ids: list, symbols: np.
         pa.array(as_text(other)),
         pa.array(likeness(symbols, other)),
         pa.array(likeness(symbols, after)),
+        pa.array(shared_bands(bands, bands_edited)),
+        pa.array(shared_bands(bands, bands_next)),
     ]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in EDITED.split(", ")])
 
@@ -296,22 +299,31 @@ def _sampled(block: int) -> np.ndarray:
     return np.stack([rng.choice(PER_OCTAVE, BAND_SYMBOLS, replace=False) for _ in range(BANDS)])
 
 
-def band_keys(symbols: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all bands: the sampled bits of the last two full blocks of every fingerprint.
+def band_keys(symbols: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Keys of all bands, a row per fingerprint: the sampled bits of its last two full blocks; -1 for a block it lacks.
 
     Texts whose fingerprints differ by less than a block in length share one of their two blocks.
     """
     full = length // PER_OCTAVE
-    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    keys = np.full((len(symbols), 2 * BANDS), -1, np.int64)
     bits = np.where(symbols == PAD, 0, symbols).astype(np.int64)
     for back in (1, 2):
         for block in np.unique(full[full >= back] - back).tolist():
             here = np.flatnonzero(full - back == block)
             for band, chosen in enumerate(_sampled(block)):
                 value = (bits[here][:, block * PER_OCTAVE + chosen] << (4 * np.arange(BAND_SYMBOLS))).sum(1)
-                rows.append(here)
-                keys.append(value | band << 40 | block << 48)
-    return np.concatenate(rows), np.concatenate(keys)
+                keys[here, (back - 1) * BANDS + band] = value | band << 40 | block << 48
+    return keys
+
+
+def lengths_of(symbols: np.ndarray) -> np.ndarray:
+    """Symbols of each fingerprint up to its last one."""
+    return np.where(symbols != PAD, np.arange(1, symbols.shape[1] + 1), 0).max(1, initial=0)
+
+
+def shared_bands(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bands paired rows of keys share."""
+    return ((a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]).any(2).sum(1)
 
 
 def near_groups(prints: DataFrame, near: float = NEAR) -> DataFrame:
@@ -329,8 +341,9 @@ def near_groups(prints: DataFrame, near: float = NEAR) -> DataFrame:
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("fingerprint").to_pylist()
-            row, key = band_keys(symbols_of(texts), np.array([len(t) for t in texts], np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("node").take(pa.array(row))], ["band", "node"])
+            keys = band_keys(symbols_of(texts), np.array([len(t) for t in texts], np.int64))
+            row, column = np.nonzero(keys >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[row, column]), batch.column("node").take(pa.array(row))], ["band", "node"])
 
     bands = stored(nodes.select("fingerprint", "node").mapInArrow(band, "band long, node long"), "bands")
     members = F.sum(F.xxhash64("node").cast("decimal(38,0)"))

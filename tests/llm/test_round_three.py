@@ -61,6 +61,8 @@ def test_fingerprints_of_edited_texts_equal_brute_force(spark, monkeypatch):
     )
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_chars, r.edited_sha256, r.fingerprint) for r in got) == want
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    # A text and its edited text share a band only where sampled bits agree, so equal ones share all.
+    assert all(r.bands_edited == r.bands_next == 16 for r in got if r.n_chars > 100 and r.fingerprint == r.edited_fingerprint and r.near_next == 1)
     assert edit_prints.with_edits(none(spark)).count() == 0
     one = edit_prints.with_edits(docs.limit(1)).first()
     assert one.near_next == 1
