@@ -2,7 +2,7 @@
 
 Counting is one pass over the labelled texts (numpy bins per Arrow slice, summed by Spark); the
 matrix of log-probabilities is small and fixed in size, so it is broadcast; scoring gathers its
-rows for the n-grams that occur and sums them per text.
+rows for the n-grams that occur, a bounded number at a time, and sums them per text.
 
 Null text: language ``und``, score 0.  A text without a letter: likewise.  A text of any length is
 read whole.  Rows without a language teach nothing.  With no teachable row every text is ``und``.
@@ -29,6 +29,11 @@ BUCKETS = 1 << 14
 ALPHA = 0.5
 #: Bytes that the broadcast matrix may take; with very many languages the buckets get fewer.
 MATRIX_BYTES = 64 << 20
+#: Characters whose n-grams are hashed at once, and bytes of log-probabilities gathered at once.
+BLOCK = 1 << 19
+GATHER_BYTES = 1 << 24
+#: Set before and after every text.
+PAD = "\0" * (max(ORDERS) - 1)
 RESULT = "struct<lang_pred:string,score:double>"
 
 
@@ -49,19 +54,11 @@ def buckets_for(languages: int, most: int = BUCKETS) -> int:
     return n
 
 
-def hashed_grams(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every n-gram of the texts, and where each text's n-grams begin.
-
-    Texts are lower-cased and set apart by padding, so that n-grams see where a text begins and ends
-    and none spans two texts.
-    """
-    pad = "\0" * (max(ORDERS) - 1)
-    lowered = [pad + t.lower() for t in texts]
-    sizes = np.array([len(t) for t in lowered])
-    code = np.frombuffer(("".join(lowered) + pad).encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = len(code) - len(pad)
+def _hashed(code: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of the n-grams that start at each code point but the last PAD ones: a column per order."""
+    n = len(code) - len(PAD)
     shift = np.uint32(32 - int(buckets).bit_length() + 1)
-    out = np.empty((n, len(ORDERS)), np.int64)
+    out = np.empty((n, len(ORDERS)), np.int32)
     with np.errstate(over="ignore"):
         h = code[:n] * np.uint32(0x9E3779B1)
         for k in range(1, max(ORDERS) + 1):
@@ -69,8 +66,32 @@ def hashed_grams(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray
                 h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) + code[k - 1 : n + k - 1]
             if k in ORDERS:
                 out[:, ORDERS.index(k)] = ((h + np.uint32(k)) * np.uint32(0xC2B2AE35)) >> shift
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) * len(ORDERS)
-    return out.ravel(), starts
+    return out
+
+
+def hashed_grams(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of every n-gram of the texts, and where each text's n-grams begin.
+
+    Texts are lower-cased and set apart by padding, so that n-grams see where a text begins and ends
+    and none spans two texts.
+    """
+    lowered = [PAD + t.lower() for t in texts]
+    size = np.array([len(t) for t in lowered])
+    code = np.frombuffer(("".join(lowered) + PAD).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _hashed(code, buckets).ravel(), np.concatenate([[0], np.cumsum(size)[:-1]]) * len(ORDERS)
+
+
+def gram_blocks(texts: list[str], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """hashed_grams in blocks, each with the number of its first text; a text longer than a block is several blocks."""
+    for a, b in row_slices(np.array([len(t) for t in texts]), BLOCK):
+        if b > a + 1 or len(texts[a]) <= BLOCK:
+            yield *hashed_grams(texts[a:b], buckets), a
+            continue
+        whole = PAD + texts[a].lower() + PAD
+        for i in range(0, len(whole) - len(PAD), BLOCK):
+            # Blocks overlap by what an n-gram reads ahead.
+            piece = whole[i : i + BLOCK + len(PAD)].encode("utf-32-le", "surrogatepass")
+            yield _hashed(np.frombuffer(piece, np.uint32), buckets).ravel(), np.zeros(1, np.int64), a
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int = BUCKETS) -> Model:
@@ -89,10 +110,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int =
         for batch in batches:
             texts = batch.column("text").to_pylist()
             langs = np.array([place[x] for x in batch.column("lang").to_pylist()])
-            for a, b in row_slices(np.array([len(t) for t in texts])):
-                index, starts = hashed_grams(texts[a:b], buckets)
+            for index, starts, a in gram_blocks(texts, buckets):
                 length = np.diff(np.append(starts, len(index)))
-                total += np.bincount(index + np.repeat(langs[a:b] * buckets, length), minlength=len(total))
+                cell = index + np.repeat(langs[a : a + len(starts)] * buckets, length)
+                total += np.bincount(cell, minlength=len(total))
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
 
@@ -111,15 +132,21 @@ def predict_texts(texts: list[str | None], model: Model) -> tuple[list[str], np.
     if not model.languages:
         return lang, score
     rows = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
-    lengths = np.array([len(texts[i]) for i in rows], np.int64)
-    for a, b in row_slices(lengths):
-        index, starts = hashed_grams([texts[i] for i in rows[a:b]], len(model.log_prob))
-        total = model.log_prior + np.add.reduceat(model.log_prob[index], starts, axis=0)
-        odds = np.exp(total - total.max(1, keepdims=True))
-        best = odds.argmax(1)
-        score[rows[a:b]] = 1 / odds.sum(1)
-        for i, k in zip(rows[a:b], best.tolist(), strict=True):
-            lang[i] = model.languages[k]
+    if not rows:
+        return lang, score
+    total = np.repeat(model.log_prior[None], len(rows), axis=0)
+    step = max(1, GATHER_BYTES // (8 * len(model.languages)))
+    for index, starts, a in gram_blocks([texts[i] for i in rows], len(model.log_prob)):
+        for i in range(0, len(index), step):
+            # The texts that have n-grams among these, from the one that begins before or at the first.
+            low = np.searchsorted(starts, i, "right") - 1
+            high = np.searchsorted(starts, min(i + step, len(index)))
+            here = np.maximum(starts[low:high] - i, 0)
+            total[a + low : a + high] += np.add.reduceat(model.log_prob[index[i : i + step]], here, axis=0)
+    odds = np.exp(total - total.max(1, keepdims=True))
+    score[rows] = 1 / odds.sum(1)
+    for i, k in zip(rows, odds.argmax(1).tolist(), strict=True):
+        lang[i] = model.languages[k]
     return lang, score
 
 
