@@ -55,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    made = docs.select("*", bpe_tree.encoded(docs, path, public_tokenizers.PATTERN, cut_at_spaces=True).alias("ids"))
+    made = docs.select("*", bpe_tree.encoded(docs, path, public_tokenizers.PATTERN).alias("ids"))
     same = bpe_tree.decoded(made, path) == F.coalesce("text", F.lit("")).cast("binary")
     return made.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("exact"))
 
