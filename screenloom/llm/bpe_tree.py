@@ -19,8 +19,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from itertools import islice, pairwise
-from struct import pack
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +32,35 @@ from screenloom.llm.common import gather_ranges, row_slices, utf8
 #: Bytes up to which a leaf is merged directly, and up to which the merge is a plain loop.
 LEAF_BYTES = 4
 LOOP_BYTES = 48
-#: Entries that the memo of short pieces and of pairs may hold; a full memo starts afresh.
-MEMO = 200_000
-#: Bytes up to which pieces go into the memo.
+#: Entries that each memo (of matches, pieces, pairs) may hold; the older half goes when it is full.
+MEMO = 400_000
+#: Bytes up to which pieces, and characters up to which matches, go into the memos.
 MEMO_BYTES = 48
 #: Above every rank.
 NEVER = 1 << 40
-#: Matches that are encoded at a time, ids that are decoded at a leaf.
+#: Matches of a long text that are read at a time, ids that are decoded at a leaf.
 BLOCK = 1 << 16
+#: Matches that are encoded together.
+MATCHES = 1 << 19
 
 
-#: A space between white space, or after it at the end: the run around it may be one match.
-WIDE_SPACE = regex.compile(r"\s (?:\s|\Z)")
+class Memo:
+    """A bounded memo; when the young half is full it takes the place of the old one."""
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        out = self.young.get(key)
+        if out is None and (out := self.old.get(key)) is not None:
+            self.put(key, out)
+        return out
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= MEMO // 2:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -54,38 +70,33 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cut_at_spaces: bool = False):
-        """cut_at_spaces: no match of the pattern holds a space after another character but in a run of
-        white space.  Texts can then be cut before each space that has no white space on both sides,
-        and the chunks, which repeat a lot, encoded one by one.
-        """
-        self.cut_at_spaces = cut_at_spaces
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern)
         self.token = {r: t for t, r in ranks.items()}
-        self._pieces: dict[bytes, tuple[int, ...]] = {}
-        self._pairs: dict[tuple[int, int], tuple[int, ...]] = {}
-        self._packed: dict[str, bytes] = {}
+        self._pieces = Memo()
+        self._pairs = Memo()
+        self._matches = Memo()
 
     def piece(self, body: bytes) -> tuple[int, ...]:
-        """Encoding of one match: the tree over its halves."""
+        """Encoding of some bytes: a token, or the tree over their halves."""
         known = self.ranks.get(body)
         if known is not None:
             return (known,)
         short = len(body) <= MEMO_BYTES
         out = self._pieces.get(body) if short else None
         if out is None:
-            if len(body) <= LEAF_BYTES:
-                out = self.merged(body)
-            else:
-                half = len(body) // 2
-                out = self.join(self.piece(body[:half]), self.piece(body[half:]))
+            out = self.halves(body)
             if short:
-                if len(self._pieces) >= MEMO:
-                    self._pieces.clear()
-                self._pieces[body] = out
+                self._pieces.put(body, out)
         return out
 
+    def halves(self, body: bytes) -> tuple[int, ...]:
+        if len(body) <= LEAF_BYTES:
+            return self.merged(body)
+        half = len(body) // 2
+        return self.join(self.piece(body[:half]), self.piece(body[half:]))
+
     def join(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
         """Encoding of the joined bytes of two encodings."""
         if not a or not b:
@@ -104,9 +115,8 @@ class Encoder:
         """Encoding of two tokens' joined bytes: the two themselves if they are apart."""
         out = self._pairs.get((x, y))
         if out is None:
-            if len(self._pairs) >= MEMO:
-                self._pairs.clear()
-            out = self._pairs[x, y] = self.merged(self.token[x] + self.token[y])
+            out = self.merged(self.token[x] + self.token[y])
+            self._pairs.put((x, y), out)
         return out
 
     def merged(self, body: bytes) -> tuple[int, ...]:
@@ -151,31 +161,57 @@ class Encoder:
             i = end[i]
         return tuple(out)
 
-    def _packed_chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk as little-endian 32-bit numbers, by way of the memo."""
-        out = self._packed.get(chunk)
+    def match(self, text: str) -> tuple[int, ...]:
+        """Ids of one match of the pattern, by way of the memo."""
+        out = self._matches.get(text)
         if out is None:
-            ids = [x for m in self.split.findall(chunk) for x in self.piece(m.encode("utf-8", "surrogatepass"))]
-            out = pack(f"<{len(ids)}i", *ids)
-            if len(chunk) <= MEMO_BYTES:
-                if len(self._packed) >= MEMO:
-                    self._packed.clear()
-                self._packed[chunk] = out
+            body = text.encode("utf-8", "surrogatepass")
+            known = self.ranks.get(body)
+            out = self.halves(body) if known is None else (known,)
+            if len(text) <= MEMO_BYTES:
+                self._matches.put(text, out)
         return out
 
-    def packed(self, text: str) -> bytes:
-        """Ids of a text, packed: the encodings of its chunks or matches, concatenated block by block."""
-        if self.cut_at_spaces and not WIDE_SPACE.search(text):
-            first, *rest = text.split(" ")
-            return self._packed_chunk(first) + b"".join([self._packed_chunk(" " + x) for x in rest])
-        matches = (m.group() for m in self.split.finditer(text))
-        blocks = []
-        while block := list(islice(matches, BLOCK)):
-            blocks.append(b"".join(map(self._packed_chunk, block)))
-        return b"".join(blocks)
+    def ids_of(self, matches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all matches, one after the other, and how many each has; distinct ones are encoded once."""
+        coded = pa.array(matches, pa.large_string()).dictionary_encode()
+        each = [self.match(x) for x in coded.dictionary.to_pylist()]
+        size = np.fromiter(map(len, each), np.int64, len(each))
+        ids = np.fromiter(chain.from_iterable(each), np.int32, int(size.sum()))
+        use = coded.indices.to_numpy()
+        return ids[gather_ranges((np.cumsum(size) - size)[use], size[use])], size[use]
+
+    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, one after the other, and how many each text has."""
+        ids, counts = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+        matches: list[str] = []
+        ends: list[tuple[int, int]] = []
+
+        def encode() -> None:
+            found, size = self.ids_of(matches)
+            ids.append(found)
+            done = np.concatenate([[0], np.cumsum(size)])
+            stops = [n for _, n in ends]
+            for (i, stop), start in zip(ends, [0, *stops], strict=False):
+                counts[i] += done[stop] - done[start]
+            matches.clear()
+            ends.clear()
+
+        for i, text in enumerate(texts):
+            rest = self.split.finditer(text or "")
+            # A block at a time, so that a long text is never held as a list of all its matches.
+            while block := [m.group() for m in islice(rest, BLOCK)] if text and len(text) > BLOCK else self.split.findall(text or ""):
+                matches += block
+                ends.append((i, len(matches)))
+                if len(matches) >= MATCHES:
+                    encode()
+                if len(text) <= BLOCK:
+                    break
+        encode()
+        return np.concatenate(ids), counts
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.packed(text), "<i4").tolist()
+        return self.batch([text])[0].tolist()
 
 
 class Decoder:
@@ -205,9 +241,7 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
     return row_slices(np.diff(np.asarray(column.offsets) if pa.types.is_list(column.type) else utf8(column)[1]))
 
 
-def encoded(
-    docs: DataFrame, path: str, pattern: str, text: str = "text", cut_at_spaces: bool = False
-) -> Column:
+def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Column:
     """The token ids of a text column, an array<int>.
 
     The rank table is read on the driver and broadcast: its size is that of the file, whatever the data.
@@ -216,13 +250,12 @@ def encoded(
 
     @F.arrow_udf("array<int>")
     def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(ranks.value, pattern, cut_at_spaces)
+        encoder = Encoder(ranks.value, pattern)
         for column in columns:
             done = [pa.array([], pa.list_(pa.int32()))]
             for a, b in _slices(column.cast(pa.large_binary())):
-                rows = [encoder.packed(t) if t else b"" for t in column.slice(a, b - a).to_pylist()]
-                ends = np.cumsum([0, *map(len, rows)]) // 4
-                done.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), np.frombuffer(b"".join(rows), "<i4")))
+                ids, counts = encoder.batch(column.slice(a, b - a).to_pylist())
+                done.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(ids)))
             yield pa.concat_arrays(done)
 
     return encode(F.col(text))

@@ -46,7 +46,7 @@ def op6_bpe_tree(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ids = docs.select(
-        "doc_id", bpe_tree.encoded(docs, path, public_tokenizers.PATTERN, cut_at_spaces=True).alias("ids")
+        "doc_id", bpe_tree.encoded(docs, path, public_tokenizers.PATTERN).alias("ids")
     )
     return ids.select(
         "doc_id",
