@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from screenloom import constants as K
+from screenloom.operators.boosting import BoostedModel
 from screenloom.session import scratch_path
 
 # Numbers that a table of patterns may hold at a time.
@@ -40,6 +41,8 @@ def read_nodes(spark: SparkSession, model) -> pd.DataFrame:
 
     The driver holds the model itself, so it can hold its nodes; their number is set by the model's parameters.
     """
+    if isinstance(model, BoostedModel):
+        return model.node_table()
     path = scratch_path(spark, "ensemble")
     model.write().save(path)
     weights = spark.read.parquet(f"{path}/treesMetadata").toDF("tree_id", "meta", "weight")

@@ -61,7 +61,7 @@ def _score_test(spark: SparkSession, sf: str, name: str) -> DataFrame:
         scored, own = scored.withColumn("total", dot), 1 / (1 + F.exp(-F.col("total")))
     else:
         scored = scored.join(_from_leaves(model, tested, name == models.FOREST), "row_id")
-        own = F.col("total") if name == models.FOREST else 1 / (1 + F.exp(-2 * F.col("total")))
+        own = F.col("total") if name == models.FOREST else 1 / (1 + F.exp(-F.col("total")))
     return scored.select("row_id", "label", "split", (F.abs(F.col("score") - own) < 1e-9).alias("recomputed"))
 
 
