@@ -98,19 +98,20 @@ def tune_search(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "calibrate",
     f"""WITH {I.SQL_HIST},
-    binned AS (SELECT floor(score * 100) / 100 AS s, sum(label)::DOUBLE AS p, count(*)::DOUBLE AS n FROM scored GROUP BY 1),
-    summed AS (SELECT s, p, n, row_number() OVER (ORDER BY s) AS k, sum(p) OVER (ORDER BY s) AS cp, sum(n) OVER (ORDER BY s) AS cn
-               FROM binned),
-    lows AS (SELECT i.s, a.k, min((b.cp - a.cp + a.p) / (b.cn - a.cn + a.n)) AS low
-             FROM summed i JOIN summed a ON a.k <= i.k JOIN summed b ON b.k >= i.k GROUP BY 1, 2)
-    SELECT s AS score, round(max(low), 9) AS calibrated FROM lows GROUP BY 1""",
+    summed AS (SELECT score, row_number() OVER o AS k, n_pos, n_neg + n_pos AS n, sum(n_pos) OVER o AS cp, sum(n_pos + n_neg) OVER o AS cn
+               FROM hist WINDOW o AS (ORDER BY score)),
+    -- Value of a score: the greatest, over starts a at or before it, of the least mean a .. b over ends b at or after it.
+    means AS (SELECT a.k AS a, b.k AS i, (b.cp - a.cp + a.n_pos)::DOUBLE / (b.cn - a.cn + a.n) AS mean
+              FROM summed a JOIN summed b ON b.k >= a.k),
+    lows AS (SELECT i, min(mean) OVER (PARTITION BY a ORDER BY i DESC) AS low FROM means),
+    fitted AS (SELECT i, max(low) AS value FROM lows GROUP BY i)
+    SELECT score, round(value, 9) AS calibrated FROM fitted JOIN summed ON k = i""",
 )
 def calibrate(spark: SparkSession, sf: str) -> DataFrame:
-    """The isotonic map fitted on scores in steps of a hundredth, at each of them."""
-    rows = I.scored_events(spark, sf).withColumn("score", F.floor(F.col("score") * 100) / 100)
-    model = models.calibrate(rows)
+    """The isotonic map fitted on every distinct event score, at each of them."""
+    rows = I.scored_events(spark, sf)
     each = rows.select("score").distinct()
-    return models.add_calibrated(model, each).select("score", F.round("calibrated", 9).alias("calibrated"))
+    return models.add_calibrated(models.calibrate(rows), each).select("score", F.round("calibrated", 9).alias("calibrated"))
 
 
 @query(
