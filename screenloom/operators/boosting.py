@@ -116,12 +116,17 @@ def drawn_columns(width: int, setting: Setting, tree: int) -> np.ndarray:
     return np.sort(np.random.default_rng([setting.seed, tree, 1]).choice(width, n, replace=False))
 
 
-def sums(bins: np.ndarray, place: np.ndarray, k: int, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient sums by (node place, feature, bin) over the rows that have a place."""
+def offsets(sizes: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Where the bins of each drawn column begin, and where the last one's end."""
+    return np.concatenate([[0], np.cumsum(sizes[columns])])
+
+
+def sums(bins: np.ndarray, place: np.ndarray, k: int, g: np.ndarray, h: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient sums by (node place, bin of a column) over the rows that have a place."""
     use = np.flatnonzero(place >= 0)
-    width = bins.shape[1]
-    code = ((place[use, None] * width + np.arange(width)) * BINS + bins[use]).ravel()
-    made = [np.bincount(code, np.repeat(v[use], width), k * width * BINS).reshape(k, width, BINS) for v in (g, h)]
+    width, cells = bins.shape[1], int(offset[-1])
+    code = (place[use, None] * cells + offset[:-1] + bins[use]).ravel()
+    made = [np.bincount(code, np.repeat(v[use], width), k * cells).reshape(k, cells) for v in (g, h)]
     return made[0], made[1]
 
 
@@ -137,21 +142,26 @@ class Splits:
     h: np.ndarray
 
 
-def best_splits(g: np.ndarray, h: np.ndarray, setting: Setting) -> Splits:
+def best_splits(g: np.ndarray, h: np.ndarray, offset: np.ndarray, setting: Setting) -> Splits:
     """From whole sums; g and h of the result are sums, still times QUANTUM."""
-    g_left, h_left = g.cumsum(2)[:, :, :-1], h.cumsum(2)[:, :, :-1]
-    g_all, h_all = g[:, 0].sum(1), h[:, 0].sum(1)
+
+    def left_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total = v.cumsum(1)
+        before = np.where(offset[:-1] > 0, total[:, offset[:-1] - 1], 0)
+        return total - np.repeat(before, np.diff(offset), axis=1), total[:, offset[1] - 1]
+
+    (g_left, g_all), (h_left, h_all) = left_of(g), left_of(h)
     score = lambda a, b: (a / QUANTUM) ** 2 / (b / QUANTUM + PENALTY)
-    rest_g, rest_h = g_all[:, None, None] - g_left, h_all[:, None, None] - h_left
-    gain = score(g_left, h_left) + score(rest_g, rest_h) - score(g_all, h_all)[:, None, None]
+    rest_g, rest_h = g_all[:, None] - g_left, h_all[:, None] - h_left
+    gain = score(g_left, h_left) + score(rest_g, rest_h) - score(g_all, h_all)[:, None]
     least = max(setting.least_hessian * QUANTUM, 1)
     gain[(h_left < least) | (rest_h < least)] = -np.inf
-    flat = gain.reshape(len(gain), -1)
-    best = flat.argmax(1)
-    every = np.arange(len(flat))
-    column, cut = best // (BINS - 1), best % (BINS - 1)
-    column = np.where(flat[every, best] > max(setting.gamma, 1e-12), column, -1)
-    return Splits(column, cut, g_left[every, column, cut], h_left[every, column, cut], g_all, h_all)
+    cell = gain.argmax(1)
+    every = np.arange(len(gain))
+    column = np.searchsorted(offset, cell, "right") - 1
+    cut = cell - offset[column]
+    column = np.where(gain[every, cell] > max(setting.gamma, 1e-12), column, -1)
+    return Splits(column, cut, g_left[every, cell], h_left[every, cell], g_all, h_all)
 
 
 def put(tree: Tree, nodes: np.ndarray, columns: np.ndarray, splits: Splits, setting: Setting, last: bool) -> np.ndarray:
@@ -191,14 +201,15 @@ def places(nodes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def grown(block: Block, setting: Setting, start: int = 0) -> tuple[list[Tree], np.ndarray]:
+def grown(block: Block, setting: Setting, sizes: np.ndarray) -> tuple[list[Tree], np.ndarray]:
     """All trees of a model whose rows are one block, and the margins of all its rows."""
     fitting = np.ones(len(block.bins), bool) if setting.held is None else block.fold != setting.held
     if not fitting.any():
         raise ValueError("no rows to fit on")
     margin, trees = np.zeros(len(block.bins)), []
-    for t in range(start, setting.trees):
-        columns = drawn_columns(block.bins.shape[1], setting, t)
+    for t in range(setting.trees):
+        columns = drawn_columns(len(sizes), setting, t)
+        offset = offsets(sizes, columns)
         use = fitting & drawn_rows(block.key, setting, t)
         bins = block.bins[np.ix_(use, columns)]
         g, h = gradients(margin[use], block.label[use], block.weight[use])
@@ -206,7 +217,7 @@ def grown(block: Block, setting: Setting, start: int = 0) -> tuple[list[Tree], n
         rows = block.bins[use]
         nodes = np.ones(1, np.int64)
         for level in range(setting.depth):
-            found = best_splits(*sums(bins, places(nodes, len(tree.value))[node], len(nodes), g, h), setting)
+            found = best_splits(*sums(bins, places(nodes, len(tree.value))[node], len(nodes), g, h, offset), offset, setting)
             nodes = put(tree, nodes, columns, found, setting, level == setting.depth - 1)
             if not len(nodes):
                 break
@@ -227,6 +238,11 @@ class Binned:
     edges: list[np.ndarray]
     n: int
 
+    @property
+    def sizes(self) -> np.ndarray:
+        """Bins of every feature."""
+        return np.array([len(e) + 1 for e in self.edges])
+
     @property
     def whole(self) -> bool:
         return self.n * len(self.edges) <= BLOCK_BYTES
@@ -431,14 +447,14 @@ def scores(binned: Binned, settings: Sequence[Setting]) -> DataFrame:
                         yield told(m, block, block.margin[m])
 
         return state.mapInArrow(each, kind)
-    held = spark.sparkContext.broadcast((binned.only(), list(settings)))
+    held = spark.sparkContext.broadcast((binned.only(), list(settings), binned.sizes))
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, settings = held.value
+        block, settings, sizes = held.value
         for batch in batches:
             for m in batch.column("id").to_pylist():
                 try:
-                    yield told(m, block, grown(block, settings[m])[1])
+                    yield told(m, block, grown(block, settings[m], sizes)[1])
                 except Exception as e:  # noqa: BLE001 - the failure is the result
                     columns = [[m], [None], [None], [None], [f"{type(e).__name__}: {e}"]]
                     types = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.string()]
@@ -455,13 +471,13 @@ def _numbers(spark: SparkSession, n: int) -> DataFrame:
 def _by_task(binned: Binned, settings: Sequence[Setting], pick) -> list:
     """``pick`` of every model's fit, each grown in a task over the one block; in the order of the settings."""
     spark = binned.blocks.sparkSession
-    held = spark.sparkContext.broadcast((binned.only(), list(settings)))
+    held = spark.sparkContext.broadcast((binned.only(), list(settings), binned.sizes))
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, settings = held.value
+        block, settings, sizes = held.value
         for batch in batches:
             for m in batch.column("id").to_pylist():
-                out = pickle.dumps((pick(block, *grown(block, settings[m])), None), 5)
+                out = pickle.dumps((pick(block, *grown(block, settings[m], sizes)), None), 5)
                 yield pa.RecordBatch.from_arrays([pa.array([m]), pa.array([out], pa.binary())], ["m", "out"])
 
     rows = _numbers(spark, len(settings)).mapInArrow(grow, "m long, out binary").toArrow().sort_by("m")
@@ -471,7 +487,7 @@ def _by_task(binned: Binned, settings: Sequence[Setting], pick) -> list:
 def _in_lock_step(binned: Binned, settings: Sequence[Setting]) -> tuple[list[list[Tree]], DataFrame]:
     """The trees of every setting, and the blocks with the final margins of every setting."""
     settings = list(settings)
-    width = len(binned.edges)
+    sizes = binned.sizes
     trees: list[list[Tree]] = [[] for _ in settings]
     state = stored(_advanced(binned.blocks, settings, [[] for _ in settings]), "state")
     since = [0] * len(settings)
@@ -486,9 +502,9 @@ def _in_lock_step(binned: Binned, settings: Sequence[Setting]) -> tuple[list[lis
             if not nodes:
                 break
             recent = [ts[a:] for ts, a in zip(trees, since, strict=True)]
-            for m, found in _level(state, settings, recent, fresh, nodes, t, level).items():
+            for m, found in _level(state, settings, sizes, recent, fresh, nodes, t, level).items():
                 last = level == settings[m].depth - 1
-                live[m] = put(fresh[m], nodes[m], drawn_columns(width, settings[m], t), found, settings[m], last)
+                live[m] = put(fresh[m], nodes[m], drawn_columns(len(sizes), settings[m], t), found, settings[m], last)
         for m, tree in fresh.items():
             trees[m].append(tree)
     rest = [ts[a:] for ts, a in zip(trees, since, strict=True)]
@@ -519,7 +535,7 @@ def _margin(block: Block, m: int, recent: list[Tree], depth: int) -> np.ndarray:
     return out
 
 
-def _level(state: DataFrame, settings: list[Setting], recent: list[list[Tree]], fresh: dict[int, Tree], nodes: dict[int, np.ndarray], t: int, level: int) -> dict[int, Splits]:
+def _level(state: DataFrame, settings: list[Setting], sizes: np.ndarray, recent: list[list[Tree]], fresh: dict[int, Tree], nodes: dict[int, np.ndarray], t: int, level: int) -> dict[int, Splits]:
     """Best splits of the given nodes of every model: one pass over the blocks, one shuffle of their sums."""
     held = state.sparkSession.sparkContext.broadcast((settings, recent, fresh, nodes))
 
@@ -538,8 +554,8 @@ def _level(state: DataFrame, settings: list[Setting], recent: list[list[Tree]],
                     g, h = gradients(_margin(part, m, recent[m], s.depth), part.label, part.weight)
                     node = leaves(fresh[m], part.bins, level)
                     place = places(at, len(fresh[m].value))[node]
-                    columns = drawn_columns(block.bins.shape[1], s, t)
-                    made = np.stack(sums(part.bins[:, columns], place, len(at), g, h), 1)
+                    columns = drawn_columns(len(sizes), s, t)
+                    made = np.stack(sums(part.bins[:, columns], place, len(at), g, h, offsets(sizes, columns)), 1)
                     for i, one in zip(at.tolist(), made, strict=True):
                         if (m, i) in total:
                             total[m, i] += one
@@ -557,15 +573,15 @@ def _level(state: DataFrame, settings: list[Setting], recent: list[list[Tree]],
         key, total = None, None
         for batch in batches:
             for m, i, blob in zip(batch.column("model").to_pylist(), batch.column("node").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                one = np.frombuffer(blob).reshape(2, -1, BINS)
+                one = np.frombuffer(blob).reshape(2, -1)
                 if key == (m, i):
                     total = total + one
                     continue
                 if key is not None:
-                    yield _split_row(key, total, settings)
+                    yield _split_row(key, total, settings[key[0]], sizes, t)
                 key, total = (m, i), one
         if key is not None:
-            yield _split_row(key, total, settings)
+            yield _split_row(key, total, settings[key[0]], sizes, t)
 
     parts = state.select("blob").mapInArrow(add, "model int, node int, blob binary")
     met = parts.repartition("model", "node").sortWithinPartitions("model", "node")
@@ -589,8 +605,8 @@ def _summed(total: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(models, pa.int32()), pa.array(nodes, pa.int32()), pa.array(blobs, pa.binary())], ["model", "node", "blob"])
 
 
-def _split_row(key: tuple[int, int], total: np.ndarray, settings: list[Setting]) -> pa.RecordBatch:
-    s = best_splits(total[0][None], total[1][None], settings[key[0]])
+def _split_row(key: tuple[int, int], total: np.ndarray, setting: Setting, sizes: np.ndarray, t: int) -> pa.RecordBatch:
+    s = best_splits(total[0][None], total[1][None], offsets(sizes, drawn_columns(len(sizes), setting, t)), setting)
     values = [[key[0]], [key[1]], s.column, s.bin, s.g_left, s.h_left, s.g, s.h]
     kinds = [pa.int32()] * 4 + [pa.float64()] * 4
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in SPLIT.split(", ")])

@@ -80,7 +80,7 @@ def test_trees_equal_a_plain_learner(spark, table):
     binned = Binned.of(table, "row_id", fold="fold")
     block = binned.only()
     for s in SETTINGS[:2]:
-        _, got = boosting.grown(block, s)
+        _, got = boosting.grown(block, s, binned.sizes)
         margin = np.zeros(len(block.bins))
         x = block.bins.astype(int)
         fit = np.ones(len(x), bool) if s.held is None else block.fold != s.held
@@ -94,7 +94,7 @@ def test_trees_equal_a_plain_learner(spark, table):
 
 def test_model_scores_rows_as_the_bins_do(spark, table, tmp_path):
     binned = Binned.of(table, "row_id")
-    trees, margin = boosting.grown(binned.only(), SETTINGS[0])
+    trees, margin = boosting.grown(binned.only(), SETTINGS[0], binned.sizes)
     model = BoostedModel.of(trees, binned.edges, 3)
     out = model.transform(table.withColumn("key", F.xxhash64("row_id"))).orderBy("key").collect()
     assert [r.rawPrediction[1] for r in out] == pytest.approx(margin)
