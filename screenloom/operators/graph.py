@@ -252,40 +252,44 @@ def map_bits(
 def count_components(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """(entity_id, n_components): connected pieces of every entity.
 
-    Each round an atom takes the lowest label among itself and its neighbours and
-    then the label of that label, so the rounds grow with the logarithm of the
-    longest chain.  Rounds are stored, which keeps the lineage flat.
+    Star contraction: a round links every larger neighbour of an atom to the atom's smallest one, and then
+    every smaller neighbour, and the atom, to the smallest of them.  Links get fewer and flatter until
+    they are stars around the smallest atom of each piece; rounds grow with the logarithm of the atoms.  An atom
+    with very many bonds is only ever aggregated, or joined as the many side to its one row.  Each round
+    is stored, which keeps the lineage flat.
     """
-    ends = stored(bond_ends(bonds.select(ENTITY, "a", "b")), "ends")
-    labels = atoms.select(ENTITY, ATOM, F.col(ATOM).alias("piece"))
-    while True:
-        near = (
-            ends.join(
-                labels.select(ENTITY, F.col(ATOM).alias("other"), F.col("piece").alias("_near")),
-                [ENTITY, "other"],
-            )
-            .groupBy(ENTITY, ATOM)
-            .agg(F.min("_near").alias("_near"))
-        )
-        lower = stored(
-            labels.join(near, [ENTITY, ATOM], "left").select(
-                ENTITY,
-                ATOM,
-                F.least("piece", "_near").alias("_low"),
-                (F.col("_near") < F.col("piece")).alias("_moved"),
-            ),
-            "pieces",
-        )
-        if lower.filter("_moved").isEmpty():
+    u, v = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
+    links = stored(bonds.filter("a <> b").select(ENTITY, u, v).distinct(), "links")
+    seen = _print_of(links)
+    while seen[0]:
+        links = stored(_small_star(_large_star(links)), "stars")
+        now = _print_of(links)
+        if now == seen:
             break
-        jump = lower.select(ENTITY, F.col(ATOM).alias("_low"), F.col("_low").alias("piece"))
-        labels = stored(
-            lower.select(ENTITY, ATOM, "_low").join(jump, [ENTITY, "_low"]).select(ENTITY, ATOM, "piece"),
-            "labels",
-        )
-    return labels.groupBy(ENTITY).agg(
-        F.count_if(F.col("piece") == F.col(ATOM)).alias("n_components")
-    )
+        seen = now
+    # An atom that is the larger end of a link is not the smallest of its piece.
+    inner = links.select(ENTITY, F.col("u").alias(ATOM)).distinct().groupBy(ENTITY).agg(F.count("*").alias("_inner"))
+    pieces = F.col("_atoms") - F.coalesce("_inner", F.lit(0))
+    whole = atoms.select(ENTITY, ATOM).distinct().groupBy(ENTITY).agg(F.count("*").alias("_atoms"))
+    return whole.join(inner, ENTITY, "left").select(ENTITY, pieces.alias("n_components"))
+
+
+def _print_of(links: DataFrame) -> tuple:
+    """Count and sum of hashes: equal for equal sets of links."""
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64(ENTITY, "u", "v").cast("decimal(38,0)"))).first())
+
+
+def _large_star(links: DataFrame) -> DataFrame:
+    both = links.union(links.select(ENTITY, F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy(ENTITY, "u").agg(F.min("v").alias("_low")).withColumn("_low", F.least("u", "_low"))
+    moved = both.filter("v > u").join(least, [ENTITY, "u"])
+    return moved.select(ENTITY, F.col("v").alias("u"), F.col("_low").alias("v")).distinct()
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    least = links.groupBy(ENTITY, "u").agg(F.min("v").alias("_low"))
+    moved = links.join(least, [ENTITY, "u"]).filter("v <> _low").select(ENTITY, F.col("v").alias("u"), F.col("_low").alias("v"))
+    return moved.union(least).distinct()
 
 
 def atom_type(element: Column, aromatic: Column, n_h: Column) -> Column:
@@ -412,9 +416,9 @@ def nitro_entities(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
 def ring_amine_entities(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """Entities with a nitrogen on a six-ring of aromatic carbons.
 
-    From each carbon that carries the nitrogen two three-step walks must meet at
-    the opposite carbon without sharing a step.  An aromatic carbon has at most
-    three neighbours, so an anchor starts at most eight walks.
+    From a carbon that carries the nitrogen two three-step walks must meet at the opposite carbon without
+    sharing a step: two disjoint pairs of middle carbons.  Pairs without two disjoint ones all share a carbon
+    or lie within three, so counts per carbon decide, and walks never meet each other.
     """
     loose = F.col("aromatic") | (F.col("order") == 1)
     ends = bond_ends(bonds.filter(loose).select(ENTITY, "a", "b"))
@@ -422,7 +426,12 @@ def ring_amine_entities(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     nitrogen = atoms.filter((F.col("element") == "N") & ~F.col("aromatic")).select(ENTITY, ATOM)
     as_other = lambda t: t.withColumnRenamed(ATOM, "other")
     from_carbon = ends.join(carbon, [ENTITY, ATOM], "left_semi")
-    ring_step = from_carbon.join(as_other(carbon), [ENTITY, "other"], "left_semi")
+    among = from_carbon.join(as_other(carbon), [ENTITY, "other"], "left_semi").select(ENTITY, ATOM, "other").distinct()
+    # A carbon with one neighbour is on no ring; the many single neighbours of a large atom go here.
+    twice = among.groupBy(ENTITY, ATOM).agg(F.count("*").alias("_n")).filter("_n > 1").select(ENTITY, ATOM)
+    ring_step = stored(
+        among.join(twice, [ENTITY, ATOM], "left_semi").join(as_other(twice), [ENTITY, "other"], "left_semi"), "ring_steps"
+    )
     anchors = (
         from_carbon.join(as_other(nitrogen), [ENTITY, "other"], "left_semi")
         .select(ENTITY, F.col(ATOM).alias("v0"))
@@ -430,9 +439,7 @@ def ring_amine_entities(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     )
 
     def step(walks: DataFrame, i: int) -> DataFrame:
-        edges = ring_step.select(
-            ENTITY, F.col(ATOM).alias(f"v{i - 1}"), F.col("other").alias(f"v{i}")
-        )
+        edges = ring_step.select(ENTITY, F.col(ATOM).alias(f"v{i - 1}"), F.col("other").alias(f"v{i}"))
         walks = walks.join(edges, [ENTITY, f"v{i - 1}"])
         for seen in range(i - 1):
             walks = walks.filter(F.col(f"v{seen}") != F.col(f"v{i}"))
@@ -441,13 +448,20 @@ def ring_amine_entities(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     walks = anchors
     for i in (1, 2, 3):
         walks = step(walks, i)
-    other = walks.select(ENTITY, "v0", "v3", F.col("v1").alias("w1"), F.col("v2").alias("w2"))
-    return (
-        walks.join(other, [ENTITY, "v0", "v3"])
-        .filter("v1 < w1 AND v2 <> w2 AND v1 <> w2 AND v2 <> w1")
-        .select(ENTITY)
-        .distinct()
-    )
+    goal = [ENTITY, "v0", "v3"]
+    pairs = walks.select(*goal, F.least("v1", "v2").alias("p"), F.greatest("v1", "v2").alias("q")).distinct()
+    return disjoint_pairs(pairs, goal).select(ENTITY).distinct()
+
+
+def disjoint_pairs(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """The groups in which some two of the distinct pairs (p < q) have no member in common.
+
+    Pairs that all meet each other share one member or are the three sides of a triangle.
+    """
+    members = pairs.select(*by, F.explode(F.array("p", "q")).alias("_v")).groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+    told = members.groupBy(*by).agg(F.max("_c").alias("_most"), F.count("*").alias("_members"), F.sum("_c").alias("_ends"))
+    shared, triangle = F.col("_most") * 2 == F.col("_ends"), (F.col("_ends") == 6) & (F.col("_members") == 3)
+    return told.filter(~shared & ~triangle).select(*by)
 
 
 def motif_flags(atoms: DataFrame, bonds: DataFrame) -> DataFrame:

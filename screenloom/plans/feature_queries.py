@@ -335,6 +335,26 @@ def motif_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return graph.motif_flags(*_graph(spark, sf))
 
 
+# --- connected pieces -------------------------------------------------------------
+
+
+@query(
+    "component_count",
+    "WITH RECURSIVE "
+    + I.SQL_GRAPH
+    + """,
+reach(entity_id, atom_id, other) AS (
+  SELECT entity_id, atom_id, atom_id FROM atoms
+  UNION
+  SELECT r.entity_id, r.atom_id, e.other FROM reach r JOIN ends e ON e.entity_id = r.entity_id AND e.atom_id = r.other
+),
+lowest AS (SELECT entity_id, atom_id, min(other) AS low FROM reach GROUP BY 1, 2)
+SELECT entity_id, count(*) FILTER (low = atom_id) AS n_components FROM lowest GROUP BY entity_id""",
+)
+def component_count(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.count_components(*_graph(spark, sf))
+
+
 # --- scaling --------------------------------------------------------------------
 
 

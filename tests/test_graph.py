@@ -143,3 +143,61 @@ def test_components(spark):
     assert {r.entity_id: r.n_components for r in pieces.collect()} == {0: 1, 1: 2}
     rings = {r.entity_id: r.RingCount for r in graph.descriptors(a, b, components=pieces).collect()}
     assert rings == {0: 0, 1: 0}
+
+
+def test_components_of_random_graphs_and_a_hub(spark):
+    rng = random.Random(6)
+    atoms, bonds, want = [], [], {}
+    for e in range(8):
+        n = 60
+        links = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(0, 70))]
+        # Entity 7: one atom bound to all others but two; repeats and self links say nothing new.
+        links = links if e < 7 else [(31, i) for i in range(n - 2)] * 2
+        label = list(range(n))
+        for _ in range(n):
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+        want[e] = len(set(label))
+        atoms += [(e, i, "C", 0, 0, False) for i in range(n)]
+        bonds += [(e, a, b, 1, False, False) for a, b in links]
+    pieces = graph.count_components(spark.createDataFrame(atoms, ATOMS), spark.createDataFrame(bonds, BONDS))
+    assert {r.entity_id: r.n_components for r in pieces.collect()} == want
+
+
+def has_ring_amine(n, links, nitrogen):
+    near = {i: {b for a, b in links if a == i} | {a for a, b in links if b == i} for i in range(n)}
+    for v0 in {c for c, x in nitrogen}:
+        walks = [(v1, v2, v3) for v1 in near[v0] for v2 in near[v1] - {v0} for v3 in near[v2] - {v0, v1}]
+        for a in walks:
+            if any(a[2] == b[2] and not set(a[:2]) & set(b[:2]) for b in walks):
+                return True
+    return False
+
+
+def test_ring_amines_of_random_graphs(spark):
+    """Meeting walks are told by counts of middle carbons; compared with all pairs of walks."""
+    rng = random.Random(3)
+    atoms, bonds, want = [], [], set()
+    for e in range(60):
+        n = rng.randint(5, 9)
+        links = list({tuple(sorted(rng.sample(range(n), 2))) for _ in range(rng.randint(4, 11))})
+        carbons = [(rng.randrange(n), 100)]
+        atoms += [(e, i, "C", 0, 0, True) for i in range(n)] + [(e, 100, "N", 0, 2, False)]
+        bonds += [(e, a, b, 1, True, True) for a, b in links] + [(e, c, x, 1, False, False) for c, x in carbons]
+        if has_ring_amine(n, links, carbons):
+            want.add(e)
+    got = graph.ring_amine_entities(spark.createDataFrame(atoms, ATOMS), spark.createDataFrame(bonds, BONDS))
+    assert {r.entity_id for r in got.collect()} == want and 5 < len(want) < 55
+
+
+def test_ring_amine_at_a_carbon_with_many_neighbours(spark):
+    """10,000 single neighbours of a ring carbon, each with a nitrogen, give no walks of their own."""
+    ring = [(i, (i + 1) % 6) for i in range(6)]
+    atoms = [(0, i, "C", 0, 0, True) for i in range(6)] + [(0, 100 + i, "C", 0, 0, True) for i in range(10_000)]
+    atoms += [(0, 50_000 + i, "N", 0, 2, False) for i in range(10_000)]
+    bonds = [(0, a, b, 1, True, True) for a, b in ring] + [(0, 0, 100 + i, 1, True, True) for i in range(10_000)]
+    bonds += [(0, 100 + i, 50_000 + i, 1, False, False) for i in range(10_000)]
+    a, b = spark.createDataFrame(atoms, ATOMS), spark.createDataFrame(bonds, BONDS)
+    assert graph.ring_amine_entities(a, b).count() == 0
+    more = b.union(spark.createDataFrame([(0, 3, 50_000, 1, False, False)], BONDS))
+    assert [r.entity_id for r in graph.ring_amine_entities(a, more).collect()] == [0]
