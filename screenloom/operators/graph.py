@@ -23,9 +23,10 @@ from screenloom.session import stored
 ENTITY, ATOM = "entity_id", "atom_id"
 
 # An atom with more bonds than this is a hub; its messages go out from HUB_SALTS copies.
-HUB_DEGREE = 1_000_000
+HUB_DEGREE = 10_000
 HUB_SALTS = 64
-MAX_HUBS = 1_000_000
+# Hubs there can be at most: among many bonds, only atoms with a larger degree count as hubs.
+MOST_HUBS = 100_000
 
 
 def bond_ends(bonds: DataFrame) -> DataFrame:
@@ -43,13 +44,15 @@ def bond_ends(bonds: DataFrame) -> DataFrame:
     )
 
 
-def find_hubs(bonds: DataFrame, degree: int = HUB_DEGREE) -> DataFrame:
+def find_hubs(bonds: DataFrame, degree: int | None = None) -> DataFrame:
     """(entity_id, atom_id) of atoms with more than ``degree`` bonds; usually none.
 
-    At most 2 * bonds / degree rows, so it is small enough to broadcast; the
-    number is checked.
+    Degrees add up to twice the bonds, so without a given degree there are MOST_HUBS rows at most, few
+    enough to broadcast, whatever the table.
     """
-    hubs = stored(
+    if degree is None:
+        degree = max(HUB_DEGREE, 2 * bonds.count() // MOST_HUBS)
+    return stored(
         bond_ends(bonds.select(ENTITY, "a", "b"))
         .groupBy(ENTITY, ATOM)
         .agg(F.count("*").alias("_degree"))
@@ -57,9 +60,6 @@ def find_hubs(bonds: DataFrame, degree: int = HUB_DEGREE) -> DataFrame:
         .select(ENTITY, ATOM),
         "hubs",
     )
-    if hubs.limit(MAX_HUBS + 1).count() > MAX_HUBS:
-        raise ValueError(f"more than {MAX_HUBS} hubs; raise the degree")
-    return hubs
 
 
 def _salt(df: DataFrame, atom: str, hubs: DataFrame | None, salt: Column) -> DataFrame:
@@ -84,9 +84,11 @@ def environment_hashes(
     reads the round before exactly once.  The digest of what an atom hears is
     order-free: a count and two sums, combined on the map side.
 
-    Atoms hear hubs (see ``find_hubs``) from one of several salted copies, so no
-    task serves all neighbours of a hub.
+    Atoms hear hubs (see ``find_hubs``, which is asked where no hubs are given) from one of several salted
+    copies, so no task serves all neighbours of a hub.
     """
+    hubs = find_hubs(bonds) if hubs is None else hubs
+    hubs = None if hubs.isEmpty() else hubs
     heard_by = bond_ends(bonds.select(ENTITY, "a", "b", "order")).select(
         ENTITY, ATOM, "other", "order", F.lit(False).alias("_self")
     )

@@ -201,3 +201,19 @@ def test_ring_amine_at_a_carbon_with_many_neighbours(spark):
     assert graph.ring_amine_entities(a, b).count() == 0
     more = b.union(spark.createDataFrame([(0, 3, 50_000, 1, False, False)], BONDS))
     assert [r.entity_id for r in graph.ring_amine_entities(a, more).collect()] == [0]
+
+
+def test_hubs_are_found_in_the_plan(spark, monkeypatch):
+    """An atom with a third of all bonds is split; no number of hubs is an error, and results stay."""
+    bonds = [(0, 0, i, 1, False, False) for i in range(1, 101)]
+    bonds += [(0, i, i + 1, 2, False, False) for i in range(1, 100)] + [(0, 101 + i, 102 + i, 1, False, False) for i in range(99)]
+    atoms = [(0, i, "C", 0, i % 3, False) for i in range(202)]
+    a, b = spark.createDataFrame(atoms, ATOMS), spark.createDataFrame(bonds, BONDS)
+    rows = lambda: sorted(tuple(r) for r in graph.environment_hashes(a, b).collect())
+    want = rows()
+    monkeypatch.setattr(graph, "HUB_DEGREE", 50)
+    assert [r.atom_id for r in graph.find_hubs(b).collect()] == [0]
+    assert rows() == want
+    monkeypatch.setattr(graph, "HUB_DEGREE", 1)
+    monkeypatch.setattr(graph, "MOST_HUBS", 150)
+    assert 0 < graph.find_hubs(b).count() <= 150 and rows() == want
