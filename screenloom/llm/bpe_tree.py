@@ -33,7 +33,7 @@ from screenloom.llm.common import gather_ranges, row_slices, utf8
 LEAF_BYTES = 4
 LOOP_BYTES = 48
 #: Entries that each memo (of matches, pieces, pairs) may hold; the older half goes when it is full.
-MEMO = 400_000
+MEMO = 200_000
 #: Bytes up to which pieces, and characters up to which matches, go into the memos.
 MEMO_BYTES = 48
 #: Above every rank.

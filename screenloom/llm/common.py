@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,14 @@ def row_slices(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[in
     yield from zip([0, *edges.tolist()], [*edges.tolist(), len(sizes)], strict=True)
 
 
+def by_slices(column: pa.Array, make: Callable[[pa.Array], pa.Array], kind: pa.DataType) -> pa.Array:
+    """``make`` of a text column, a slice at a time, so that few texts are Python objects at once."""
+    sizes = np.diff(utf8(column)[1])
+    done = [make(column.slice(a, b - a)).cast(kind) for a, b in row_slices(sizes)]
+    pa.default_memory_pool().release_unused()
+    return pa.concat_arrays(done) if done else pa.array([], kind)
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = 1 << 16) -> Iterator[pa.Table]:
     """Tables of about ``rows`` rows from a stream sorted by ``keys``, never cutting a group.
 

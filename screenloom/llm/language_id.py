@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenloom.llm.common import row_slices
+from screenloom.llm.common import by_slices, row_slices
 
 UNKNOWN = "und"
 #: n-gram lengths, in characters.
@@ -154,9 +154,12 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """A struct column (lang_pred, score) for the texts of ``docs``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf(RESULT)
-    def predict(column: pa.Array) -> pa.Array:
+    def told(column: pa.Array) -> pa.Array:
         lang, score = predict_texts(column.to_pylist(), held.value)
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
 
+    @F.arrow_udf(RESULT)
+    def predict(column: pa.Array) -> pa.Array:
+        return by_slices(column, told, pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))
+
     return predict(F.col(text))

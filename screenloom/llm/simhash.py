@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenloom.llm.common import roots, row_slices, run_starts, whole_groups
+from screenloom.llm.common import by_slices, roots, row_slices, run_starts, whole_groups
 from screenloom.llm.components import components
 from screenloom.session import stored
 
@@ -84,6 +84,10 @@ def _bits(values: np.ndarray) -> np.ndarray:
 
 @F.arrow_udf(T.LongType())
 def _fingerprint(column: pa.Array) -> pa.Array:
+    return by_slices(column, _fingerprints, pa.int64())
+
+
+def _fingerprints(column: pa.Array) -> pa.Array:
     texts = pc.fill_null(column.cast(pa.large_binary()), b"").to_pylist()
     hashes = [np.array(shingle_hashes(t), np.uint64) for t in texts]
     return pa.array(majority(hashes).view(np.int64))
