@@ -27,13 +27,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenloom.llm.common import gather_ranges, row_slices, utf8
+from screenloom.llm.common import gather_ranges, give_back, row_slices, utf8
 
 #: Bytes up to which a leaf is merged directly, and up to which the merge is a plain loop.
 LEAF_BYTES = 4
 LOOP_BYTES = 48
 #: Entries that each memo (of matches, pieces, pairs) may hold; the older half goes when it is full.
-MEMO = 200_000
+MEMO = 100_000
 #: Bytes up to which pieces, and characters up to which matches, go into the memos.
 MEMO_BYTES = 48
 #: Above every rank.
@@ -41,7 +41,7 @@ NEVER = 1 << 40
 #: Matches of a long text that are read at a time, ids that are decoded at a leaf.
 BLOCK = 1 << 16
 #: Matches that are encoded together.
-MATCHES = 1 << 19
+MATCHES = 1 << 18
 
 
 class Memo:
@@ -256,7 +256,10 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Col
             for a, b in _slices(column.cast(pa.large_binary())):
                 ids, counts = encoder.batch(column.slice(a, b - a).to_pylist())
                 done.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(ids)))
-            yield pa.concat_arrays(done)
+            out = pa.concat_arrays(done)
+            del done
+            give_back()
+            yield out
 
     return encode(F.col(text))
 
@@ -274,6 +277,9 @@ def decoded(docs: DataFrame, path: str, ids: str = "ids") -> Column:
             done = [pa.array([], pa.binary())]
             for a, b in _slices(column):
                 done.append(pa.array([decoder.decode(values[x:y]) for x, y in pairwise(offsets[a : b + 1])], pa.binary()))
-            yield pa.concat_arrays(done)
+            out = pa.concat_arrays(done)
+            del done
+            give_back()
+            yield out
 
     return decode(F.col(ids))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_LIBC = ctypes.CDLL(None)
 #: Bytes of text that one numpy pass takes at a time; a longer text is taken alone.
 SLICE_BYTES = 1 << 21
 
@@ -33,8 +35,16 @@ def by_slices(column: pa.Array, make: Callable[[pa.Array], pa.Array], kind: pa.D
     """``make`` of a text column, a slice at a time, so that few texts are Python objects at once."""
     sizes = np.diff(utf8(column)[1])
     done = [make(column.slice(a, b - a)).cast(kind) for a, b in row_slices(sizes)]
+    out = pa.concat_arrays(done) if done else pa.array([], kind)
+    give_back()
+    return out
+
+
+def give_back() -> None:
+    """Hand freed memory back to the machine: workers are kept, and later stages run beside them."""
     pa.default_memory_pool().release_unused()
-    return pa.concat_arrays(done) if done else pa.array([], kind)
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = 1 << 16) -> Iterator[pa.Table]:
