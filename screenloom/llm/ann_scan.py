@@ -10,12 +10,19 @@ the original vectors.
 Each query first scans its nearest list, which gives its threshold; the other probed lists then
 return only what beats it.  Lists are cut into chunks of at most about CHUNK rows, queries likewise, so
 a list with a third of all vectors is scanned by many tasks.  Centroids are fitted on at most SAMPLE
-vectors; every vector is indexed.  Lists: LISTS, fewer only where they would hold under LEAST rows
-each.  Each query probes SHARE of the lists, and more until they hold k other vectors.
+vectors; every vector is indexed.  There are as many lists as the square root of the number of vectors,
+at most LISTS (centroids are broadcast).
+
+How many lists a query probes is measured, not set: TRIALS drawn queries are searched exactly against
+all vectors, and for each of their true neighbours the place of its list in the query's order is noted.
+Queries then probe the least number of first lists that hold a share RECALL of those neighbours, less
+two standard errors over the trials, and more until the lists hold k other vectors.  Tables whose
+vectors form groups need few lists; where vectors have no structure nearly all are needed.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
-without id; repeated ids count once.  Shorter vectors are filled up with zeros.  Ties go to the
-smaller id.  An empty table gives no rows.
+without a numeric id.  Rows that agree in id and vector count once; rows of one id with different
+vectors are rows of their own, each a candidate of the other, and as queries have 20 neighbours each.
+Shorter vectors are filled up with zeros.  Ties go to the smaller id.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,16 +40,16 @@ from screenloom.llm import vectors
 from screenloom.session import stored
 
 SAMPLE = 20_000
-LISTS = 64
-LEAST = 64
-SHARE = 0.7
+LISTS = 4096
+TRIALS = 256
+RECALL = 0.95
 ROUNDS = 8
 CHUNK = 4096
 QUERIES = 1024
 STRIP = 1024
 COLUMNS = 16
 EPSILON = 2.1
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_row long, query_id long, vec_id long, score double"
 
 
 @dataclass(frozen=True)
@@ -54,7 +61,7 @@ class Index:
 
 def k_means(x: np.ndarray, lists: int, rounds: int = ROUNDS) -> np.ndarray:
     rng = np.random.default_rng(11)
-    centers = x[rng.choice(len(x), lists, replace=False)]
+    centers = x[rng.choice(len(x), lists, replace=lists > len(x))]
     for _ in range(rounds):
         own = nearest(x, centers)
         counts = np.bincount(own, minlength=lists)
@@ -65,7 +72,10 @@ def k_means(x: np.ndarray, lists: int, rounds: int = ROUNDS) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    return (x @ centers.T - (centers**2).sum(1) / 2).argmax(1)
+    """Rows are taken a block at a time, so that memory stays level."""
+    half, step = (centers**2).sum(1) / 2, max(1, (1 << 21) // len(centers))
+    parts = [(x[i : i + step] @ centers.T - half).argmax(1) for i in range(0, len(x), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def rotation(width: int) -> np.ndarray:
@@ -74,16 +84,18 @@ def rotation(width: int) -> np.ndarray:
 
 
 def neighbours(
-    rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", share: float = SHARE
+    rows: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", recall: float = RECALL
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) for every row for which the column ``is_query`` holds."""
     spark = rows.sparkSession
-    good = rows.filter(vectors.usable(vector) & F.col(key).isNotNull())
-    good = good.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("q"))
-    good = stored(good.dropDuplicates(["id"]), "vectors")
+    good = rows.filter(vectors.usable(vector)).select(
+        F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
+    )
+    good = good.filter("id IS NOT NULL").dropDuplicates(["id", "v"])
+    good = stored(good.withColumn("row", F.monotonically_increasing_id()), "vectors")
     n, width = good.agg(F.count("*"), F.max(F.size("v"))).first()
-    lists = int(max(1, min(LISTS, n // LEAST)))
-    drawn = vectors.sample(good, "id", "v", SAMPLE)
+    lists = int(max(1, min(LISTS, np.ceil(np.sqrt(n)))))
+    drawn = vectors.sample(good, "row", "v", SAMPLE)
     width = width or 1
     drawn = np.pad(drawn, ((0, 0), (0, width - drawn.shape[1])))
     centers = k_means(drawn, lists) if len(drawn) else np.zeros((1, width))
@@ -95,19 +107,20 @@ def neighbours(
             yield pa.RecordBatch.from_arrays([pa.array(own), *b.columns], ["list", *b.schema.names])
 
     kind = good.schema["v"].dataType.simpleString()
-    listed = stored(good.mapInArrow(assign, f"list int, id long, v {kind}, q boolean"), "lists")
+    listed = stored(good.mapInArrow(assign, f"list int, id long, v {kind}, q boolean, row long"), "lists")
     sizes = np.zeros(lists, np.int64)
     for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect():
         sizes[r["list"]] = r["n"]
+    first = probes_needed(listed, centers, width, k, recall)
     index = spark.sparkContext.broadcast(Index(centers, rotation(width), sizes))
 
     def chunked(df: DataFrame, counts: np.ndarray, size: int) -> DataFrame:
         """Hash chunks of each list, by the counts of at most LISTS lists."""
         chunks = F.array(*[F.lit(int(c)) for c in np.maximum(1, -(-counts // size))])
-        return df.withColumn("chunk", F.pmod(F.xxhash64(F.lit(3), "id"), chunks[F.col("list")]).cast("int"))
+        return df.withColumn("chunk", F.pmod(F.xxhash64(F.lit(3), "row"), chunks[F.col("list")]).cast("int"))
 
     blocks = stored(
-        vectors.packed(chunked(listed, sizes, CHUNK), ["list", "chunk"], "v", width, ["id"], lambda x, i: (i, x)), "blocks"
+        vectors.packed(chunked(listed, sizes, CHUNK), ["list", "chunk"], "v", width, ["row", "id"], lambda x, r, i: (r, i, x)), "blocks"
     )
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,20 +130,20 @@ def neighbours(
             order = np.argsort(-(x @ index.value.centroids.T), axis=1, kind="stable")
             enough = np.cumsum(index.value.sizes[order], axis=1) > k
             least = np.where(enough.any(1), enough.argmax(1) + 1, lists)
-            take = np.arange(lists) < np.maximum(least, int(np.ceil(share * lists)))[:, None]
+            take = np.arange(lists) < np.maximum(least, first)[:, None]
             row, at = np.nonzero(take)
+            own = [b.column(c).take(pa.array(row)) for c in ("row", "id", "v")]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(order[row, at].astype(np.int32)), pa.array(at.astype(np.int32)), b.column("id").take(pa.array(row)), b.column("v").take(pa.array(row))],
-                ["list", "at", "id", "v"],
-            )
+                [pa.array(order[row, at].astype(np.int32)), pa.array(at.astype(np.int32)), *own], ["list", "at", "row", "id", "v"]
+            )
 
-    probed = listed.filter("q").select("id", "v").mapInArrow(probe, f"list int, at int, id long, v {kind}")
+    probed = listed.filter("q").select("row", "id", "v").mapInArrow(probe, f"list int, at int, row long, id long, v {kind}")
     home = _scan(blocks, _asked(probed.filter("at = 0").withColumn("least", F.lit(float("-inf"))), width, chunked), index, k)
     home = stored(home, "home")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = home.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k).select("query_id", F.col("score").alias("kth"))
-    rest = probed.filter("at > 0").join(kth, F.col("id") == F.col("query_id"), "left")
-    rest = rest.select("list", "id", "v", F.coalesce("kth", F.lit(float("-inf"))).alias("least"))
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    kth = home.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k).select("query_row", F.col("score").alias("kth"))
+    rest = probed.filter("at > 0").join(kth, F.col("row") == F.col("query_row"), "left")
+    rest = rest.select("list", "row", "id", "v", F.coalesce("kth", F.lit(float("-inf"))).alias("least"))
     found = home.union(_scan(blocks, _asked(rest, width, chunked), index, k))
     return (
         found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
@@ -138,12 +151,60 @@ def neighbours(
     )
 
 
+def probes_needed(listed: DataFrame, centers: np.ndarray, width: int, k: int, recall: float) -> int:
+    """First lists of a query's order that hold the share ``recall`` of the true neighbours of drawn queries.
+
+    Every task finds the k best of its rows for each of at most TRIALS queries, so TRIALS x k rows a task are merged.
+    """
+    asked = vectors.by_hash(listed.filter("q").withColumn("drawn", F.xxhash64(F.lit(7), "row")), "drawn", -(2.0**63), 2.0**63, TRIALS)
+    asked = asked.select("row", "v").toArrow()
+    if not asked.num_rows:
+        return 1
+    trials = listed.sparkSession.sparkContext.broadcast(
+        (asked["row"].to_numpy(), vectors.matrix(asked["v"].combine_chunks().cast(pa.list_(pa.float64())), width))
+    )
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = trials.value
+        score = np.full((len(q), k), -np.inf)
+        home = np.zeros((len(q), k), np.int32)
+        for b in batches:
+            x, row = vectors.matrix(b.column("v"), width), b.column("row").to_numpy()
+            new = q @ x.T
+            new[own[:, None] == row] = -np.inf
+            score = np.hstack([score, new])
+            home = np.hstack([home, np.broadcast_to(b.column("list").to_numpy(), new.shape)])
+            top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            score, home = np.take_along_axis(score, top, 1), np.take_along_axis(home, top, 1)
+        at, _ = there = np.nonzero(score > -np.inf)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at.astype(np.int32)), pa.array(home[there]), pa.array(score[there])], ["trial", "list", "score"]
+        )
+
+    best = Window.partitionBy("trial").orderBy(F.desc("score"), "list")
+    true = listed.select("row", "v", "list").mapInArrow(exact, "trial int, list int, score double")
+    true = true.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("trial", "list").toArrow()
+    lists = len(centers)
+    order = np.argsort(-(trials.value[1] @ centers.T), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(lists)[None, :], 1)
+    trial = true["trial"].to_numpy()
+    seen = np.zeros((len(order), lists))
+    np.add.at(seen, (trial, place[trial, true["list"].to_numpy()]), 1)
+    held = np.cumsum(seen, axis=1)[seen.sum(1) > 0]
+    if not len(held):
+        return 1
+    held /= held[:, -1:]
+    sure = held.mean(0) - 2 * held.std(0) / np.sqrt(len(held)) >= recall - 1e-12
+    return int(np.argmax(sure)) + 1
+
+
 def _asked(probed: DataFrame, width: int, chunked) -> DataFrame:
     """Blocks of queries by list: at most about QUERIES in one."""
     probed = stored(probed, "probes")
     lists = {r["list"]: r["n"] for r in probed.groupBy("list").agg(F.count("*").alias("n")).collect()}
     counts = np.array([lists.get(i, 0) for i in range(max(lists, default=0) + 1)])
-    asked = vectors.packed(chunked(probed, counts, QUERIES), ["list", "chunk"], "v", width, ["id", "least"], lambda x, i, t: (i, x, t))
+    asked = vectors.packed(chunked(probed, counts, QUERIES), ["list", "chunk"], "v", width, ["row", "id", "least"], lambda x, r, i, t: (r, i, x, t))
     return asked.select("list", F.col("chunk").alias("asked"), F.col("blob").alias("queries"))
 
 
@@ -153,19 +214,25 @@ def _scan(blocks: DataFrame, asked: DataFrame, index, k: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, queries in zip(batch.column("blob"), batch.column("queries"), strict=True):
-                ids, x = pickle.loads(blob.as_py())
-                asking, q, least = pickle.loads(queries.as_py())
-                row, at, score = adaptive_scan(q, asking, least, x, ids, index.value.rotation, k)
-                yield pa.RecordBatch.from_arrays([pa.array(asking[row]), pa.array(ids[at]), pa.array(score)], ["query_id", "vec_id", "score"])
+                own, ids, x = pickle.loads(blob.as_py())
+                asking, names, q, least = pickle.loads(queries.as_py())
+                row, at, score = adaptive_scan(q, asking, least, x, own, index.value.rotation, k, ids)
+                found = [pa.array(c) for c in (asking[row], names[row], ids[at], score)]
+                yield pa.RecordBatch.from_arrays(found, ["query_row", "query_id", "vec_id", "score"])
 
     pairs = blocks.join(asked, "list").select("blob", "queries", F.xxhash64("list", "chunk", "asked").alias("h"))
     return pairs.repartition("h").select("blob", "queries").mapInArrow(scan, FOUND)
 
 
 def adaptive_scan(
-    q: np.ndarray, asking: np.ndarray, least: np.ndarray, x: np.ndarray, ids: np.ndarray, turn: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query row, candidate row and score of the k best of each query that reach its ``least``."""
+    q: np.ndarray, asking: np.ndarray, least: np.ndarray, x: np.ndarray, own: np.ndarray, turn: np.ndarray, k: int,
+    ids: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query row, candidate row and score of the k best of each query that reach its ``least``; ties by ``ids``.
+
+    A candidate whose ``own`` row is the asking one is left out.
+    """
+    ids = own if ids is None else ids
     width = x.shape[1]
     turned_q, turned_x = q @ turn, x @ turn
     norm_q, norm_x = (q**2).sum(1), (x**2).sum(1)
@@ -182,7 +249,7 @@ def adaptive_scan(
             if row is None:
                 part = (a**2).sum(1)[:, None] + (b**2).sum(1) - 2 * (a @ b.T)
                 reach = norm_q[:, None] + norm_x[strip] - 2 * floor[:, None]
-                row, at = np.nonzero((part <= reach * slack + 1e-12) & (asking[:, None] != ids[strip]))
+                row, at = np.nonzero((part <= reach * slack + 1e-12) & (asking[:, None] != own[strip]))
                 part = part[row, at]
             else:
                 part = part + ((a[row] - b[at]) ** 2).sum(1)

@@ -54,6 +54,25 @@ def test_neighbours_ties_repeats_and_few(spark):
     assert ann_scan.neighbours(rows.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("n", [300, 900])
+def test_neighbours_of_vectors_without_structure(spark, n):
+    x = np.random.default_rng(n).standard_normal((n, 24)) * np.random.default_rng(n + 1).uniform(0.5, 2, (n, 1))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann_scan.neighbours(rows, F.col("vec_id") % 5 == 0).collect()
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    want = {(q, int(c)) for q in range(0, n, 5) for c in np.argsort(-score[q])[:20]}
+    assert len(got) == len(want) and len({(r.query_id, r.vec_id) for r in got} & want) >= 0.9 * len(want)
+
+
+def test_neighbours_with_one_id_are_rows_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0])]
+    rows = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann_scan.neighbours(rows, F.col("vec_id") == 0).collect()
+    want = [(0, 1, 1, 1.0), (0, 1, 1, 2.0), (0, 2, 0, 0.0), (0, 2, 0, 0.0)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+
+
 def test_scan_abandons_but_keeps_the_best():
     rng = np.random.default_rng(2)
     x, q = rng.standard_normal((3000, 64)), rng.standard_normal((20, 64))
