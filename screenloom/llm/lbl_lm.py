@@ -1,21 +1,26 @@
 """Scoring texts: a log-bilinear neural language model trained by noise-contrastive estimation.
 
-The model predicts the class of a token from the two before it.  Classes are the most frequent words,
-one class for all others (``tail``), and the end.  A context's vector is the sum of its words' vectors,
-each through the matrix of its position; a class scores by its product with that vector and a bias.
-Training contrasts observed with noise classes, so it needs no normaliser; scoring has one: matrix
-products over the distinct contexts of a slice, and a log-sum-exp.  A word of the tail class gets its
-share of the class from smoothed counts, with a slot for unknown words; the probabilities of all
-tokens then add up to one.
-
-Counts cover all training rows: words by a shuffle on the word, and the table of class triples, CLASSES
-cubed numbers, from which training draws.  Counts of the most frequent words, at most HEAD, travel to the tasks;
-the other words of each text meet their counts in a join.  Sizes broadcast are HEAD words of at most
-LONGEST bytes and the model, whatever the table.
+The model predicts a token from the two before it.  Every frequent word (at most HEAD), the end, and
+``tail`` (all other words) has a vector of its own as context and as target.  A context's vector is the
+sum of its words' vectors, each through the matrix of its position.  Words lie in classes, runs of
+like frequency, about the square root of their number; a word's probability is its class's softmax
+times its own softmax inside the class, so matrix products normalise exactly.  A word of the tail gets
+its share of it from smoothed counts, with a slot for unknown words; the probabilities of all tokens
+then add up to one.
+
+Training contrasts the observed class with noise classes and the observed word with noise words of its
+class.  It starts from the unigram model.  Every task learns from all tokens of its own training rows,
+one step per BATCH tokens, and hands on the changes of the rows of weights that it touched; Spark sums
+them by row of weights, and each row moves by the mean of its changes, weighted by how often it was used.
+ROUNDS such passes are made, so steps grow with the tokens.
+
+Counts of words cover all training rows, by a shuffle on the word.  The most frequent words, at most
+HEAD, travel to the tasks; the other words of each text meet their counts in a join.  Sizes broadcast and
+collected are HEAD words of at most LONGEST bytes and the model of HEAD rows, whatever the table.
 
 Null text reads as empty: one token, the end.  Repeated rows are scored and learned as they occur.
-Ties in frequency go by word.  Without training rows all counts are zero and classes equally likely.
-An empty table gives no rows.
+Ties in frequency go by word.  Without training rows all counts are zero, and the end and the tail
+equally likely.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,20 +36,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenloom.llm.common import row_slices
+from screenloom.llm.common import row_slices, utf8
 from screenloom.session import stored
 
-CLASSES = 128
 END, TAIL = 0, 1
 HEAD = 200_000
 LONGEST = 64
 #: Words a task counts before it hands its counts on.
 COUNTED = 400_000
 WIDTH = 16
-STEPS = 400
-BATCH = 4096
-NOISE = 8
-RATE = 0.03
+ROUNDS = 2
+BATCH = 1024
+#: Noise classes of a batch, and noise words of each token inside its class.
+NOISE = 64
+WITHIN = 4
+RATE = 0.1
+#: Numbers of a block of scores, and tokens scored at a time.
+CELLS = 1 << 21
+TOKENS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -61,20 +70,65 @@ class Counts:
     def slots(self) -> float:
         return float(self.tokens + self.distinct + 1)
 
+    @property
+    def by_place(self) -> np.ndarray:
+        """Counts of the end, of all words outside the head, and of the head's words."""
+        return np.concatenate([[self.ends, self.tokens - self.ends - self.count.sum()], self.count]).astype(np.int64)
+
 
 @dataclass(frozen=True)
 class Model:
+    """Vectors by place (targets and classes end in a bias); class c holds the places bounds[c] to bounds[c + 1]."""
+
     context: np.ndarray
     position: np.ndarray
     target: np.ndarray
-    bias: np.ndarray
+    group: np.ndarray
+    bounds: np.ndarray
 
-    def log_probs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Natural log-probabilities of all classes after the contexts (first: directly before)."""
-        hidden = self.context[first] @ self.position[0] + self.context[second] @ self.position[1]
-        score = hidden @ self.target.T + self.bias
-        score -= score.max(1, keepdims=True)
-        return score - np.log(np.exp(score).sum(1, keepdims=True))
+    @property
+    def owner(self) -> np.ndarray:
+        """The class of each place."""
+        return np.repeat(np.arange(len(self.group), dtype=np.int32), np.diff(self.bounds))
+
+    def hidden(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Vectors of contexts (first: directly before), with a last component of one for the bias."""
+        out = np.ones((len(first), WIDTH + 1), np.float32)
+        out[:, :WIDTH] = self.context[first] @ self.position[0] + self.context[second] @ self.position[1]
+        return out
+
+    def log_probs(self, first: np.ndarray, second: np.ndarray, token: np.ndarray, owner: np.ndarray | None = None) -> np.ndarray:
+        """Natural log-probability of each token (a place) after its context."""
+        owner = self.owner if owner is None else owner
+        out = np.empty(len(token))
+        for a in range(0, len(token), TOKENS):
+            piece = slice(a, a + TOKENS)
+            out[piece] = self._block(first[piece], second[piece], token[piece], owner)
+        return out
+
+    def _block(self, first: np.ndarray, second: np.ndarray, token: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        code, at = np.unique(second.astype(np.int64) * len(self.context) + first, return_inverse=True)
+        hidden = self.hidden(code % len(self.context), code // len(self.context))
+        own = owner[token]
+        out = np.einsum("ij,ij->i", hidden[at], self.group[own], dtype=np.float64) - _log_sum(hidden, self.group)[at]
+        order = np.argsort(own, kind="stable")
+        ends = np.searchsorted(own[order], np.arange(len(self.group) + 1))
+        for c in np.flatnonzero((np.diff(self.bounds) > 1) & (np.diff(ends) > 0)):
+            here = order[ends[c] : ends[c + 1]]
+            seen, back = np.unique(at[here], return_inverse=True)
+            total = _log_sum(hidden[seen], self.target[self.bounds[c] : self.bounds[c + 1]])[back]
+            out[here] += np.einsum("ij,ij->i", hidden[at[here]], self.target[token[here]], dtype=np.float64) - total
+        return out
+
+
+def _log_sum(hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log of the summed exponentials of all products, a block at a time."""
+    out, step = np.empty(len(hidden)), max(1, CELLS // len(target))
+    for a in range(0, len(hidden), step):
+        score = hidden[a : a + step] @ target.T
+        most = score.max(1, keepdims=True)
+        out[a : a + step] = np.log(np.exp(score - most).sum(1, dtype=np.float64)) + most[:, 0]
+    return out
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -148,70 +202,147 @@ class Reader:
         return first, second
 
 
-def triples(texts: DataFrame, counts: Counts, classes: int = CLASSES) -> np.ndarray:
-    """How often each class follows each two classes: classes cubed numbers."""
-    words = texts.sparkSession.sparkContext.broadcast(counts.words[: classes - 2])
+def unigram_model(known: Counts) -> Model:
+    """Where training starts: classes and words by their smoothed counts, whatever stands before."""
+    count = known.by_place + 1.0
+    places = len(count)
+    mass = np.cumsum(np.sqrt(count[2:]))
+    wanted = int(np.ceil(np.sqrt(places)))
+    run = np.floor((mass - np.sqrt(count[2:])) / (mass[-1] if len(mass) else 1) * wanted).astype(np.int64)
+    bounds = np.concatenate([[0, 1], 2 + np.flatnonzero(np.diff(run, prepend=-1)), [places]])
+    total = np.add.reduceat(count, bounds[:-1])
+    group = np.zeros((len(total), WIDTH + 1), np.float32)
+    group[:, WIDTH] = np.log(total / total.sum())
+    target = np.zeros((places, WIDTH + 1), np.float32)
+    target[:, WIDTH] = np.log(count / np.repeat(total, np.diff(bounds)))
+    context = np.random.default_rng(29).normal(0, 0.1, (places, WIDTH)).astype(np.float32)
+    position = np.stack([np.eye(WIDTH), 0.5 * np.eye(WIDTH)]).astype(np.float32)
+    return Model(context, position, target, group, bounds)
+
+
+class Learner:
+    """A copy of the model that learns from tokens: noise-contrastive steps, step sizes by past slopes."""
+
+    def __init__(self, model: Model, known: Counts):
+        self.model = Model(*(np.array(w) for w in (model.context, model.position, model.target, model.group)), model.bounds)
+        self.start, self.owner = model, model.owner
+        self.rng = np.random.default_rng(31)
+        count = known.by_place + 1.0
+        share = np.add.reduceat(count, model.bounds[:-1])
+        self.share_cut, self.word_cut = np.cumsum(share / share.sum()), np.cumsum(count)
+        self.log_noise = np.log(NOISE * share / share.sum()).astype(np.float32)
+        self.log_within = np.log(WITHIN * count / share[self.owner]).astype(np.float32)
+        self.past = [np.ones_like(w) for w in (self.model.context, self.model.position, self.model.target, self.model.group)]
+        self.used = np.zeros(len(self.owner), np.int64)
+        self.steps = 0
+
+    def learn(self, first: np.ndarray, second: np.ndarray, token: np.ndarray) -> None:
+        order = self.rng.permutation(len(token))
+        for a in range(0, len(order), BATCH):
+            at = order[a : a + BATCH]
+            self.step(first[at], second[at], token[at])
+
+    def step(self, first: np.ndarray, second: np.ndarray, token: np.ndarray) -> None:
+        m, rng = self.model, self.rng
+        before, further = m.context[first], m.context[second]
+        hidden = m.hidden(first, second)
+        own = self.owner[token]
+        # The class against classes drawn for the whole batch.
+        noise = np.minimum(np.searchsorted(self.share_cut, rng.random(NOISE)), len(m.group) - 1)
+        rise = _slope(np.einsum("ij,ij->i", hidden, m.group[own]) - self.log_noise[own]) - 1
+        fall = _slope(hidden @ m.group[noise].T - self.log_noise[noise])
+        back = rise[:, None] * m.group[own] + fall @ m.group[noise]
+        groups = _summed(np.concatenate([own, noise]), np.concatenate([rise[:, None] * hidden, fall.T @ hidden]))
+        # The word against words of its class.
+        many = np.flatnonzero(np.diff(m.bounds)[own] > 1)
+        if len(many):
+            low = np.append(0.0, self.word_cut)[m.bounds[own[many]]]
+            high = self.word_cut[m.bounds[own[many] + 1] - 1]
+            drawn = np.searchsorted(self.word_cut, low[:, None] + rng.random((len(many), WITHIN)) * (high - low)[:, None], side="right")
+            drawn = np.clip(drawn, m.bounds[own[many]][:, None], m.bounds[own[many] + 1][:, None] - 1)
+            word = np.concatenate([token[many][:, None], drawn], axis=1)
+            slope = _slope(np.einsum("bd,bkd->bk", hidden[many], m.target[word]) - self.log_within[word])
+            slope[:, 0] -= 1
+            back[many] += np.einsum("bk,bkd->bd", slope, m.target[word])
+            words = _summed(word.ravel(), (slope[:, :, None] * hidden[many][:, None, :]).reshape(-1, WIDTH + 1))
+            self._move(m.target, self.past[2], *words)
+            np.add.at(self.used, word.ravel(), 1)
+        back = back[:, :WIDTH]
+        slopes = np.concatenate([back @ m.position[0].T, back @ m.position[1].T])
+        turns = np.stack([before.T @ back, further.T @ back])
+        self._move(m.context, self.past[0], *_summed(np.concatenate([first, second]), slopes))
+        self._move(m.group, self.past[3], *groups)
+        self._move(m.position, self.past[1], slice(None), turns, RATE / 10)
+        np.add.at(self.used, np.concatenate([first, second]), 1)
+        self.steps += 1
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, total = Reader(words.value), np.zeros(classes**3, np.int64)
-        for batch in batches:
-            every = _texts(batch.column("text"))
-            for a, b in row_slices(np.array([len(t) for t in every])):
-                token, starts, _ = reader.read(every[a:b])
-                first, second = reader.contexts(token, starts)
-                cell = (second.astype(np.int64) * classes + first) * classes + token
-                np.add.at(total, cell, 1)
-        cell = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
-
-    summed = texts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(classes**3, np.int64)
-    out[summed["cell"].to_numpy()] = summed["n"].to_numpy()
-    return out.reshape(classes, classes, classes)
-
-
-def train(seen: np.ndarray, steps: int = STEPS) -> Model:
-    """Noise-contrastive estimation with Adam on draws from the counted triples."""
-    classes = len(seen)
-    rng = np.random.default_rng(29)
-    share = seen.sum((0, 1)) + 1.0
-    share /= share.sum()
-    weights = [
-        rng.normal(0, 0.1, (classes, WIDTH)),
-        np.stack([np.eye(WIDTH), 0.5 * np.eye(WIDTH)]),
-        rng.normal(0, 0.1, (classes, WIDTH)),
-        np.log(share),
-    ]
-    if not seen.any():
-        return Model(np.zeros((classes, WIDTH)), weights[1], weights[2], np.zeros(classes))
-    cells = np.flatnonzero(seen)
-    mass = np.cumsum(seen.ravel()[cells])
-    first_moment, second_moment = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    log_noise = np.log(NOISE * share)
-    noise_mass = np.cumsum(share)
-    for step in range(1, steps + 1):
-        cell = cells[np.searchsorted(mass, rng.integers(0, mass[-1], BATCH), side="right")]
-        second, first, true = cell // classes**2, cell // classes % classes, cell % classes
-        other = np.minimum(np.searchsorted(noise_mass, rng.random((BATCH, NOISE))), classes - 1)
-        token = np.concatenate([true[:, None], other], axis=1)
-        context, position, target, bias = weights
-        hidden = context[first] @ position[0] + context[second] @ position[1]
-        score = np.einsum("bd,bkd->bk", hidden, target[token]) + bias[token] - log_noise[token]
-        slope = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        slope[:, 0] -= 1
-        slope /= BATCH
-        to_hidden = np.einsum("bk,bkd->bd", slope, target[token])
-        gradients = [np.zeros_like(w) for w in weights]
-        np.add.at(gradients[0], first, to_hidden @ position[0].T)
-        np.add.at(gradients[0], second, to_hidden @ position[1].T)
-        gradients[1][0], gradients[1][1] = context[first].T @ to_hidden, context[second].T @ to_hidden
-        np.add.at(gradients[2], token, slope[:, :, None] * hidden[:, None, :])
-        np.add.at(gradients[3], token, slope)
-        for w, g, m, v in zip(weights, gradients, first_moment, second_moment, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(*weights)
+    @staticmethod
+    def _move(weights: np.ndarray, past: np.ndarray, rows, slope: np.ndarray, rate: float = RATE) -> None:
+        past[rows] += slope * slope
+        weights[rows] -= rate * slope / np.sqrt(past[rows])
+
+    def changes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of weights that were used, how often, and their changes (see ``_flat``)."""
+        used = np.append(self.used, np.full(len(self.model.group) + 2 * WIDTH, self.steps))
+        rows = np.flatnonzero(used)
+        return rows, used[rows], (_flat(self.model) - _flat(self.start))[rows]
+
+
+def _slope(score: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+
+
+def _summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sums of their values."""
+    order = np.argsort(at, kind="stable")
+    starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+    return at[order][starts], np.add.reduceat(values[order], starts, axis=0)
+
+
+def _flat(m: Model) -> np.ndarray:
+    """All weights as rows: of each place (context, target), each class, each line of the position matrices."""
+    out = np.zeros((len(m.context) + len(m.group) + 2 * WIDTH, 2 * WIDTH + 1), np.float32)
+    out[: len(m.context), :WIDTH], out[: len(m.context), WIDTH:] = m.context, m.target
+    out[len(m.context) : -2 * WIDTH, WIDTH:] = m.group
+    out[-2 * WIDTH :, :WIDTH] = m.position.reshape(-1, WIDTH)
+    return out
+
+
+def _unflat(rows: np.ndarray, bounds: np.ndarray) -> Model:
+    places = bounds[-1]
+    position = rows[-2 * WIDTH :, :WIDTH].reshape(2, WIDTH, WIDTH)
+    return Model(rows[:places, :WIDTH], position, rows[:places, WIDTH:], rows[places : -2 * WIDTH, WIDTH:], bounds)
+
+
+def train(texts: DataFrame, known: Counts, rounds: int = ROUNDS) -> Model:
+    """Each round: tasks learn from all their tokens; rows of weights move by the means of their changes."""
+    model = unigram_model(known)
+    names = [f"w{i}" for i in range(2 * WIDTH + 1)]
+    kinds = "place long, n long, " + ", ".join(f"{w} float" for w in names)
+    means = [(F.sum(F.col("n") * F.col(w).cast("double")) / F.sum("n")).cast("float").alias(w) for w in names]
+    for _ in range(rounds if known.tokens else 0):
+        held = texts.sparkSession.sparkContext.broadcast((known, model))
+
+        def learn(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            known, model = held.value
+            reader, learner = Reader(known.words), Learner(model, known)
+            for batch in batches:
+                column = batch.column("text")
+                sizes = np.diff(utf8(column)[1])
+                for a, b in row_slices(sizes):
+                    token, starts, _ = reader.read(_texts(column.slice(a, b - a)))
+                    learner.learn(*reader.contexts(token, starts), token)
+            rows, used, change = learner.changes()
+            for a in range(0, len(rows), 1 << 14):
+                piece = slice(a, a + (1 << 14))
+                columns = [rows[piece], used[piece], *np.ascontiguousarray(change[piece].T)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["place", "n", *names])
+
+        moved = texts.mapInArrow(learn, kinds).groupBy("place").agg(*means).toArrow()
+        rows = _flat(model)
+        rows[moved["place"].to_numpy()] += np.stack([moved[w].to_numpy() for w in names], axis=1)
+        model = _unflat(rows, model.bounds)
+    return model
 
 
 def scores(docs: DataFrame, in_training: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -222,16 +353,17 @@ def scores(docs: DataFrame, in_training: Column, key: str = "doc_id", text: str
     texts = docs.filter(in_training).select(F.col(text).alias("text"))
     counts = stored(count_words(texts), "counts")
     known = gather(texts, counts)
-    model = train(triples(texts, known))
+    model = train(texts, known)
     held = docs.sparkSession.sparkContext.broadcast((known, model))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, model = held.value
-        reader, tables = Reader(known.words), _tables(known, len(model.bias))
+        reader, tables, owner = Reader(known.words), _tables(known), model.owner
         for batch in batches:
-            every = _texts(batch.column("text"))
-            for a, b in row_slices(np.array([len(t) for t in every])):
-                yield _scored(batch.column("key").slice(a, b - a), every[a:b], reader, model, tables)
+            column = batch.column("text")
+            for a, b in row_slices(np.diff(utf8(column)[1])):
+                texts = _texts(column.slice(a, b - a))
+                yield _scored(batch.column("key").slice(a, b - a), texts, reader, model, owner, tables)
 
     near = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = near.schema["key"].dataType.simpleString()
@@ -254,30 +386,23 @@ def scores(docs: DataFrame, in_training: Column, key: str = "doc_id", text: str
     )
 
 
-def _tables(known: Counts, classes: int) -> tuple[np.ndarray, np.ndarray, float]:
+def _tables(known: Counts) -> tuple[np.ndarray, np.ndarray, float]:
     """By place in the head: log10 of the smoothed share, whether seen; and the log10 weight of the tail."""
-    count = np.concatenate([[known.ends, 0], known.count])
+    count = known.by_place
     base = np.log10((count + 1) / known.slots)
     base[TAIL] = 0
-    own = np.concatenate([[known.ends], known.count[: classes - 2]])
-    rest = known.slots - (own[own > 0] + 1).sum()
+    count[TAIL] = 0
+    rest = known.slots - (count[count > 0] + 1).sum()
     return base, count > 0, float(np.log10(known.slots / max(rest, 1)))
 
 
-def _scored(keys: pa.Array, texts: list[bytes], reader: Reader, model: Model, tables: tuple) -> pa.RecordBatch:
+def _scored(
+    keys: pa.Array, texts: list[bytes], reader: Reader, model: Model, owner: np.ndarray, tables: tuple
+) -> pa.RecordBatch:
     base, seen, tail = tables
-    classes = len(model.bias)
     token, starts, words = reader.read(texts)
-    kind = np.where(token < classes, token, TAIL)
-    first, second = reader.contexts(kind, starts)
-    context = second.astype(np.int64) * classes + first
-    place = np.zeros(classes * classes, np.int64)
-    place[context] = 1
-    distinct = np.flatnonzero(place)
-    place[distinct] = np.arange(len(distinct))
-    table = model.log_probs(distinct % classes, distinct // classes) / np.log(10)
-    # A tail token: its class, then its share of the tail; far words get that share's count by the join.
-    lm = table[place[context], kind] + np.where(kind == TAIL, base[token] + tail, 0.0)
+    # A tail token: its place, then its share of the tail; far words get that share's count by the join.
+    lm = model.log_probs(*reader.contexts(token, starts), token, owner) / np.log(10) + np.where(token == TAIL, tail, 0.0)
     size = np.diff(np.append(starts, len(token)))
     far = np.flatnonzero(token == TAIL)
     owner = np.repeat(np.arange(len(texts)), size)[far]

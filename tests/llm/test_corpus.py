@@ -252,7 +252,6 @@ def test_rows_keep_given_weights_across_frames(spark, monkeypatch):
 
 
 def test_scores_equal_brute_counts_and_sum_to_one(spark, monkeypatch):
-    monkeypatch.setattr(lbl_lm, "STEPS", 30)
     docs = documents(spark)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
     rows = docs.select("doc_id", "text").collect()
@@ -270,24 +269,56 @@ def test_scores_equal_brute_counts_and_sum_to_one(spark, monkeypatch):
     assert lbl_lm.scores(none(spark), fold).count() == 0
 
 
-def test_classes_and_tail_are_normalised():
-    rng = np.random.default_rng(3)
-    model = lbl_lm.train(rng.integers(0, 5, (16, 16, 16)), steps=50)
-    first, second = np.arange(16), np.arange(16)[::-1]
-    assert np.allclose(np.exp(model.log_probs(first, second)).sum(1), 1)
-    known = lbl_lm.Counts([b"w%d" % i for i in range(20)], np.arange(40, 20, -1), 7, 1000, 60)
-    base, _, tail = lbl_lm._tables(known, 16)
-    inside = [b for b in base[16:]]  # head words that are not classes
-    far = (known.slots - 8 - (known.count + 1).sum()) / known.slots
-    assert sum(10**b for b in inside) * 10**tail + far * 10**tail == pytest.approx(1)
-
-
-def test_training_beats_chance():
-    seen = np.zeros((8, 8, 8), np.int64)
-    for c in range(8):
-        seen[:, c, (c + 1) % 8] = 100
-    table = lbl_lm.train(seen).log_probs(np.arange(8), np.zeros(8, np.int64))
-    assert (table.argmax(1) == (np.arange(8) + 1) % 8).all()
+def known_words(n=400, tail=500):
+    count = np.arange(2 * n, n, -1) ** 2
+    return lbl_lm.Counts([b"w%d" % i for i in range(n)], count, 70, int(70 + count.sum() + tail), n + 61)
+
+
+def test_words_and_tail_are_normalised(monkeypatch):
+    monkeypatch.setattr(lbl_lm, "TOKENS", 1000)
+    known, rng = known_words(), np.random.default_rng(3)
+    learner, places = lbl_lm.Learner(lbl_lm.unigram_model(known), known), len(known.words) + 2
+    learner.learn(*rng.integers(0, places, (3, 20_000)))
+    model = learner.model
+    assert len(model.group) == len(model.bounds) - 1 > 10 and (np.diff(model.bounds) > 0).all()
+    assert np.array_equal(model.bounds[model.owner], np.repeat(model.bounds[:-1], np.diff(model.bounds)))
+    for first, second in ((0, 0), (5, 300), (1, 399)):
+        every = np.arange(places)
+        assert np.exp(model.log_probs(np.full(places, first), np.full(places, second), every)).sum() == pytest.approx(1, abs=1e-5)
+    # The far words' shares of the tail, with one slot for unknown words, add up to one as well.
+    base, _, tail = lbl_lm._tables(known)
+    far, rows = known.distinct - len(known.words) - 1, known.tokens - known.ends - known.count.sum()
+    assert (rows + far + 1) / known.slots * 10**tail == pytest.approx(1)
+
+
+def test_model_starts_as_unigram_and_weights_survive_flattening():
+    known = known_words()
+    model = lbl_lm.unigram_model(known)
+    every = np.arange(len(known.words) + 2)
+    share = (known.by_place + 1) / (known.by_place + 1).sum()
+    assert np.allclose(model.log_probs(every, every[::-1], every), np.log(share), atol=1e-4)
+    again = lbl_lm._unflat(lbl_lm._flat(model), model.bounds)
+    assert all(np.array_equal(getattr(model, w), getattr(again, w)) for w in ("context", "position", "target", "group"))
+
+
+def chained(spark, n, seed):
+    """Each word is one of two that the word before allows: 300 words, far more than any fixed list of classes."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        at, text = rng.randrange(300), []
+        for _ in range(60):
+            text.append(f"w{at}")
+            at = (at * 7 + rng.choice([1, 2])) % 300
+        rows.append((i, " ".join(text)))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_held_out_scores_beat_counts(spark):
+    docs = chained(spark, 1500, 5).repartition(4)
+    out = lbl_lm.scores(docs, F.col("doc_id") % 7 != 2).filter(F.col("doc_id") % 7 == 2)
+    base, score, tokens = out.agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first()
+    assert score > base + 0.5 * tokens
 
 
 # Pipeline
