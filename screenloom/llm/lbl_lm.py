@@ -1,6 +1,6 @@
 """Scoring texts: a log-bilinear neural language model trained by noise-contrastive estimation.
 
-The model predicts a token from the two before it.  Every frequent word (at most HEAD), the end, and
+The model predicts a token from the two before it.  Every frequent word (at most VOCAB), the end, and
 ``tail`` (all other words) has a vector of its own as context and as target.  A context's vector is the
 sum of its words' vectors, each through the matrix of its position.  Words lie in classes, runs of
 like frequency, about the square root of their number; a word's probability is its class's softmax
@@ -16,7 +16,7 @@ ROUNDS such passes are made, so steps grow with the tokens.
 
 Counts of words cover all training rows, by a shuffle on the word.  The most frequent words, at most
 HEAD, travel to the tasks; the other words of each text meet their counts in a join.  Sizes broadcast and
-collected are HEAD words of at most LONGEST bytes and the model of HEAD rows, whatever the table.
+collected are HEAD words of at most LONGEST bytes and the model of VOCAB rows, whatever the table.
 
 Null text reads as empty: one token, the end.  Repeated rows are scored and learned as they occur.
 Ties in frequency go by word.  Without training rows all counts are zero, and the end and the tail
@@ -41,15 +41,17 @@ from screenloom.session import stored
 
 END, TAIL = 0, 1
 HEAD = 200_000
+#: The most frequent words of the head, which have vectors; the others are words of the tail.
+VOCAB = 1 << 15
 LONGEST = 64
 #: Words a task counts before it hands its counts on.
 COUNTED = 400_000
 WIDTH = 16
-ROUNDS = 2
-BATCH = 1024
+ROUNDS = 1
+BATCH = 2048
 #: Noise classes of a batch, and noise words of each token inside its class.
 NOISE = 64
-WITHIN = 4
+WITHIN = 2
 RATE = 0.1
 #: Numbers of a block of scores, and tokens scored at a time.
 CELLS = 1 << 21
@@ -72,8 +74,9 @@ class Counts:
 
     @property
     def by_place(self) -> np.ndarray:
-        """Counts of the end, of all words outside the head, and of the head's words."""
-        return np.concatenate([[self.ends, self.tokens - self.ends - self.count.sum()], self.count]).astype(np.int64)
+        """Counts of the end, of all words of the tail, and of the words with vectors."""
+        own = self.count[:VOCAB]
+        return np.concatenate([[self.ends, self.tokens - self.ends - own.sum()], own]).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -230,6 +233,7 @@ class Learner:
         count = known.by_place + 1.0
         share = np.add.reduceat(count, model.bounds[:-1])
         self.share_cut, self.word_cut = np.cumsum(share / share.sum()), np.cumsum(count)
+        self.low, self.high = self.word_cut[model.bounds[:-1]] - count[model.bounds[:-1]], self.word_cut[model.bounds[1:] - 1]
         self.log_noise = np.log(NOISE * share / share.sum()).astype(np.float32)
         self.log_within = np.log(WITHIN * count / share[self.owner]).astype(np.float32)
         self.past = [np.ones_like(w) for w in (self.model.context, self.model.position, self.model.target, self.model.group)]
@@ -256,15 +260,15 @@ class Learner:
         # The word against words of its class.
         many = np.flatnonzero(np.diff(m.bounds)[own] > 1)
         if len(many):
-            low = np.append(0.0, self.word_cut)[m.bounds[own[many]]]
-            high = self.word_cut[m.bounds[own[many] + 1] - 1]
-            drawn = np.searchsorted(self.word_cut, low[:, None] + rng.random((len(many), WITHIN)) * (high - low)[:, None], side="right")
-            drawn = np.clip(drawn, m.bounds[own[many]][:, None], m.bounds[own[many] + 1][:, None] - 1)
+            group, inside = own[many][:, None], hidden[many]
+            mark = self.low[group] + rng.random((len(many), WITHIN)) * (self.high - self.low)[group]
+            drawn = np.clip(np.searchsorted(self.word_cut, mark, side="right"), m.bounds[group], m.bounds[group + 1] - 1)
             word = np.concatenate([token[many][:, None], drawn], axis=1)
-            slope = _slope(np.einsum("bd,bkd->bk", hidden[many], m.target[word]) - self.log_within[word])
+            target = m.target.take(word, axis=0)
+            slope = _slope(np.einsum("bd,bkd->bk", inside, target) - self.log_within[word])
             slope[:, 0] -= 1
-            back[many] += np.einsum("bk,bkd->bd", slope, m.target[word])
-            words = _summed(word.ravel(), (slope[:, :, None] * hidden[many][:, None, :]).reshape(-1, WIDTH + 1))
+            back[many] += np.einsum("bk,bkd->bd", slope, target)
+            words = _summed(word.ravel(), (slope[:, :, None] * inside[:, None, :]).reshape(-1, WIDTH + 1))
             self._move(m.target, self.past[2], *words)
             np.add.at(self.used, word.ravel(), 1)
         back = back[:, :WIDTH]
@@ -278,8 +282,9 @@ class Learner:
 
     @staticmethod
     def _move(weights: np.ndarray, past: np.ndarray, rows, slope: np.ndarray, rate: float = RATE) -> None:
-        past[rows] += slope * slope
-        weights[rows] -= rate * slope / np.sqrt(past[rows])
+        size = past[rows] + slope * slope
+        past[rows] = size
+        weights[rows] -= rate * slope / np.sqrt(size)
 
     def changes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of weights that were used, how often, and their changes (see ``_flat``)."""
@@ -296,7 +301,7 @@ def _summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Distinct rows and the sums of their values."""
     order = np.argsort(at, kind="stable")
     starts = np.flatnonzero(np.diff(at[order], prepend=-1))
-    return at[order][starts], np.add.reduceat(values[order], starts, axis=0)
+    return at[order][starts], np.add.reduceat(values.take(order, axis=0), starts, axis=0)
 
 
 def _flat(m: Model) -> np.ndarray:
@@ -325,7 +330,7 @@ def train(texts: DataFrame, known: Counts, rounds: int = ROUNDS) -> Model:
 
         def learn(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             known, model = held.value
-            reader, learner = Reader(known.words), Learner(model, known)
+            reader, learner = Reader(known.words[:VOCAB]), Learner(model, known)
             for batch in batches:
                 column = batch.column("text")
                 sizes = np.diff(utf8(column)[1])
@@ -388,11 +393,11 @@ def scores(docs: DataFrame, in_training: Column, key: str = "doc_id", text: str
 
 def _tables(known: Counts) -> tuple[np.ndarray, np.ndarray, float]:
     """By place in the head: log10 of the smoothed share, whether seen; and the log10 weight of the tail."""
-    count = known.by_place
+    count = np.concatenate([[known.ends, 0], known.count])
     base = np.log10((count + 1) / known.slots)
     base[TAIL] = 0
-    count[TAIL] = 0
-    rest = known.slots - (count[count > 0] + 1).sum()
+    own = np.delete(known.by_place, TAIL)
+    rest = known.slots - (own[own > 0] + 1).sum()
     return base, count > 0, float(np.log10(known.slots / max(rest, 1)))
 
 
@@ -402,7 +407,9 @@ def _scored(
     base, seen, tail = tables
     token, starts, words = reader.read(texts)
     # A tail token: its place, then its share of the tail; far words get that share's count by the join.
-    lm = model.log_probs(*reader.contexts(token, starts), token, owner) / np.log(10) + np.where(token == TAIL, tail, 0.0)
+    kind = np.where(token < len(owner), token, TAIL)
+    lm = model.log_probs(*reader.contexts(kind, starts), kind, owner) / np.log(10)
+    lm += np.where(kind == TAIL, base[token] + tail, 0.0)
     size = np.diff(np.append(starts, len(token)))
     far = np.flatnonzero(token == TAIL)
     owner = np.repeat(np.arange(len(texts)), size)[far]
