@@ -9,7 +9,7 @@ next depends on how often each source has gone only.  The driver runs through th
 these numbers at every FRAME-th slot; tasks work out the slots of each frame from them.  When a source
 has no block left, a new phase begins with the weights of those that remain; all rows are placed.
 
-Null sources are a source of their own; a null key is a key like any other.  A source without a target weight (or a weight that is not
+A null source counts as the empty one; a null key is a key like any other.  A source without a target weight (or a weight that is not
 positive) comes after all weighted ones, in a last phase of equal weights.  Rows of equal source and key
 share a place, and ties in hash order go by key.  An empty table gives no rows.  The sizes of all sources
 reach the driver, one row per source; it steps through one slot per block, and keeps one number per frame and source.
