@@ -41,7 +41,7 @@ def label_conflicts(df: DataFrame, key: str = K.KEY, label: str = K.LABEL) -> Da
     )
 
 
-def vote(
+def partial_votes(
     df: DataFrame,
     key: str = K.KEY,
     label: str = K.LABEL,
@@ -49,10 +49,7 @@ def vote(
     row_id: str = K.ROW_ID,
     hashed: bool = False,
 ) -> DataFrame:
-    """One row per key digest: voted label (a tie gives 1), merged sources, first row id.
-
-    ``hashed``: the key column already holds non-null digests.
-    """
+    """Sums that add up over any parts of the rows: one row per key digest and source."""
     if not hashed:
         df = df.filter(F.col(key).isNotNull())
     narrow = df.select(
@@ -61,9 +58,13 @@ def vote(
         F.col(source).alias("_source"),
         F.col(row_id).alias("_row"),
     )
-    per_source = narrow.groupBy("key_digest", "_source").agg(
+    return narrow.groupBy("key_digest", "_source").agg(
         F.sum("_label").alias("_ones"), F.count("*").alias("_n"), F.min("_row").alias("_first")
     )
+
+
+def finish_votes(per_source: DataFrame) -> DataFrame:
+    """The votes of keys from their sums per source."""
     return per_source.groupBy("key_digest").agg(
         (2 * F.sum("_ones") >= F.sum("_n")).cast("int").alias("_vote"),
         F.array_join(F.array_sort(F.collect_set("_source")), "+").alias("_sources"),
@@ -72,6 +73,21 @@ def vote(
     )
 
 
+def vote(
+    df: DataFrame,
+    key: str = K.KEY,
+    label: str = K.LABEL,
+    source: str = K.SOURCE,
+    row_id: str = K.ROW_ID,
+    hashed: bool = False,
+) -> DataFrame:
+    """One row per key digest: voted label (a tie gives 1), merged sources, first row id.
+
+    ``hashed``: the key column already holds non-null digests.
+    """
+    return finish_votes(partial_votes(df, key, label, source, row_id, hashed))
+
+
 def keep_voted(
     df: DataFrame,
     votes: DataFrame,

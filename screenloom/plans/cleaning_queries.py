@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from screenloom import constants as K
 from screenloom.functions.keys import key_digest, notation_depth, notation_is_valid
-from screenloom.operators import cleaning, merging, summaries, voting
+from screenloom.operators import cleaning, merging, summaries, vote_state, voting
 from screenloom.plans import inputs as I
 from screenloom.plans.registry import query
 from screenloom.session import scratch_path
-from screenloom.sources import delimited, records
+from screenloom.sources import delimited, parts, records
 from screenloom.sources.tables import read_table
 
 
@@ -69,6 +69,24 @@ def snapshot_reuse(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.source_counts(stored.withColumnRenamed("c_mktsegment", "source"))
 
 
+@query(
+    "snapshot_refresh",
+    """SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_returnflag = 'R' THEN l_quantity + 1 ELSE l_quantity END AS BIGINT) AS quantity,
+              CAST(CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END AS INTEGER) AS generation FROM lineitem""",
+)
+def snapshot_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """The files of one return flag are replaced after the first refresh; the second reads only the new ones."""
+    source, path = scratch_path(spark, "lines-in"), scratch_path(spark, "lines-kept")
+    lines = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    build = lambda rows: rows.withColumn("quantity", F.col("l_quantity").cast("bigint"))
+    lines.write.partitionBy("l_returnflag").parquet(source)
+    parts.refresh_parts(spark, path, source, build)
+    more = lines.filter("l_returnflag = 'R'").withColumn("l_quantity", F.col("l_quantity") + 1)
+    more.drop("l_returnflag").write.mode("overwrite").parquet(f"{source}/l_returnflag=R")
+    rows = parts.refresh_parts(spark, path, source, build)
+    return rows.select("l_orderkey", "l_linenumber", "quantity", F.col("_generation").alias("generation"))
+
+
 @query(
     "standardize_source",
     """SELECT c_name AS smiles, CAST(trunc(c_acctbal / 5000.0::DOUBLE) AS INTEGER) AS label,
@@ -248,6 +266,54 @@ def resolve_labels_events(spark: SparkSession, sf: str) -> DataFrame:
     return voting.resolve_labels(I.labelled_events(spark, sf))
 
 
+#: Line items come in two deliveries: shipped before this day, and all others.
+_DELIVERY = "1995-01-01"
+
+
+def _fold_lineitems(spark: SparkSession, sf: str) -> str:
+    """The state after both deliveries; the second arrives twice and counts once."""
+    path = scratch_path(spark, "votes")
+    rows = I.labelled_lineitems(spark, sf).withColumn("early", F.coalesce(F.col("l_shipdate") < F.lit(_DELIVERY).cast("date"), F.lit(False)))
+    vote_state.fold_delivery(rows.filter("early"), path, "early")
+    for _ in range(2):
+        vote_state.fold_delivery(rows.filter("NOT early"), path, "late")
+    return path
+
+
+@query(
+    "resolve_labels_delta",
+    """SELECT md5(CAST(l_partkey AS VARCHAR)) AS key_digest,
+              CAST(CASE WHEN 2 * count(*) FILTER (l_returnflag = 'R') >= count(*) THEN 1 ELSE 0 END AS INTEGER) AS label,
+              string_agg(DISTINCT l_linestatus, '+' ORDER BY l_linestatus) AS source, min(l_orderkey) AS row_id, count(*) AS n_merged
+       FROM lineitem GROUP BY l_partkey""",
+)
+def resolve_labels_delta(spark: SparkSession, sf: str) -> DataFrame:
+    """Votes folded delivery by delivery; they must equal the vote over all rows."""
+    return vote_state.kept_votes(spark, _fold_lineitems(spark, sf)).select(
+        "key_digest",
+        F.col("_vote").alias("label"),
+        F.col("_sources").alias("source"),
+        F.col("_first").alias("row_id"),
+        "n_merged",
+    )
+
+
+@query(
+    "changed_labels",
+    f"""WITH rows AS (SELECT l_partkey, l_orderkey, l_returnflag = 'R' AS one,
+                             coalesce(l_shipdate < DATE '{_DELIVERY}', false) AS early FROM lineitem)
+        SELECT md5(CAST(l_partkey AS VARCHAR)) AS key_digest,
+               CAST(CASE WHEN 2 * count(*) FILTER (one) >= count(*) THEN 1 ELSE 0 END AS INTEGER) AS label,
+               CAST(CASE WHEN count(*) FILTER (early) = 0 THEN NULL
+                    WHEN 2 * count(*) FILTER (one AND early) >= count(*) FILTER (early) THEN 1 ELSE 0 END AS INTEGER) AS label_before,
+               min(l_orderkey) AS row_id, count(*) AS n_merged
+        FROM rows GROUP BY l_partkey HAVING count(*) FILTER (NOT early) > 0""",
+)
+def changed_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """What the last delivery did to the votes of its keys."""
+    return vote_state.changed_votes(spark, _fold_lineitems(spark, sf))
+
+
 @query(
     "clean_chain",
     f"""WITH {I.SQL_LABELLED}, texts AS (SELECT row_id AS rid, smiles AS text_key FROM keyed)

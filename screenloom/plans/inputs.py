@@ -86,6 +86,7 @@ def labelled_lineitems(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("l_returnflag") == "R").cast("int").alias("label"),
         F.col("l_linestatus").alias("source"),
         F.col("l_orderkey").alias("row_id"),
+        "l_shipdate",
     )
 
 

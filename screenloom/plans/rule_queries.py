@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from screenloom.plans.registry import query
 from screenloom.session import scratch_path
 from screenloom.sources import delimited
 from screenloom.sources.tables import read_table
-from screenloom.streaming.scoring import file_stream, score_stream
+from screenloom.streaming.scoring import file_stream, read_batches, score_batches, score_stream
 
 _COLUMNS = scoring.ScoringColumns(
     nitro="nitro", ring_amine="ring_amine", outlier="outlier", calibrated="calibrated"
@@ -287,3 +288,32 @@ def stream_score(spark: SparkSession, sf: str) -> DataFrame:
 
     score_stream(stream, transform, out).awaitTermination()
     return spark.read.parquet(out)
+
+
+@query("stream_restart", _SQL_RULES + "SELECT * FROM results")
+def stream_restart(spark: SparkSession, sf: str) -> DataFrame:
+    """A scoring job that dies after writing its second batch, before that is recorded; a second job goes on."""
+    source, out, state = (scratch_path(spark, kind) for kind in ("orders-in", "restart-out", "restart-state"))
+    read_table(spark, sf, "orders").repartition(4, "o_custkey").write.parquet(source)
+    files = max(1, spark.read.format("binaryFile").load(f"{source}/*.parquet").select("path").count())
+    schema = spark.read.parquet(source).schema
+
+    def transform(rows: DataFrame) -> DataFrame:
+        keyed = I.screen_notation(I.describe(rows))
+        return scoring.score_batch(keyed, _COLUMNS, _THRESHOLD, carry=["row_id", "name"])
+
+    def die(batch: int) -> None:
+        if batch == 1:
+            raise RuntimeError("the job dies here")
+
+    def job(written=None):
+        stream = file_stream(spark, source, schema, per_trigger=-(-files // 3))
+        return score_batches(stream, transform, out, state, written)
+
+    try:
+        job(die).awaitTermination()
+    except StreamingQueryException as error:
+        if "the job dies here" not in str(error):
+            raise
+    job().awaitTermination()
+    return read_batches(spark, out).drop("batch")

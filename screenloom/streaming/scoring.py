@@ -47,3 +47,35 @@ def score_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def score_batches(
+    stream: DataFrame,
+    transform: Callable[[DataFrame], DataFrame],
+    out: str,
+    state: str,
+    written: Callable[[int], None] | None = None,
+) -> StreamingQuery:
+    """Like ``score_stream`` for sinks that know no transactions: every micro-batch has a folder of its own.
+
+    A batch that was written but not yet recorded in ``state`` when the job died comes again with the same
+    number and the same files, and overwrites its folder: no row is lost or doubled.  ``written`` is called
+    after each batch, before it is recorded.  Read the result with ``read_batches``.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        transform(rows).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        if written is not None:
+            written(batch)
+
+    return (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", state)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_batches(spark: SparkSession, out: str) -> DataFrame:
+    """All scored rows with the number of their batch."""
+    return spark.read.parquet(out)
