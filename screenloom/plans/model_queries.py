@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenloom import constants as K
-from screenloom.operators import attribution, features, models, outliers, summaries
+from screenloom.functions.keys import notation_key
+from screenloom.operators import attribution, features, models, outliers, scoring, summaries
 from screenloom.operators.splitting import stratified_folds, stratified_split
 from screenloom.plans import training
 from screenloom.plans import inputs as I
 from screenloom.plans.registry import query
 from screenloom.plans.split_queries import SQL_SPLIT_OF
 from screenloom.session import scratch_path, stored
+from screenloom.sources import delimited
 from screenloom.sources.tables import read_table
 
 _SQL_SPLIT = f"""WITH base AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(label >= 5 AS INTEGER) AS label FROM embeddings),
@@ -197,7 +199,7 @@ def _linear_attributions(spark: SparkSession, sf: str) -> DataFrame:
 )
 def global_importance(spark: SparkSession, sf: str) -> DataFrame:
     n = read_table(spark, sf, "embeddings").count()
-    top = attribution.global_importance(_linear_attributions(spark, sf), n, top=20)
+    top = attribution.global_importance(_linear_attributions(spark, sf), n, top=K.GLOBAL_TOP)
     return top.withColumn("mean_abs_shap", F.round("mean_abs_shap", 9))
 
 
@@ -237,3 +239,43 @@ def screen_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
         draws=models.draw_parameters(),
     )
     return training.evaluate(result)
+
+
+_DESCRIPTORS = ["MolWt", "LogP", "HBD", "HBA", "TPSA", "RotatableBonds"]
+
+
+@query(
+    "model_roundtrip",
+    f"""WITH {I.SQL_DESCRIBED}
+    SELECT row_id, name, canonical_smiles IS NOT NULL AS is_valid, canonical_smiles IS NOT NULL AS scored, true AS same FROM screened""",
+)
+def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders: the training job, its model saved and loaded, a CSV scored into a CSV by the loaded one.
+
+    ``same``: the loaded model gives the row of the file all that the fitted model gives the row of the table.
+    """
+    given = I.screened_orders(spark, sf)
+    labelled = given.withColumn("label", F.col("nitro").cast("int")).select("row_id", "label", *_DESCRIPTORS)
+    model = training.train(labelled, "descriptors", _DESCRIPTORS, compare=False).model
+    path, source, target = (scratch_path(spark, kind) for kind in ("model", "file-in", "file-out"))
+    model.save(spark, path)
+    delimited.write_delimited(given.select("row_id", F.col("input_smiles").alias("SMILES"), "name", *_DESCRIPTORS, "heavy"), source)
+
+    def describe(rows: DataFrame) -> DataFrame:
+        numbers = {c: F.col(c).cast("double") for c in [*_DESCRIPTORS, "heavy"]}
+        return rows.withColumns({**numbers, "canonical_smiles": notation_key(F.col("input_smiles"))})
+
+    loaded = training.ScreenModel.load(spark, path)
+    training.score_file(spark, loaded, describe, source, target, key="smiles")
+    names = ["row_id", "name", "is_valid", "prediction", "probability", "risk_level", "ad_status"]
+    kinds = ["BIGINT", "STRING", "BOOLEAN", "STRING", "DOUBLE", "STRING", "STRING"]
+    schema = ", ".join(map(" ".join, zip(names, kinds, strict=True)))
+    back = delimited.read_delimited(spark, target, schema, null_tokens=False)
+    columns = scoring.ScoringColumns(score="_score", calibrated="_calibrated", outlier="_outlier")
+    kept = given.select("row_id", "input_smiles", "canonical_smiles", *_DESCRIPTORS, "heavy")
+    own = scoring.score_batch(model.score_rows(kept), columns, model.threshold, carry=["row_id"])
+    own = own.select("row_id", F.struct(*names[2:]).alias("own"))
+    both = back.select("row_id", "name", "is_valid", "probability", F.struct(*names[2:]).alias("read")).join(own, "row_id")
+    return both.select(
+        "row_id", "name", "is_valid", F.col("probability").isNotNull().alias("scored"), F.col("read").eqNullSafe(F.col("own")).alias("same")
+    )
