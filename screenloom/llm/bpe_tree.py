@@ -283,3 +283,29 @@ def decoded(docs: DataFrame, path: str, ids: str = "ids") -> Column:
             yield out
 
     return decode(F.col(ids))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Column:
+    """A struct of the token ids of a text column and ``exact``: whether they decode to its bytes.
+
+    Both directions run in one Python worker, so ids are not sent out and back to be decoded.
+    """
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+
+    @F.arrow_udf("ids array<int>, exact boolean")
+    def both(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, decoder = Encoder(ranks.value, pattern), Decoder(ranks.value)
+        for column in columns:
+            body = column.cast(pa.large_binary())
+            done, exact = [pa.array([], pa.list_(pa.int32()))], []
+            for a, b in _slices(body):
+                ids, counts = encoder.batch(column.slice(a, b - a).to_pylist())
+                ends = np.cumsum([0, *counts])
+                exact += [decoder.decode(ids[x:y]) == (body[i].as_py() or b"") for i, (x, y) in enumerate(pairwise(ends), a)]
+                done.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)))
+            out = pa.StructArray.from_arrays([pa.concat_arrays(done), pa.array(exact, pa.bool_())], ["ids", "exact"])
+            del done, body
+            give_back()
+            yield out
+
+    return both(F.col(text))

@@ -152,6 +152,15 @@ def test_bpe_columns(spark):
     assert empty.select(bpe_tree.encoded(empty, PATH, public_tokenizers.PATTERN)).count() == 0
 
 
+def test_bpe_round_trip_in_one_worker(spark):
+    """Same ids as the encoder's column, whatever the slices; odd rows and empty tables included."""
+    docs = documents(spark)
+    both = bpe_tree.round_trip(docs, PATH, public_tokenizers.PATTERN)
+    out = docs.select("text", bpe_tree.encoded(docs, PATH, public_tokenizers.PATTERN).alias("t"), both.alias("made")).collect()
+    assert out and all(r.made.exact and r.made.ids == r.t == THEIRS.encode_ordinary(r.text or "") for r in out)
+    assert none(spark).select(bpe_tree.round_trip(none(spark), PATH, public_tokenizers.PATTERN)).count() == 0
+
+
 def test_bpe_unknown_id():
     with pytest.raises(ValueError):
         bpe_tree.Decoder(RANKS).decode(np.array([60_000]))
