@@ -44,7 +44,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in the texts by their kinds."""
     clean = pii_boost.redacted(docs, pii_boost.fit(docs))
-    return docs.withColumn("text", clean).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    out = docs.withColumn("text", clean)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +58,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    made = docs.select("*", bpe_tree.encoded(docs, path, public_tokenizers.PATTERN).alias("ids"))
-    same = bpe_tree.decoded(made, path) == F.coalesce("text", F.lit("")).cast("binary")
-    return made.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("exact"))
+    made = bpe_tree.round_trip(docs, path, public_tokenizers.PATTERN)
+    out = docs.select("doc_id", "lang", "source", made.alias("made"))
+    return out.select("doc_id", "lang", "source", "made.ids", F.size("made.ids").cast("long").alias("n_tokens"), "made.exact")
 
 
 STAGES = [
