@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from screenloom import session
 from screenloom.operators import outliers, vote_state, voting
+from screenloom.operators.cleaning import TooFewRows
+from screenloom.plans import training
 from screenloom.sources import parts, versions
 from screenloom.streaming.scoring import file_stream, read_batches, score_batches
 
@@ -187,6 +189,20 @@ def test_sweep_takes_only_old_folders_of_leases(spark):
     assert {"lease-alive", "other", own} <= set(os.listdir(shared))
 
 
+# --- the gate before training --------------------------------------------------------
+
+
+@pytest.mark.parametrize("rows", [99, 100])
+def test_training_needs_a_hundred_cleaned_rows(spark, rows):
+    raw = [("C" * (i + 1), i % 2, "s", i) for i in range(rows)] + [("C", 0, "t", 500), ("C(", 1, "s", 501), ("CC", None, "s", 502)]
+    table = spark.createDataFrame(raw, VOTES)
+    if rows < 100:
+        with pytest.raises(TooFewRows):
+            training.training_table(table)
+    else:
+        assert training.training_table(table).count() == 100
+
+
 # --- skip sampling -----------------------------------------------------------------
 
 
