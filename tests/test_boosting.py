@@ -130,3 +130,28 @@ def test_one_class_and_no_rows(spark, table):
     rows = models.cross_validate(models.with_weights(alone.drop("w_pos"))[0], {"a": models.boosted_trees({"n_estimators": 2})}, folds=1).collect()
     assert [r.error for r in rows] == ["ValueError: no rows to fit on"]
     assert K.BOOSTED["n_estimators"] == models.boosted_trees().getMaxIter()
+
+
+def test_sums_of_flags_and_small_children_are_exact():
+    """Flags, constants and wider columns: each sum is the plain one, and the larger child is the parent less the smaller."""
+    rng = np.random.default_rng(7)
+    sizes = np.array([2, 5, 2, 1, 2, 32, 2, 2])
+    bins = np.stack([rng.integers(0, n, 900) for n in sizes], 1).astype(np.uint8)
+    g, h = np.rint(rng.normal(size=900) * boosting.QUANTUM), rng.integers(1, 1 << 18, 900).astype(float)
+    for columns in (np.arange(8), np.array([1, 3, 5]), np.array([0, 2, 4, 6, 7])):
+        use = np.flatnonzero(rng.random(900) < 0.7)
+        cells = boosting.Cells.of(bins, use, columns, sizes)
+        node = rng.integers(2, 4, len(use))
+        above = boosting._level_sums(cells, np.ones(len(use), int), np.ones(1, int), 8, g[use], h[use], None)
+        _, below = boosting._level_sums(cells, node, np.array([2, 3]), 8, g[use], h[use], above)
+        for made, value in zip(below, (g, h), strict=True):
+            plain = [[value[use][(node == i) & (bins[use, c] == b)].sum() for c in columns for b in range(sizes[c])] for i in (2, 3)]
+            assert np.array_equal(made, plain)
+
+
+def test_growth_does_not_copy_all_flags_for_every_tree():
+    rng = np.random.default_rng(8)
+    bins = (rng.random((4000, 1024)) < 0.3).astype(np.uint8)
+    block = boosting.Block(bins, np.arange(4000), bins[:, 3].astype(float), np.ones(4000), np.zeros(4000, np.int32))
+    cells = boosting.Cells.of(bins, np.arange(0, 4000, 2), np.arange(1, 1024), np.full(1024, 2))
+    assert cells.flags is block.bins
