@@ -155,3 +155,17 @@ def test_growth_does_not_copy_all_flags_for_every_tree():
     block = boosting.Block(bins, np.arange(4000), bins[:, 3].astype(float), np.ones(4000), np.zeros(4000, np.int32))
     cells = boosting.Cells.of(bins, np.arange(0, 4000, 2), np.arange(1, 1024), np.full(1024, 2))
     assert cells.flags is block.bins
+
+
+def test_sums_that_meet_at_the_driver_give_the_same_trees(spark, table, monkeypatch):
+    """A table of many blocks is dealt to all cores, and its few sums come back in one step."""
+    whole = boosting.fit_all(Binned.of(table, "row_id", fold="fold"), SETTINGS[2:])
+    monkeypatch.setattr(boosting, "BLOCK_BYTES", 1500)
+    many = Binned.of(table, "row_id", fold="fold")
+    assert many.blocks.count() == boosting.LEAST_BLOCKS
+    assert len(many.blocks.inputFiles()) > 1
+    monkeypatch.setattr(boosting, "DIRECT_BYTES", 0)
+    assert same(whole, boosting.fit_all(many, SETTINGS[2:]))
+    monkeypatch.setattr(boosting, "DIRECT_BYTES", 1 << 20)
+    monkeypatch.setattr(boosting, "_split_row", None)
+    assert same(whole, boosting.fit_all(many, SETTINGS[2:]))
