@@ -6,6 +6,8 @@ again as the next stage's docs.  All but the last return the columns of document
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +20,13 @@ LEAST_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is recognised; without a letter or any confidence they go."""
+    """Keeps documents whose language is recognised, under that language; without a letter or any confidence they go."""
     taught = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     guess = language_id.predicted(docs, language_id.fit(taught))
     row = docs.select(F.struct("*").alias("row"), guess.alias("guess"))
     kept = (F.col("guess.lang_pred") != language_id.UNKNOWN) & (F.col("guess.score") >= LEAST_SCORE)
-    return row.filter(kept).select("row.*")
+    known = row.filter(kept).select(F.col("row").withField("lang", F.col("guess.lang_pred")).alias("row"))
+    return known.select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,12 +58,23 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pfair_mix.mixed(docs)
 
 
+def with_position(docs: DataFrame) -> DataFrame:
+    """Adds ``position``, from 0, to rows read from part files that hold them in order; only counts by file are moved."""
+    placed = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = sorted(placed.groupBy("_file").agg(F.count("*").alias("n")).collect(), key=lambda r: r["_file"])
+    before = dict(zip([r["_file"] for r in files], accumulate([0] + [r["n"] for r in files])))
+    found = docs.sparkSession.createDataFrame(list(before.items()), "_file string, _before long")
+    rows = placed.join(F.broadcast(found), "_file")
+    return rows.select(*docs.columns, (F.col("_before") + F.col("_row")).alias("position"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text."""
+    """Token ids of every document, whether they decode to its text, and its position in the mixture."""
+    docs = with_position(docs)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     made = bpe_tree.round_trip(docs, path, public_tokenizers.PATTERN)
-    out = docs.select("doc_id", "lang", "source", made.alias("made"))
-    return out.select("doc_id", "lang", "source", "made.ids", F.size("made.ids").cast("long").alias("n_tokens"), "made.exact")
+    out = docs.select("doc_id", "lang", "source", "position", made.alias("made"))
+    return out.select("doc_id", "lang", "source", "position", "made.ids", F.size("made.ids").cast("long").alias("n_tokens"), "made.exact")
 
 
 STAGES = [
