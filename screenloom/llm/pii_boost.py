@@ -9,6 +9,9 @@ kind (order number, version, date, price) is put elsewhere in the same text (a n
 whose value cannot be of their kind are negatives too, at their own frequency; the other candidates
 are not labelled and teach nothing, as do those that a base rule confirms.
 
+All examples of all texts teach: the trees grow on the binned table of ``operators.boosting``, bins are cut at exact quantiles,
+and the threshold comes from the running totals of every held-out score.
+
 Scores are calibrated on held-out examples, none of them a base span; per kind the lowest threshold
 whose precision reaches PRECISION selects, counting as many loose forms as base spans against all
 negatives.  A kind without base spans to learn from, or whose held-out scores never reach it, adds
@@ -29,21 +32,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenloom.llm.common import by_slices, row_slices, utf8
-from screenloom.llm.vectors import by_hash
+from screenloom.operators.boosting import Binned, BoostedModel, Setting, fit_all
+from screenloom.operators.running import running_totals
 from screenloom.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
-#: Examples per kind the trees learn from at most, half of each label, drawn by hash over all texts.
-SAMPLE = 8_000
 TREES = 30
 DEPTH = 3
 BINS = 16
 RATE = 0.3
 MIN_LEAF = 20
+#: Least hessian of a leaf of the trees that learn from all examples.
+LEAST_HESSIAN = 1.0
 PRECISION = 0.98
 #: Held-out examples a threshold must rest on.
 MIN_SUPPORT = 50
@@ -376,11 +381,57 @@ def calibrated_threshold(margin: np.ndarray, y: np.ndarray, weight: np.ndarray |
     return float(margin[order][good[-1]]) if len(good) else np.inf
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> dict[str, Trees]:
-    """Trees per kind.  ``sample`` bounds the examples per kind that reach the driver.
+def completed(model: BoostedModel) -> Trees:
+    """The same trees in complete form: a leaf above the last level goes left, down to its value."""
+    out = Trees()
+    for feature, threshold, value in zip(model.feature, model.threshold, model.value, strict=True):
+        kind, cut, value = np.zeros(2**DEPTH - 1, np.int64), np.full(2**DEPTH - 1, np.inf), value.copy()
+        split = np.zeros(2 << DEPTH, bool)
+        split[1] = True
+        for node in range(1, 2**DEPTH):
+            if split[node] and feature[node] >= 0:
+                kind[node - 1], cut[node - 1] = feature[node], threshold[node]
+                split[[2 * node, 2 * node + 1]] = True
+            else:
+                value[2 * node] = value[node]
+        out.feature.append(kind)
+        out.cut.append(cut)
+        out.leaf.append(value[2**DEPTH :])
+    return out
+
+
+def _edges(examples: DataFrame) -> dict[int, list[np.ndarray]]:
+    """Upper edges of the bins by kind and feature, at exact quantiles.  A feature has few values, as candidates are short."""
+    each = examples.select("kind", F.posexplode("x").alias("f", "v")).groupBy("kind", "f", "v").agg(F.count("*").alias("n")).toPandas()
+    out: dict[int, list[np.ndarray]] = {}
+    for (kind, _), own in each.sort_values(["kind", "f", "v"]).groupby(["kind", "f"]):
+        values, share = own["v"].to_numpy(), own["n"].cumsum().to_numpy() / own["n"].sum()
+        at = np.searchsorted(share, np.linspace(0, 1, BINS + 1)[1:-1])
+        edges = np.unique(values[np.minimum(at, len(values) - 1)])
+        out.setdefault(int(kind), []).append(edges[edges < values[-1]])
+    return out
+
 
-    Which ones is decided by a hash of the row's key, text size and offset, so every text counts.  Drawn
-    examples stand for all of their label in the threshold.
+def _margins(examples: DataFrame, model: dict[str, Trees]) -> DataFrame:
+    """(kind, y, margin) of all examples of the kinds in the model."""
+    held = examples.sparkSession.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = batch.column("kind").to_numpy()
+            for kind, trees in held.value.items():
+                own = batch.filter(pa.array(number == KINDS.index(kind)))
+                if len(own):
+                    x = own.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+                    yield pa.RecordBatch.from_arrays([own.column("kind"), own.column("y"), pa.array(trees.margin(x))], ["kind", "y", "margin"])
+
+    return examples.select("kind", "y", "x").mapInArrow(score, "kind int, y boolean, margin double")
+
+
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> dict[str, Trees]:
+    """Trees per kind, learned from every example of every text; both labels of a kind weigh the same.
+
+    A hash of the row's key, text size and offset holds a third of the examples out for the threshold.
     """
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,26 +448,29 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
 
     noted = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(key), F.length(text)).alias("h"))
     mined = stored(noted.mapInArrow(mine, "kind int, y boolean, h long, x array<double>"), "candidates")
-    total = {(r["kind"], r["y"]): r["count"] for r in mined.groupBy("kind", "y").count().collect()}
+    held = F.col("h") % 3 == 0
+    total = {(r["kind"], r["y"], r["held"]): r["count"] for r in mined.groupBy("kind", "y", held.alias("held")).count().collect()}
+    learning = mined.filter(~held)
+    edges = _edges(learning)
+    setting = Setting(TREES, DEPTH, RATE, 1.0, 1.0, LEAST_HESSIAN, 0.0)
     out = {}
     for k, kind in enumerate(KINDS):
-        if len([y for j, y in total if j == k]) < 2:
-            continue
-        drawn = [
-            by_hash(mined.filter((F.col("kind") == k) & (F.col("y") == y)), "h", 0.0, 2.0**62, sample // 2).select("h", "x").toPandas()
-            for y in (False, True)
-        ]
-        y = np.repeat([0.0, 1.0], [len(d) for d in drawn])
-        weight = np.repeat([total[k, bool(i)] / len(d) for i, d in enumerate(drawn)], [len(d) for d in drawn])
-        if len(y) < 4 * MIN_LEAF:
-            continue
-        x = np.array([*drawn[0]["x"].tolist(), *drawn[1]["x"].tolist()], float)
-        held = np.concatenate([d["h"].to_numpy() for d in drawn]) % 3 == 0
-        if held.all() or not held.any() or len(set(y[~held])) < 2:
+        count = {y: total.get((k, y, False), 0) for y in (False, True)}
+        tested = sum(total.get((k, y, True), 0) for y in (False, True))
+        if not all(count.values()) or not tested or tested + sum(count.values()) < 4 * MIN_LEAF:
             continue
-        trees = boost(x[~held], y[~held])
-        trees.threshold = calibrated_threshold(trees.margin(x[held]), y[held], weight[held])
-        out[kind] = trees
+        weight = F.when(F.col("y"), sum(count.values()) / 2 / count[True]).otherwise(sum(count.values()) / 2 / count[False])
+        rows = learning.filter(F.col("kind") == k)
+        rows = rows.select("h", F.col("y").cast("int").alias("label"), weight.alias("weight"), array_to_vector("x").alias("features"))
+        binned = Binned.of(rows, "h", weight="weight", edges=edges[k])
+        out[kind] = completed(BoostedModel.of(fit_all(binned, [setting])[0], binned.edges, DEPTH))
+    if out:
+        found = _margins(mined.filter(held), out).groupBy("kind", "margin")
+        found = found.agg(F.count_if("y").alias("good"), F.count("*").alias("n"))
+        cut = running_totals(found, "margin", ["good", "n"], by=["kind"], descending=True)
+        enough = (F.col("cum_good") >= PRECISION * F.col("cum_n")) & (F.col("cum_n") >= MIN_SUPPORT)
+        for r in cut.filter(enough).groupBy("kind").agg(F.min("margin").alias("least")).collect():
+            out[KINDS[r["kind"]]].threshold = r["least"]
     return out
 
 

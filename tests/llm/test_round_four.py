@@ -1,10 +1,11 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from screenloom.llm import pfair_mix
+from screenloom.llm import pfair_mix, pii_boost
 from screenloom.session import stored
 
 
@@ -33,3 +34,31 @@ def test_a_recognised_language_is_carried_on(spark, mixture):
     assert out.columns == mixture.columns
     assert out.filter("doc_id = 4").first()["lang"] == "de"
     assert out.filter(F.col("doc_id") % 3 == 0).filter("lang = 'en'").count() > 120
+
+
+def test_every_example_teaches_and_counts(spark, monkeypatch):
+    """More examples than the old bound of 4,000 a label: each reaches the trees, and the threshold is that of all held-out ones."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"host {rng.randint(1, 254)}.{rng.randint(1, 254)}.{rng.randint(1, 254)}.{rng.randint(1, 254)} was up" for _ in range(12))) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    grow = pii_boost.fit_all
+    monkeypatch.setattr(pii_boost, "fit_all", lambda binned, settings: (seen.append(binned.n), grow(binned, settings))[1])
+    kept = {}
+    margins = pii_boost._margins
+    monkeypatch.setattr(pii_boost, "_margins", lambda examples, model: kept.setdefault("it", margins(examples, model)))
+    model = pii_boost.fit(docs)
+    held = kept["it"].filter("kind = 1").toPandas()
+    assert seen[0] + len(held) > 20_000
+    assert model["ip"].threshold == pii_boost.calibrated_threshold(held["margin"].to_numpy(), held["y"].to_numpy(float))
+
+
+def test_completed_trees_give_the_same_margins():
+    rng = np.random.default_rng(2)
+    depth = pii_boost.DEPTH
+    feature = rng.integers(-1, 4, (5, 2 << depth))
+    feature[:, 1 << depth :] = -1
+    threshold, value = rng.normal(size=feature.shape), rng.normal(size=feature.shape)
+    x = rng.normal(size=(300, 4))
+    model = pii_boost.BoostedModel(feature, threshold, value, value, depth)
+    assert np.allclose(pii_boost.completed(model).margin(x), model.margins(x))
