@@ -309,3 +309,25 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
             yield out
 
     return both(F.col(text))
+
+
+def there_and_back(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Column:
+    """A struct of the token ids of a text column and ``body``, the bytes they decode to, by one Python worker."""
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+
+    @F.arrow_udf("ids array<int>, body binary")
+    def both(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, decoder = Encoder(ranks.value, pattern), Decoder(ranks.value)
+        for column in columns:
+            done, bodies = [pa.array([], pa.list_(pa.int32()))], [pa.array([], pa.binary())]
+            for a, b in _slices(column.cast(pa.large_binary())):
+                ids, counts = encoder.batch(column.slice(a, b - a).to_pylist())
+                ends = np.cumsum([0, *counts])
+                bodies.append(pa.array([decoder.decode(ids[x:y]) for x, y in pairwise(ends)], pa.binary()))
+                done.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)))
+            out = pa.StructArray.from_arrays([pa.concat_arrays(done), pa.concat_arrays(bodies)], ["ids", "body"])
+            del done, bodies
+            give_back()
+            yield out
+
+    return both(F.col(text))

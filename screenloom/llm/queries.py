@@ -45,14 +45,12 @@ def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
 def op6_bpe_tree(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = docs.select(
-        "doc_id", bpe_tree.encoded(docs, path, public_tokenizers.PATTERN).alias("ids")
-    )
-    return ids.select(
+    made = docs.select("doc_id", bpe_tree.there_and_back(docs, path, public_tokenizers.PATTERN).alias("made"))
+    return made.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(bpe_tree.decoded(ids, path), 256).alias("decoded_sha256"),
+        F.size("made.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("made.ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("made.body", 256).alias("decoded_sha256"),
     )
 
 

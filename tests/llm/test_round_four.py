@@ -2,10 +2,11 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from screenloom.llm import pfair_mix, pii_boost
+from screenloom.llm import bpe_tree, pfair_mix, pii_boost
 from screenloom.session import stored
 
 
@@ -62,3 +63,15 @@ def test_completed_trees_give_the_same_margins():
     x = rng.normal(size=(300, 4))
     model = pii_boost.BoostedModel(feature, threshold, value, value, depth)
     assert np.allclose(pii_boost.completed(model).margin(x), model.margins(x))
+
+
+def test_one_worker_encodes_and_decodes(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = [None, "", "a", "Hello  w\u00f6rld\n\n\U0001f600 123", "ab " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    apart = docs.select("doc_id", bpe_tree.encoded(docs, path, public_tokenizers.PATTERN).alias("ids"))
+    apart = apart.select("doc_id", "ids", bpe_tree.decoded(apart, path).alias("body")).orderBy("doc_id").collect()
+    made = docs.select("doc_id", bpe_tree.there_and_back(docs, path, public_tokenizers.PATTERN).alias("m"))
+    assert made.select("doc_id", "m.*").orderBy("doc_id").collect() == apart
+    plan = made.select(F.sha2(F.array_join(F.col("m.ids").cast("array<string>"), " ").cast("binary"), 256), F.sha2("m.body", 256))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
