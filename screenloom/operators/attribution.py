@@ -196,12 +196,17 @@ def _bits(codes: np.ndarray, d: int) -> np.ndarray:
 ATTRIBUTION_SCHEMA = "row_id BIGINT, feature_index INT, value DOUBLE, shap DOUBLE"
 
 
+#: Rows that a task explains: as many as a batch, since tables of patterns are made for each batch.
+TASK_ROWS = 10_000
+
+
 def attributions(
     df: DataFrame, leaves: list[Leaf], features: str = "features", id_col: str = K.ROW_ID
 ) -> DataFrame:
     """Long table of the non-zero attributions of every row.
 
-    Only the features that the ensemble uses leave the JVM.
+    Only the features that the ensemble uses leave the JVM.  Rows are dealt anew, so that a task's work does not grow
+    with the files they come from.
     """
     used = sorted({f for leaf in leaves for f in leaf.features}) or [0]
     shared = df.sparkSession.sparkContext.broadcast((np.array(used), grouped(leaves, used)))
@@ -225,7 +230,8 @@ def attributions(
 
     sliced = VectorSlicer(inputCol=features, outputCol="_used", indices=used).transform(df)
     rows = sliced.select(F.col(id_col).cast("bigint").alias("row_id"), vector_to_array("_used").alias("x"))
-    return rows.mapInPandas(explain, ATTRIBUTION_SCHEMA)
+    tasks = max(1, -(-df.count() // TASK_ROWS))
+    return rows.repartition(tasks, "row_id").mapInPandas(explain, ATTRIBUTION_SCHEMA)
 
 
 def name_features(attr: DataFrame, names: list[str]) -> DataFrame:
