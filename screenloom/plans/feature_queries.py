@@ -44,9 +44,8 @@ bits AS (
     f"WITH {_SQL_SHINGLES} SELECT doc_id, string_agg(bit, ',' ORDER BY bit) AS bits, count(*) AS n_bits FROM bits GROUP BY doc_id",
 )
 def shingle_fp(spark: SparkSession, sf: str) -> DataFrame:
-    rows = read_table(spark, sf, "documents").select(
-        "doc_id", features.shingle_bits(F.col("text")).alias("b")
-    )
+    docs = features.dealt(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    rows = docs.select("doc_id", features.shingle_bits(F.col("text")).alias("b"))
     return rows.select("doc_id", _bits_text("b").alias("bits"), F.size("b").cast("bigint").alias("n_bits"))
 
 
@@ -57,8 +56,8 @@ def shingle_fp(spark: SparkSession, sf: str) -> DataFrame:
 )
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
     """Sparse combined vectors (2,048 bits + 2 descriptors), stored and read back."""
-    texts = read_table(spark, sf, "documents")
-    docs = texts.select(
+    texts = read_table(spark, sf, "documents").select("doc_id", "text", "n_chars")
+    docs = features.dealt(texts, "doc_id").select(
         "doc_id",
         F.col("n_chars").cast("double").alias("n_chars"),
         (F.size(F.split(text_key(F.col("text")), " ")) + 0.0).alias("n_words"),
