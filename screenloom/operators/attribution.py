@@ -23,8 +23,8 @@ from screenloom import constants as K
 from screenloom.operators.boosting import BoostedModel
 from screenloom.session import scratch_path
 
-# Numbers that a table of patterns may hold at a time.
-CELLS = 1 << 22
+# Numbers that a table of patterns may hold at a time; some five arrays of this size are at work.
+CELLS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -196,8 +196,8 @@ def _bits(codes: np.ndarray, d: int) -> np.ndarray:
 ATTRIBUTION_SCHEMA = "row_id BIGINT, feature_index INT, value DOUBLE, shap DOUBLE"
 
 
-#: Rows that a task explains: as many as a batch, since tables of patterns are made for each batch.
-TASK_ROWS = 10_000
+#: Rows that a task explains: no more than a batch, since tables of patterns are made for each batch.
+TASK_ROWS = 2_500
 
 
 def attributions(

@@ -1,8 +1,12 @@
+import tracemalloc
+
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from screenloom.operators import attribution
 from screenloom.operators.attribution import Leaf
+from screenloom.plans import model_queries
 
 
 def test_rows_of_one_file_are_explained_in_many_tasks(spark, monkeypatch):
@@ -14,3 +18,24 @@ def test_rows_of_one_file_are_explained_in_many_tasks(spark, monkeypatch):
     dealt = attribution.attributions(rows, leaves)
     assert dealt.rdd.getNumPartitions() == 5
     assert sorted(dealt.collect()) == sorted(whole.collect())
+
+
+def test_tables_of_patterns_take_little_memory():
+    rng = np.random.default_rng(5)
+    used = np.argsort(rng.random((600, 12)), 1)[:, :10]
+    low = rng.normal(-1, 0.5, used.shape)
+    group = attribution.LeafGroup(rng.random(600), used, low, low + 1.5, rng.random(used.shape) * 0.8 + 0.1)
+    x = rng.normal(size=(1500, 12))
+    tracemalloc.start()
+    phi = attribution.batch_attributions(x, [group])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(phi).all() and peak < 64e6
+
+
+def test_rows_of_one_row_group_are_fitted_by_many_tasks(spark, tmp_path, monkeypatch):
+    numbers = spark.range(400).select(F.col("id").alias("vec_id"), (F.col("id") % 10).cast("int").alias("label"), F.array(F.col("id").cast("float")).alias("embedding"))
+    numbers.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(model_queries, "FIT_ROWS", 100)
+    rows, _ = model_queries._split_rows(spark, str(tmp_path))
+    assert rows.count() == 400 and rows.select(F.input_file_name()).distinct().count() == 4
