@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenloom.llm.common import gather_ranges, give_back, row_slices, utf8
+from screenloom.llm.common import gather_ranges, give_back, no_cycle_search, row_slices, utf8
 
 #: Bytes up to which a leaf is merged directly, and up to which the merge is a plain loop.
 LEAF_BYTES = 4
@@ -181,6 +181,7 @@ class Encoder:
         use = coded.indices.to_numpy()
         return ids[gather_ranges((np.cumsum(size) - size)[use], size[use])], size[use]
 
+    @no_cycle_search()
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, one after the other, and how many each text has."""
         ids, counts = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)

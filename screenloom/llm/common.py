@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,18 @@ def give_back() -> None:
         _LIBC.malloc_trim(0)
 
 
+@contextmanager
+def no_cycle_search() -> Iterator[None]:
+    """No search for cycles inside: code that makes none pays for walks over all its memos otherwise."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = 1 << 16) -> Iterator[pa.Table]:
     """Tables of about ``rows`` rows from a stream sorted by ``keys``, never cutting a group.
 
