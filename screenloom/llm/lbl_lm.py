@@ -53,8 +53,8 @@ BATCH = 2048
 NOISE = 64
 WITHIN = 2
 RATE = 0.1
-#: Numbers of a block of scores, and tokens scored at a time.
-CELLS = 1 << 21
+#: Numbers of a block of scores, few enough for a core's cache, and tokens scored at a time.
+CELLS = 1 << 17
 TOKENS = 1 << 17
 
 
@@ -114,7 +114,7 @@ class Model:
         hidden = self.hidden(code % len(self.context), code // len(self.context))
         own = owner[token]
         out = np.einsum("ij,ij->i", hidden[at], self.group[own], dtype=np.float64) - _log_sum(hidden, self.group)[at]
-        order = np.argsort(own, kind="stable")
+        order = _order(own, len(self.group))
         ends = np.searchsorted(own[order], np.arange(len(self.group) + 1))
         for c in np.flatnonzero((np.diff(self.bounds) > 1) & (np.diff(ends) > 0)):
             here = order[ends[c] : ends[c + 1]]
@@ -130,7 +130,9 @@ def _log_sum(hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
     for a in range(0, len(hidden), step):
         score = hidden[a : a + step] @ target.T
         most = score.max(1, keepdims=True)
-        out[a : a + step] = np.log(np.exp(score - most).sum(1, dtype=np.float64)) + most[:, 0]
+        score -= most
+        np.exp(score, out=score)
+        out[a : a + step] = np.log(score.sum(1, dtype=np.float64)) + most[:, 0]
     return out
 
 
@@ -282,9 +284,13 @@ class Learner:
 
     @staticmethod
     def _move(weights: np.ndarray, past: np.ndarray, rows, slope: np.ndarray, rate: float = RATE) -> None:
-        size = past[rows] + slope * slope
+        size = slope * slope
+        size += past[rows]
         past[rows] = size
-        weights[rows] -= rate * slope / np.sqrt(size)
+        np.sqrt(size, out=size)
+        step = rate * slope
+        step /= size
+        weights[rows] -= step
 
     def changes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of weights that were used, how often, and their changes (see ``_flat``)."""
@@ -294,14 +300,24 @@ class Learner:
 
 
 def _slope(score: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+    out = np.clip(score, -30, 30)
+    np.negative(out, out=out)
+    np.exp(out, out=out)
+    out += 1
+    return np.divide(1, out, out=out)
+
+
+def _order(at: np.ndarray, below: int) -> np.ndarray:
+    """A stable order of numbers from 0 to ``below``; short numbers are sorted by their digits."""
+    return np.argsort(at.astype(np.uint16) if below <= 1 << 16 else at, kind="stable")
 
 
 def _summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and the sums of their values."""
-    order = np.argsort(at, kind="stable")
-    starts = np.flatnonzero(np.diff(at[order], prepend=-1))
-    return at[order][starts], np.add.reduceat(values.take(order, axis=0), starts, axis=0)
+    order = _order(at, int(at.max()) + 1 if len(at) else 0)
+    at = at[order]
+    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    return at[starts], np.add.reduceat(values.take(order, axis=0), starts, axis=0)
 
 
 def _flat(m: Model) -> np.ndarray:
