@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenloom.llm.common import row_slices, utf8
+from screenloom.llm.common import row_slices, run_starts, utf8
 from screenloom.session import stored
 
 END, TAIL = 0, 1
@@ -56,6 +56,8 @@ RATE = 0.1
 #: Numbers of a block of scores, few enough for a core's cache, and tokens scored at a time.
 CELLS = 1 << 17
 TOKENS = 1 << 17
+#: Exponentials of products up to this, and sums of them, neither overflow nor vanish.
+SAFE = 60.0
 
 
 @dataclass(frozen=True)
@@ -96,8 +98,13 @@ class Model:
 
     def hidden(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Vectors of contexts (first: directly before), with a last component of one for the bias."""
-        out = np.ones((len(first), WIDTH + 1), np.float32)
-        out[:, :WIDTH] = self.context[first] @ self.position[0] + self.context[second] @ self.position[1]
+        return self.joined(self.context.take(first, axis=0), self.context.take(second, axis=0))
+
+    def joined(self, before: np.ndarray, further: np.ndarray) -> np.ndarray:
+        """The same from the vectors of both words."""
+        out = np.ones((len(before), WIDTH + 1), np.float32)
+        np.matmul(before, self.position[0], out=out[:, :WIDTH])
+        out[:, :WIDTH] += further @ self.position[1]
         return out
 
     def log_probs(self, first: np.ndarray, second: np.ndarray, token: np.ndarray, owner: np.ndarray | None = None) -> np.ndarray:
@@ -112,27 +119,35 @@ class Model:
     def _block(self, first: np.ndarray, second: np.ndarray, token: np.ndarray, owner: np.ndarray) -> np.ndarray:
         code, at = np.unique(second.astype(np.int64) * len(self.context) + first, return_inverse=True)
         hidden = self.hidden(code % len(self.context), code // len(self.context))
-        own = owner[token]
-        out = np.einsum("ij,ij->i", hidden[at], self.group[own], dtype=np.float64) - _log_sum(hidden, self.group)[at]
+        own, near = owner.take(token), hidden.take(at, axis=0)
+        out = np.einsum("ij,ij->i", near, self.group.take(own, axis=0)).astype(np.float64) - _log_sum(hidden, self.group).take(at)
+        inside = np.einsum("ij,ij->i", near, self.target.take(token, axis=0))
         order = _order(own, len(self.group))
-        ends = np.searchsorted(own[order], np.arange(len(self.group) + 1))
+        ends = np.searchsorted(own.take(order), np.arange(len(self.group) + 1))
         for c in np.flatnonzero((np.diff(self.bounds) > 1) & (np.diff(ends) > 0)):
             here = order[ends[c] : ends[c + 1]]
-            seen, back = np.unique(at[here], return_inverse=True)
-            total = _log_sum(hidden[seen], self.target[self.bounds[c] : self.bounds[c + 1]])[back]
-            out[here] += np.einsum("ij,ij->i", hidden[at[here]], self.target[token[here]], dtype=np.float64) - total
+            seen, back = np.unique(at.take(here), return_inverse=True)
+            total = _log_sum(hidden.take(seen, axis=0), self.target[self.bounds[c] : self.bounds[c + 1]])
+            out[here] += inside.take(here) - total.take(back)
         return out
 
 
 def _log_sum(hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log of the summed exponentials of all products, a block at a time."""
+    """Log of the summed exponentials of all products, a block at a time.
+
+    Products that all lie within SAFE of zero need not be brought below it first.
+    """
     out, step = np.empty(len(hidden)), max(1, CELLS // len(target))
+    ones = np.ones(len(target), np.float32)
     for a in range(0, len(hidden), step):
         score = hidden[a : a + step] @ target.T
-        most = score.max(1, keepdims=True)
-        score -= most
+        most = None
+        if not (score.max() <= SAFE and score.min() >= -SAFE):
+            most = score.max(1, keepdims=True)
+            score -= most
         np.exp(score, out=score)
-        out[a : a + step] = np.log(score.sum(1, dtype=np.float64)) + most[:, 0]
+        total = np.log((score @ ones).astype(np.float64))
+        out[a : a + step] = total if most is None else total + most[:, 0]
     return out
 
 
@@ -225,6 +240,25 @@ def unigram_model(known: Counts) -> Model:
     return Model(context, position, target, group, bounds)
 
 
+def _lots(count: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lots by which places of a class are drawn by their counts without a search.
+
+    A place drawn evenly from its class stays with the probability in the first array; else the second names
+    the place to take.  The place that lacks most is filled up by one that has too much.
+    """
+    keeps, instead = np.ones(len(count)), np.arange(len(count))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        left = (count[a:b] * ((b - a) / count[a:b].sum())).tolist()
+        short, ample = [i for i, x in enumerate(left) if x < 1], [i for i, x in enumerate(left) if x >= 1]
+        while short and ample:
+            i, j = short.pop(), ample[-1]
+            keeps[a + i], instead[a + i] = left[i], a + j
+            left[j] -= 1 - left[i]
+            if left[j] < 1:
+                short.append(ample.pop())
+    return keeps, instead
+
+
 class Learner:
     """A copy of the model that learns from tokens: noise-contrastive steps, step sizes by past slopes."""
 
@@ -234,8 +268,9 @@ class Learner:
         self.rng = np.random.default_rng(31)
         count = known.by_place + 1.0
         share = np.add.reduceat(count, model.bounds[:-1])
-        self.share_cut, self.word_cut = np.cumsum(share / share.sum()), np.cumsum(count)
-        self.low, self.high = self.word_cut[model.bounds[:-1]] - count[model.bounds[:-1]], self.word_cut[model.bounds[1:] - 1]
+        self.share_cut = np.cumsum(share / share.sum())
+        self.first_of, self.size_of = model.bounds[:-1], np.diff(model.bounds)
+        self.keeps, self.instead = _lots(count, model.bounds)
         self.log_noise = np.log(NOISE * share / share.sum()).astype(np.float32)
         self.log_within = np.log(WITHIN * count / share[self.owner]).astype(np.float32)
         self.past = [np.ones_like(w) for w in (self.model.context, self.model.position, self.model.target, self.model.group)]
@@ -246,30 +281,34 @@ class Learner:
         order = self.rng.permutation(len(token))
         for a in range(0, len(order), BATCH):
             at = order[a : a + BATCH]
-            self.step(first[at], second[at], token[at])
+            self.step(first.take(at), second.take(at), token.take(at))
 
     def step(self, first: np.ndarray, second: np.ndarray, token: np.ndarray) -> None:
         m, rng = self.model, self.rng
-        before, further = m.context[first], m.context[second]
-        hidden = m.hidden(first, second)
-        own = self.owner[token]
+        before, further = m.context.take(first, axis=0), m.context.take(second, axis=0)
+        hidden = m.joined(before, further)
+        own = self.owner.take(token)
         # The class against classes drawn for the whole batch.
         noise = np.minimum(np.searchsorted(self.share_cut, rng.random(NOISE)), len(m.group) - 1)
-        rise = _slope(np.einsum("ij,ij->i", hidden, m.group[own]) - self.log_noise[own]) - 1
-        fall = _slope(hidden @ m.group[noise].T - self.log_noise[noise])
-        back = rise[:, None] * m.group[own] + fall @ m.group[noise]
+        true, false = m.group.take(own, axis=0), m.group.take(noise, axis=0)
+        rise = _slope(np.einsum("ij,ij->i", hidden, true) - self.log_noise.take(own)) - 1
+        fall = _slope(hidden @ false.T - self.log_noise.take(noise))
+        true *= rise[:, None]
+        back = fall @ false
+        back += true
         groups = _summed(np.concatenate([own, noise]), np.concatenate([rise[:, None] * hidden, fall.T @ hidden]))
         # The word against words of its class.
-        many = np.flatnonzero(np.diff(m.bounds)[own] > 1)
+        size = self.size_of.take(own)
+        many = np.flatnonzero(size > 1)
         if len(many):
-            group, inside = own[many][:, None], hidden[many]
-            mark = self.low[group] + rng.random((len(many), WITHIN)) * (self.high - self.low)[group]
-            drawn = np.clip(np.searchsorted(self.word_cut, mark, side="right"), m.bounds[group], m.bounds[group + 1] - 1)
-            word = np.concatenate([token[many][:, None], drawn], axis=1)
+            inside = hidden.take(many, axis=0)
+            word = np.empty((len(many), 1 + WITHIN), np.int64)
+            word[:, 0] = token.take(many)
+            word[:, 1:] = self._drawn(self.first_of.take(own.take(many)), size.take(many))
             target = m.target.take(word, axis=0)
-            slope = _slope(np.einsum("bd,bkd->bk", inside, target) - self.log_within[word])
+            slope = _slope(np.einsum("bd,bkd->bk", inside, target) - self.log_within.take(word))
             slope[:, 0] -= 1
-            back[many] += np.einsum("bk,bkd->bd", slope, target)
+            back[many] = np.einsum("bk,bkd->bd", slope, target) + back.take(many, axis=0)
             words = _summed(word.ravel(), (slope[:, :, None] * inside[:, None, :]).reshape(-1, WIDTH + 1))
             self._move(m.target, self.past[2], *words)
             np.add.at(self.used, word.ravel(), 1)
@@ -278,19 +317,29 @@ class Learner:
         turns = np.stack([before.T @ back, further.T @ back])
         self._move(m.context, self.past[0], *_summed(np.concatenate([first, second]), slopes))
         self._move(m.group, self.past[3], *groups)
-        self._move(m.position, self.past[1], slice(None), turns, RATE / 10)
+        self._move(m.position, self.past[1], np.arange(2), turns, RATE / 10)
         np.add.at(self.used, np.concatenate([first, second]), 1)
         self.steps += 1
 
+    def _drawn(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """WITHIN places of each class, which begins at ``start``, by their counts."""
+        mark = self.rng.random((len(start), WITHIN))
+        mark *= size[:, None]
+        place = mark.astype(np.int64)
+        mark -= place
+        place += start[:, None]
+        return np.where(mark < self.keeps.take(place), place, self.instead.take(place))
+
     @staticmethod
     def _move(weights: np.ndarray, past: np.ndarray, rows, slope: np.ndarray, rate: float = RATE) -> None:
         size = slope * slope
-        size += past[rows]
+        size += past.take(rows, axis=0)
         past[rows] = size
         np.sqrt(size, out=size)
-        step = rate * slope
-        step /= size
-        weights[rows] -= step
+        np.divide(slope, size, out=size)
+        size *= np.float32(rate)
+        np.subtract(weights.take(rows, axis=0), size, out=size)
+        weights[rows] = size
 
     def changes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of weights that were used, how often, and their changes (see ``_flat``)."""
@@ -315,9 +364,9 @@ def _order(at: np.ndarray, below: int) -> np.ndarray:
 def _summed(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and the sums of their values."""
     order = _order(at, int(at.max()) + 1 if len(at) else 0)
-    at = at[order]
-    starts = np.flatnonzero(np.diff(at, prepend=-1))
-    return at[starts], np.add.reduceat(values.take(order, axis=0), starts, axis=0)
+    at = at.take(order)
+    starts = run_starts(at)
+    return at.take(starts), np.add.reduceat(values.take(order, axis=0), starts, axis=0)
 
 
 def _flat(m: Model) -> np.ndarray:

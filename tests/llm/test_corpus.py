@@ -291,6 +291,32 @@ def test_words_and_tail_are_normalised(monkeypatch):
     assert (rows + far + 1) / known.slots * 10**tail == pytest.approx(1)
 
 
+def test_noise_words_are_drawn_by_their_counts_without_a_search():
+    known = known_words()
+    count, bounds = known.by_place + 1.0, lbl_lm.unigram_model(known).bounds
+    keeps, instead = lbl_lm._lots(count, bounds)
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    assert (owner[instead] == owner).all() and (keeps >= 0).all() and (keeps <= 1).all()
+    # What a place keeps and what others leave to it make its share of its class.
+    share = (keeps + np.bincount(instead, 1 - keeps, len(count))) / np.diff(bounds)[owner]
+    assert np.allclose(share, count / np.add.reduceat(count, bounds[:-1])[owner])
+    learner = lbl_lm.Learner(lbl_lm.unigram_model(known), known)
+    c = int(np.diff(bounds).argmax())
+    drawn = learner._drawn(np.full(50_000, bounds[c]), np.full(50_000, bounds[c + 1] - bounds[c])).ravel()
+    seen = np.bincount(drawn, minlength=len(count))[bounds[c] : bounds[c + 1]] / len(drawn)
+    assert seen.sum() == 1 and np.abs(seen - share[bounds[c] : bounds[c + 1]]).max() < 0.01
+
+
+@pytest.mark.parametrize("size", [1, 15, 400])
+def test_sums_of_exponentials_are_exact_for_small_and_large_products(size):
+    rng = np.random.default_rng(1)
+    hidden, target = (rng.normal(0, 1, (n, lbl_lm.WIDTH + 1)).astype(np.float32) for n in (500, 90))
+    target *= np.float32(size)
+    score = (hidden @ target.T).astype(np.float64)
+    most = score.max(1)
+    assert np.allclose(lbl_lm._log_sum(hidden, target), np.log(np.exp(score - most[:, None]).sum(1)) + most, rtol=1e-5, atol=1e-5)
+
+
 def test_model_starts_as_unigram_and_weights_survive_flattening():
     known = known_words()
     model = lbl_lm.unigram_model(known)
