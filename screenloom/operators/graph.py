@@ -11,12 +11,16 @@ needs no list of neighbours, whatever the degree.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenloom import constants as K
+from screenloom.functions.groups import roots, whole_groups
 from screenloom.functions.keys import halves, hash60
 from screenloom.session import stored
 
@@ -27,6 +31,8 @@ HUB_DEGREE = 10_000
 HUB_SALTS = 64
 # Hubs there can be at most: among many bonds, only atoms with a larger degree count as hubs.
 MOST_HUBS = 100_000
+# Atoms and bonds of an entity whose pieces are counted in one task; larger ones take rounds over all tasks.
+WHOLE = 20_000
 
 
 def bond_ends(bonds: DataFrame) -> DataFrame:
@@ -254,6 +260,57 @@ def map_bits(
 def count_components(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """(entity_id, n_components): connected pieces of every entity.
 
+    Entities of at most WHOLE atoms and bonds meet whole in a task, many to a pass of numpy, and are done after
+    one shuffle.  Larger ones, if there are any, are spread over all tasks (see ``_contracted``).  Both tables
+    are read twice at least, so they should be stored ones.
+    """
+    points = atoms.select(ENTITY, F.col(ATOM).alias("a"), F.col(ATOM).alias("b"), F.lit(True).alias("own"))
+    links = bonds.filter(F.col("a") != F.col("b")).filter(F.col(ENTITY).isNotNull())
+    rows = points.unionByName(links.select(ENTITY, "a", "b", F.lit(False).alias("own")))
+    large = stored(rows.groupBy(ENTITY).agg(F.count("*").alias("_n")).filter(F.col("_n") > WHOLE).select(ENTITY), "large")
+    if large.isEmpty():
+        return _taken_apart(rows)
+    large = large.withColumnRenamed(ENTITY, "_large")
+    part = lambda t, how: t.join(large, t[ENTITY].eqNullSafe(large["_large"]), how)
+    spread = _contracted(part(atoms, "left_semi"), part(bonds, "left_semi"))
+    return _taken_apart(part(rows, "left_anti")).unionByName(spread)
+
+
+def _taken_apart(rows: DataFrame) -> DataFrame:
+    """(entity_id, n_components) from rows (entity_id, a, b, own): atoms as a = b with ``own``, and links."""
+    kind = rows.schema[ENTITY].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["_group"]):
+            yield _pieces(table)
+
+    dealt = rows.withColumn("_group", F.xxhash64(ENTITY)).repartition("_group").sortWithinPartitions("_group")
+    return dealt.mapInArrow(count, f"{ENTITY} {kind}, n_components long")
+
+
+def _pieces(table: pa.Table) -> pa.RecordBatch:
+    """Pieces of each entity: its atoms less those nodes that are not the first of their piece."""
+    entity = table[ENTITY].combine_chunks().dictionary_encode(null_encoding="encode")
+    ends = pa.concat_arrays([*table["a"].chunks, *table["b"].chunks]).dictionary_encode(null_encoding="encode")
+    many, rows = len(ends.dictionary), table.num_rows
+    code = np.tile(entity.indices.to_numpy().astype(np.int64) * many, 2) + ends.indices.to_numpy()
+    node, at = np.unique(code, return_inverse=True)
+    a, b, own = at[:rows], at[rows:], table["own"].to_numpy()
+    label, owner = roots(a[~own], b[~own], len(node)), node // many
+    there = np.zeros(len(node), bool)
+    there[a[own]] = True
+    n = len(entity.dictionary)
+    atoms = np.bincount(owner[there], minlength=n)
+    pieces = atoms - np.bincount(owner[label != np.arange(len(node))], minlength=n)
+    with_atoms = pa.array(atoms > 0)
+    return pa.RecordBatch.from_arrays(
+        [entity.dictionary.filter(with_atoms), pa.array(pieces).filter(with_atoms)], [ENTITY, "n_components"]
+    )
+
+
+def _contracted(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """(entity_id, n_components) for entities of any size.
+
     Star contraction: a round links every larger neighbour of an atom to the atom's smallest one, and then
     every smaller neighbour, and the atom, to the smallest of them.  Links get fewer and flatter until
     they are stars around the smallest atom of each piece; rounds grow with the logarithm of the atoms.  An atom

@@ -103,9 +103,8 @@ def lexical_descriptors(spark: SparkSession, sf: str) -> DataFrame:
 # --- graphs ---------------------------------------------------------------------
 
 def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Atoms and bonds as stored tables: every round reads them several times."""
-    atoms, bonds = I.part_graph(spark, sf)
-    return stored(atoms, "atoms"), stored(bonds, "bonds")
+    """Atoms and bonds, unfolded from one stored table: every round reads them several times."""
+    return I.part_graph(spark, sf)
 
 
 def _h60(*parts: str) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenloom.functions.keys import TEXT, key_digest, notation_key
+from screenloom.session import stored
 from screenloom.sources.tables import read_table
 
 # --- labelled documents -------------------------------------------------------
@@ -251,20 +252,55 @@ ends AS (
 """
 
 
+#: Line numbers in a row of slots.
+SLOTS = 7
+RING = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (1, 6), (6, 7)]
+
+
+def part_slots(spark: SparkSession, sf: str) -> DataFrame:
+    """(entity_id, block, c1 .. c7, q1 .. q7): lines and quantity at seven line numbers of a part, from 7 * block + 1 on."""
+    place = F.col("l_linenumber").cast("bigint") - 1
+    slot = F.coalesce(F.pmod(place, F.lit(SLOTS)), F.lit(0)) + 1
+    lines = read_table(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("entity_id"),
+        ((place + 1 - slot) / SLOTS).cast("bigint").alias("block"),
+        slot.alias("slot"),
+        F.col("l_quantity").cast("bigint").alias("q"),
+    )
+    at = [F.col("slot") == i for i in range(1, SLOTS + 1)]
+    return lines.groupBy("entity_id", "block").agg(
+        *[F.count_if(here).alias(f"c{i}") for i, here in enumerate(at, 1)],
+        *[F.sum(F.when(here, F.col("q"))).alias(f"q{i}") for i, here in enumerate(at, 1)],
+    )
+
+
+def _element(slot: Column, q: Column) -> Column:
+    return F.when(slot == 7, "N").when((q % 9).isin(0, 2), "O").when(q % 9 == 1, "N").otherwise("C")
+
+
+def _aromatic(slot: Column, q: Column) -> Column:
+    return (_element(slot, q) == "C") & (q % 4 != 0)
+
+
 def part_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(atoms, bonds) of every part: its line numbers, a six-ring with a tail."""
+    """(atoms, bonds) of every part: its line numbers, a six-ring with a tail.
+
+    The lines are read and dealt once; atoms and bonds are both unfolded from the stored rows of slots.
+    """
+    slots = stored(part_slots(spark, sf), "slots")
     q, element, slot = F.col("q"), F.col("element"), F.col("atom_id")
-    atoms = (
-        read_table(spark, sf, "lineitem")
-        .groupBy(F.col("l_partkey").alias("entity_id"), F.col("l_linenumber").alias("atom_id"))
-        .agg(F.count("*").alias("cnt"), F.sum(F.col("l_quantity").cast("bigint")).alias("q"))
-        .withColumn(
-            "element",
-            F.when(slot == 7, "N")
-            .when((q % 9).isin(0, 2), "O")
-            .when(q % 9 == 1, "N")
-            .otherwise("C"),
+    each = [
+        F.struct(
+            (F.col("block") * SLOTS + i).cast("int").alias("atom_id"),
+            F.col(f"c{i}").alias("cnt"),
+            F.col(f"q{i}").alias("q"),
         )
+        for i in range(1, SLOTS + 1)
+    ]
+    atoms = (
+        slots.select("entity_id", F.inline(F.array(*each)))
+        .filter("cnt > 0")
+        .withColumn("element", _element(slot, q))
         .select(
             "entity_id",
             "atom_id",
@@ -272,28 +308,31 @@ def part_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
             F.when((element == "N") & (F.col("cnt") % 2 == 0), 1).otherwise(0).alias("charge"),
             (q % 3).cast("int").alias("n_h"),
             ((element == "C") & (q % 4 != 0)).alias("aromatic"),
-            "q",
         )
     )
-    # An atom names its partners itself: the next slot, and slot 1 closes the ring at 6.
-    partners = F.when(slot == 1, F.array(F.lit(2), F.lit(6))).when(slot <= 6, F.array(slot + 1))
-    left = atoms.select(
-        "entity_id",
-        slot.alias("a"),
-        F.explode(partners).alias("b"),
-        F.col("aromatic").alias("_ar_a"),
-        q.alias("_q_a"),
-    )
-    right = atoms.select(
-        "entity_id", slot.alias("b"), F.col("aromatic").alias("_ar_b"), q.alias("_q_b")
-    )
-    both = F.col("_ar_a") & F.col("_ar_b")
-    bonds = left.join(right, ["entity_id", "b"]).select(
-        "entity_id",
-        "a",
-        "b",
-        F.when(both, 1).otherwise(1 + (F.col("_q_a") + F.col("_q_b")) % 2).cast("int").alias("order"),
-        both.alias("aromatic"),
-        (F.col("b") != 7).alias("in_ring"),
+    pairs = [
+        F.struct(
+            F.lit(a).alias("a"),
+            F.lit(b).alias("b"),
+            ((F.col(f"c{a}") > 0) & (F.col(f"c{b}") > 0)).alias("_there"),
+            F.col(f"q{a}").alias("_q_a"),
+            F.col(f"q{b}").alias("_q_b"),
+        )
+        for a, b in RING
+    ]
+    q_a, q_b = F.col("_q_a"), F.col("_q_b")
+    both = _aromatic(F.col("a"), q_a) & _aromatic(F.col("b"), q_b)
+    bonds = (
+        slots.filter("block = 0 AND entity_id IS NOT NULL")
+        .select("entity_id", F.inline(F.array(*pairs)))
+        .filter("_there")
+        .select(
+            "entity_id",
+            "a",
+            "b",
+            F.when(both, 1).otherwise(1 + (q_a + q_b) % 2).cast("int").alias("order"),
+            both.alias("aromatic"),
+            (F.col("b") != 7).alias("in_ring"),
+        )
     )
-    return atoms.drop("q"), bonds
+    return atoms, bonds

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from screenloom.functions import lexical
 from screenloom.operators import graph
+from screenloom.plans import inputs
 
 ATOMS = "entity_id BIGINT, atom_id INT, element STRING, charge INT, n_h INT, aromatic BOOLEAN"
 BONDS = "entity_id BIGINT, a INT, b INT, order INT, aromatic BOOLEAN, in_ring BOOLEAN"
@@ -164,6 +165,56 @@ def test_components_of_random_graphs_and_a_hub(spark):
     assert {r.entity_id: r.n_components for r in pieces.collect()} == want
 
 
+@pytest.mark.parametrize("whole", [20_000, 100, 0])
+def test_small_entities_take_no_rounds_and_all_sizes_agree(spark, monkeypatch, whole):
+    rng = random.Random(9)
+    atoms, bonds, want = [(None, i % 4, "C", 0, 0, False) for i in range(150)], [(None, 0, 1, 1, False, False)] * 3, {None: 4}
+    for e in range(40):
+        n = rng.choice([1, 5, 12, 90])
+        links = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(0, n))]
+        label = list(range(n))
+        for _ in range(n):
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+        want[e] = len(set(label))
+        atoms += [(e, i, "C", 0, 0, False) for i in range(n)]
+        bonds += [(e, a, b, 1, False, False) for a, b in links]
+    bonds += [(77, 0, 1, 1, False, False), (0, 0, None, 1, False, False)]
+    monkeypatch.setattr(graph, "WHOLE", whole)
+    written, kinds = graph.stored, []
+    monkeypatch.setattr(graph, "stored", lambda df, kind="table": (kinds.append(kind), written(df, kind))[1])
+    pieces = graph.count_components(spark.createDataFrame(atoms, ATOMS), spark.createDataFrame(bonds, BONDS))
+    assert {r.entity_id: r.n_components for r in pieces.collect()} == want and pieces.count() == len(want)
+    # No table of links is written round by round where every entity is small.
+    assert ("stars" in kinds) == (whole < 20_000)
+
+
+def test_parts_keep_atoms_at_any_line_number(spark, tmp_path):
+    rng = random.Random(2)
+    numbers = [None, -8, -7, -1, 0, *range(1, 16), 20]
+    lines = [(rng.choice([1, 2, 3, None]), rng.choice(numbers), rng.choice([None, 1.0, 7.9, 30.0])) for _ in range(300)]
+    lines += [(9, 1, None), (9, 2, 4.0), (9, 8, 4.0), (9, 9, 4.0)]
+    schema = "l_partkey BIGINT, l_linenumber INT, l_quantity DOUBLE"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    atoms, bonds = inputs.part_graph(spark, str(tmp_path))
+    assert atoms.schema["atom_id"].dataType.simpleString() == "int"
+    total = {}
+    for part, line, quantity in lines:
+        known = total.setdefault((part, line), [0, None])
+        known[0] += 1
+        known[1] = known[1] if quantity is None else (known[1] or 0) + int(quantity)
+    rows = {(r.entity_id, r.atom_id): r for r in atoms.collect()}
+    assert set(rows) == set(total) and atoms.count() == len(total)
+    for at, (count, q) in total.items():
+        element = "N" if at[1] == 7 else "C" if q is None else "O" if q % 9 in (0, 2) else "N" if q % 9 == 1 else "C"
+        got = rows[at]
+        assert (got.element, got.charge) == (element, int(element == "N" and count % 2 == 0))
+        assert got.n_h == (None if q is None else q % 3)
+    ring = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (1, 6), (6, 7)]
+    want = {(p, a, b) for p in (1, 2, 3, 9) for a, b in ring if (p, a) in total and (p, b) in total}
+    assert {(r.entity_id, r.a, r.b) for r in bonds.collect()} == want and bonds.count() == len(want)
+
+
 def has_ring_amine(n, links, nitrogen):
     near = {i: {b for a, b in links if a == i} | {a for a, b in links if b == i} for i in range(n)}
     for v0 in {c for c, x in nitrogen}:
