@@ -58,8 +58,13 @@ def find_hubs(bonds: DataFrame, degree: int | None = None) -> DataFrame:
     """
     if degree is None:
         degree = max(HUB_DEGREE, 2 * bonds.count() // MOST_HUBS)
+    # Such an atom lies in an entity with more than half as many bonds (a bond of an atom with itself counts twice).
+    busy = bonds.groupBy(ENTITY).agg(F.count("*").alias("_n")).filter(F.col("_n") * 2 > degree).select(ENTITY)
+    busy = stored(busy, "busy")
+    within = bonds.select(ENTITY, "a", "b")
+    within = within.limit(0) if busy.isEmpty() else within.join(busy, ENTITY, "left_semi")
     return stored(
-        bond_ends(bonds.select(ENTITY, "a", "b"))
+        bond_ends(within)
         .groupBy(ENTITY, ATOM)
         .agg(F.count("*").alias("_degree"))
         .filter(F.col("_degree") > degree)
@@ -122,7 +127,7 @@ def environment_hashes(
         low, high = halves(F.col("_m"))
         own, far = F.col("_self"), ~F.col("_self")
         state = (
-            ends.join(said, [ENTITY, "other", "_salt"])
+            ends.join(said.hint("merge"), [ENTITY, "other", "_salt"])
             .withColumn("_m", F.when(far, message))
             .groupBy(ENTITY, ATOM)
             .agg(
@@ -152,7 +157,11 @@ def bit_provenance(
     hubs: DataFrame | None = None,
 ) -> DataFrame:
     """(entity_id, bit, center, radius): which neighbourhoods set which bit."""
-    hashes = environment_hashes(atoms, bonds, radius, hubs)
+    return provenance_of(environment_hashes(atoms, bonds, radius, hubs), radius, n_bits)
+
+
+def provenance_of(hashes: DataFrame, radius: int = K.FP_RADIUS, n_bits: int = K.FP_BITS) -> DataFrame:
+    """The same from ``environment_hashes``, which have a row per atom and so are the smaller table to store."""
     rounds = F.array(
         *[
             F.struct((F.col(f"h{r}") % n_bits).cast("int").alias("bit"), F.lit(r).alias("radius"))

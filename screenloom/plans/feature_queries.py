@@ -202,9 +202,9 @@ reached AS (
 
 
 def _asked(provenance: DataFrame) -> DataFrame:
-    lowest = provenance.groupBy("entity_id").agg(F.min("bit").alias("bit"))
-    other = provenance.select("entity_id", (F.col("entity_id") % 2048).cast("int").alias("bit"))
-    return lowest.unionByName(other).distinct()
+    parts = provenance.groupBy("entity_id").agg(F.min("bit").alias("lowest"))
+    other = (F.col("entity_id") % 2048).cast("int")
+    return parts.select("entity_id", F.explode(F.array_distinct(F.array("lowest", other))).alias("bit"))
 
 
 @query(
@@ -220,14 +220,14 @@ def _asked(provenance: DataFrame) -> DataFrame:
 )
 def bit_provenance(spark: SparkSession, sf: str) -> DataFrame:
     atoms, bonds = _graph(spark, sf)
-    provenance = stored(graph.bit_provenance(atoms, bonds), "provenance")
+    provenance = graph.provenance_of(stored(graph.environment_hashes(atoms, bonds), "hashes"))
     return graph.map_bits(_asked(provenance), provenance, bonds)
 
 
 @query("bit_atoms", _SQL_PROVENANCE + _SQL_ASKED + "SELECT entity_id, bit, atom_id FROM reached")
 def bit_atoms(spark: SparkSession, sf: str) -> DataFrame:
     atoms, bonds = _graph(spark, sf)
-    provenance = stored(graph.bit_provenance(atoms, bonds), "provenance")
+    provenance = graph.provenance_of(stored(graph.environment_hashes(atoms, bonds), "hashes"))
     return graph.bit_atoms(_asked(provenance), provenance, bonds)
 
 

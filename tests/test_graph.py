@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from screenloom.functions import lexical
 from screenloom.operators import graph
-from screenloom.plans import inputs
+from screenloom.plans import feature_queries, inputs
 
 ATOMS = "entity_id BIGINT, atom_id INT, element STRING, charge INT, n_h INT, aromatic BOOLEAN"
 BONDS = "entity_id BIGINT, a INT, b INT, order INT, aromatic BOOLEAN, in_ring BOOLEAN"
@@ -268,3 +268,34 @@ def test_hubs_are_found_in_the_plan(spark, monkeypatch):
     monkeypatch.setattr(graph, "HUB_DEGREE", 1)
     monkeypatch.setattr(graph, "MOST_HUBS", 150)
     assert 0 < graph.find_hubs(b).count() <= 150 and rows() == want
+
+
+def test_hubs_by_bonds_with_themselves_are_found(spark):
+    bonds = [(1, 5, 5, 1, False, False)] * 3 + [(2, 0, i, 1, False, False) for i in range(1, 6)] + [(3, 0, i, 1, False, False) for i in range(1, 7)]
+    hubs = graph.find_hubs(spark.createDataFrame(bonds, BONDS), degree=5).collect()
+    assert {(r.entity_id, r.atom_id) for r in hubs} == {(1, 5), (3, 0)}
+
+
+def test_rounds_hold_no_table_of_atoms_whole(spark):
+    atoms, bonds = tables(spark)
+    plan = graph.environment_hashes(atoms, bonds)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+
+
+def test_asked_bits_are_mapped_from_one_row_an_atom(spark, tmp_path, monkeypatch):
+    lines = [(part, slot, 1.0 * (part * slot % 50)) for part in range(1, 30) for slot in range(1, 8) if (part + slot) % 5]
+    spark.createDataFrame(lines, "l_partkey BIGINT, l_linenumber INT, l_quantity DOUBLE").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = {}
+    for module in (graph, feature_queries):
+        written = module.stored
+        keep = lambda df, kind="table", written=written: rows.setdefault(kind, written(df, kind))
+        monkeypatch.setattr(module, "stored", keep)
+    found = feature_queries.bit_atoms(spark, str(tmp_path)).collect()
+    assert rows["hashes"].count() == len(lines) and "provenance" not in rows
+    provenance = graph.provenance_of(rows["hashes"])
+    bits = {}
+    for r in provenance.collect():
+        bits.setdefault(r.entity_id, set()).add(r.bit)
+    asked = feature_queries._asked(provenance).collect()
+    assert len(asked) == len(set(asked)) and {tuple(r) for r in asked} == {(e, b) for e, on in bits.items() for b in (min(on), e % 2048)}
+    assert {(r.entity_id, r.bit) for r in found} == {(e, b) for e, b in map(tuple, asked) if b in bits[e]}
