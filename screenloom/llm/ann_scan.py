@@ -9,7 +9,8 @@ the original vectors.
 
 Each query first scans its nearest list, which gives its threshold; the other probed lists then
 return only what beats it.  Lists are cut into chunks of at most about CHUNK rows, queries likewise, so
-a list with a third of all vectors is scanned by many tasks.  Centroids are fitted on at most SAMPLE
+a list with a third of all vectors is scanned by many tasks.  Blocks meet by a merge join: a query comes once per
+list that it probes, which no estimate foresees, and no block may pass the driver.  Centroids are fitted on at most SAMPLE
 vectors; every vector is indexed.  There are as many lists as the square root of the number of vectors,
 at most LISTS (centroids are broadcast).
 
@@ -120,7 +121,7 @@ def neighbours(
         return df.withColumn("chunk", F.pmod(F.xxhash64(F.lit(3), "row"), chunks[F.col("list")]).cast("int"))
 
     blocks = stored(
-        vectors.packed(chunked(listed, sizes, CHUNK), ["list", "chunk"], "v", width, ["row", "id"], lambda x, r, i: (r, i, x)), "blocks"
+        vectors.packed(chunked(listed, sizes, CHUNK), ["list", "chunk"], "v", width, ["row", "id"], lambda x, r, i: (r, i, vectors.lean(x))), "blocks"
     )
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,18 +133,21 @@ def neighbours(
             least = np.where(enough.any(1), enough.argmax(1) + 1, lists)
             take = np.arange(lists) < np.maximum(least, first)[:, None]
             row, at = np.nonzero(take)
-            own = [b.column(c).take(pa.array(row)) for c in ("row", "id", "v")]
+            own = [b.column(c).take(pa.array(row)) for c in ("row", "id", "v", "least")]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(order[row, at].astype(np.int32)), pa.array(at.astype(np.int32)), *own], ["list", "at", "row", "id", "v"]
+                [pa.array(order[row, at].astype(np.int32)), pa.array(at.astype(np.int32)), *own], ["list", "at", "row", "id", "v", "least"]
             )
 
-    probed = listed.filter("q").select("row", "id", "v").mapInArrow(probe, f"list int, at int, row long, id long, v {kind}")
-    home = _scan(blocks, _asked(probed.filter("at = 0").withColumn("least", F.lit(float("-inf"))), width, chunked), index, k)
+    def probed(asking: DataFrame, least) -> DataFrame:
+        asking = asking.select("row", "id", "v", F.coalesce(least, F.lit(float("-inf"))).alias("least"))
+        return asking.mapInArrow(probe, f"list int, at int, row long, id long, v {kind}, least double")
+
+    asking = listed.filter("q").select("row", "id", "v")
+    home = _scan(blocks, _asked(probed(asking, F.lit(None).cast("double")).filter("at = 0").drop("at"), width, chunked), index, k)
     home = stored(home, "home")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     kth = home.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k).select("query_row", F.col("score").alias("kth"))
-    rest = probed.filter("at > 0").join(kth, F.col("row") == F.col("query_row"), "left")
-    rest = rest.select("list", "row", "id", "v", F.coalesce("kth", F.lit(float("-inf"))).alias("least"))
+    rest = probed(asking.join(kth, F.col("row") == F.col("query_row"), "left"), F.col("kth")).filter("at > 0").drop("at")
     found = home.union(_scan(blocks, _asked(rest, width, chunked), index, k))
     return (
         found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
@@ -204,7 +208,7 @@ def _asked(probed: DataFrame, width: int, chunked) -> DataFrame:
     probed = stored(probed, "probes")
     lists = {r["list"]: r["n"] for r in probed.groupBy("list").agg(F.count("*").alias("n")).collect()}
     counts = np.array([lists.get(i, 0) for i in range(max(lists, default=0) + 1)])
-    asked = vectors.packed(chunked(probed, counts, QUERIES), ["list", "chunk"], "v", width, ["row", "id", "least"], lambda x, r, i, t: (r, i, x, t))
+    asked = vectors.packed(chunked(probed, counts, QUERIES), ["list", "chunk"], "v", width, ["row", "id", "least"], lambda x, r, i, t: (r, i, vectors.lean(x), t))
     return asked.select("list", F.col("chunk").alias("asked"), F.col("blob").alias("queries"))
 
 
@@ -216,11 +220,12 @@ def _scan(blocks: DataFrame, asked: DataFrame, index, k: int) -> DataFrame:
             for blob, queries in zip(batch.column("blob"), batch.column("queries"), strict=True):
                 own, ids, x = pickle.loads(blob.as_py())
                 asking, names, q, least = pickle.loads(queries.as_py())
+                q, x = q.astype(np.float64, copy=False), x.astype(np.float64, copy=False)
                 row, at, score = adaptive_scan(q, asking, least, x, own, index.value.rotation, k, ids)
                 found = [pa.array(c) for c in (asking[row], names[row], ids[at], score)]
                 yield pa.RecordBatch.from_arrays(found, ["query_row", "query_id", "vec_id", "score"])
 
-    pairs = blocks.join(asked, "list").select("blob", "queries", F.xxhash64("list", "chunk", "asked").alias("h"))
+    pairs = blocks.hint("merge").join(asked.hint("merge"), "list").select("blob", "queries", F.xxhash64("list", "chunk", "asked").alias("h"))
     return pairs.repartition("h").select("blob", "queries").mapInArrow(scan, FOUND)
 
 

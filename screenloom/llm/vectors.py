@@ -32,6 +32,13 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def lean(x: np.ndarray) -> np.ndarray:
+    """The same numbers in single precision, where that loses nothing."""
+    with np.errstate(over="ignore"):
+        single = x.astype(np.float32)
+    return single if np.array_equal(single, x) else x
+
+
 def sample(rows: DataFrame, key: str, vector: str, most: int) -> np.ndarray:
     """At most ``most`` vectors, drawn by the hash of their key."""
     drawn = by_hash(rows.withColumn("drawn", F.xxhash64(F.lit(5), key)), "drawn", -(2.0**63), 2.0**63, most).select(vector).toArrow()[vector].combine_chunks()
