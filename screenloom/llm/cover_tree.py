@@ -8,8 +8,10 @@ whose centres and radii lie within the distance links all its points at once; th
 Points that meet are decided by their cosine in double precision.  Pairs of chunks whose roots rule
 each other out are never brought together.
 
-A task holds two chunks.  Tasks return link counts and a forest per pair of trees, never pairs; so a
-group of near copies costs as many rows as it has points.
+Trees lie in the shared folder, a few to a file, and are read from there: a task takes two parts of them and
+walks each pair of their chunks, so no tree is copied to disk for a pair and disk grows with the vectors alone.
+Tasks return link counts and a forest, never pairs; so a group of near copies costs as many rows as it has points.
+Rows are told apart by 128-bit digests of their vectors; a vector travels once to be a point and once to its chunk.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing and stay.
 Shorter vectors are filled up with zeros.  Repeated rows (equal id and vector) are one; a null id is in
@@ -44,6 +46,8 @@ SLACK = 1e-9
 #: The margin of cosines in single precision.
 ROUGH = 1e-5
 ROWS = 1024
+#: Links that a task holds before it reduces them to a forest.
+LINKS = 1 << 18
 #: A level of two trees is walked if its pairs of nodes are fewer than those of points by this factor.
 FEWER = 4
 
@@ -99,8 +103,21 @@ def build(raw: np.ndarray, ids: np.ndarray, weight: np.ndarray) -> Tree:
         np.maximum.at(reach, node, apart[center[node], np.arange(n)])
         levels.append(Level(center, np.array(parents), reach, node))
     levels.append(Level(np.arange(n), levels[-1].node, np.zeros(n), np.arange(n)))
-    single = raw.astype(np.float32)
-    return Tree(ids, weight, single if np.array_equal(single, raw) else raw, levels)
+    return Tree(ids, weight, vectors.lean(raw), levels)
+
+
+def slim(tree: Tree) -> Tree:
+    """To be stored: node numbers as short as they go, and no level of points."""
+    short = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    return tree._replace(levels=[Level(short(v.center), short(v.parent), v.radius, short(v.node)) for v in tree.levels[:-1]])
+
+
+def opened(blob: bytes) -> Tree:
+    """The tree that was stored."""
+    tree = pickle.loads(blob)
+    n = len(tree.ids)
+    levels = [Level(*(x if x.dtype.kind == "f" else x.astype(np.int64) for x in v)) for v in tree.levels]
+    return tree._replace(levels=[*levels, Level(np.arange(n), levels[-1].node, np.zeros(n), np.arange(n))])
 
 
 def dual(a: Tree, b: Tree, same: bool, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -201,28 +218,32 @@ def exact_cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id) for every row with an id."""
+    g = [F.xxhash64(F.lit(seed), F.size("v"), "v").alias(f"g{seed}") for seed in (1, 2)]
     every = rows.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    every = every.withColumn("v", F.when(vectors.usable("v"), F.col("v"))).distinct()
-    every = stored(every, "vectors")
-    points = stored(every.filter("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "points")
-    trees, chunks, width = _trees(points)
-    met = stored(_met(trees, chunks, width, cosine), "met")
+    every = every.select("id", F.when(vectors.usable("v"), F.col("v")).alias("v"))
+    usable = every.filter("v is not null").select("v", *g)
+    every = stored(every.select("id", *[F.when(F.col("v").isNotNull(), x).alias(f"g{i}") for i, x in enumerate(g, 1)]).distinct(), "rows")
+    counted = every.filter("g1 is not null").groupBy("g1", "g2").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
+    one = usable.groupBy("g1", "g2").agg(F.first("v").alias("v"))
+    points = stored(one.hint("merge").join(counted.hint("merge"), ["g1", "g2"]).select("rep", "weight", "g1", "g2", "v"), "points")
+    trees, width = _trees(points)
+    met = stored(_met(trees, cosine), "met")
     counts = met.filter("tail is null").groupBy(F.col("head").alias("rep")).agg(F.sum("n").alias("n"))
     linked = components(met.filter("tail is not null").select(F.col("head").alias("a"), F.col("tail").alias("b")))
     found = (
-        points.join(counts, "rep", "left")
+        points.select("rep", "weight", "g1", "g2").join(counts, "rep", "left")
         .join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
-    )
-    return every.join(found, "v", "left").select(
+        .select("g1", "g2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
+    )
+    return every.join(found, ["g1", "g2"], "left").select(
         F.col("id").alias("vec_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("root", "id").alias("component_id"),
     )
 
 
-def _trees(points: DataFrame) -> tuple[DataFrame, int, int]:
-    """A stored table (chunk, blob), the number of chunks, and the width of the vectors."""
+def _trees(points: DataFrame) -> tuple[DataFrame, int]:
+    """A stored table (chunk, top, radius, blob) of trees with their roots, and the width of the vectors."""
     width = points.agg(F.max(F.size("v"))).first()[0] or 1
     drawn = vectors.sample(points, "rep", "v", SAMPLE)
     centres = _spread(unit(np.pad(drawn, ((0, 0), (0, width - drawn.shape[1]))))) if len(drawn) else np.zeros((1, width))
@@ -234,7 +255,7 @@ def _trees(points: DataFrame) -> tuple[DataFrame, int, int]:
             yield pa.RecordBatch.from_arrays([pa.array(own), *b.columns], ["own", *b.schema.names])
 
     kind = points.schema["v"].dataType.simpleString()
-    near = stored(points.select("rep", "weight", "v").mapInArrow(assign, f"own int, rep long, weight long, v {kind}"), "near")
+    near = points.select("rep", "weight", "v").mapInArrow(assign, f"own int, rep long, weight long, v {kind}")
     sizes = np.zeros(len(centres), np.int64)
     for r in near.groupBy("own").agg(F.count("*").alias("n")).collect():
         sizes[r["own"]] = r["n"]
@@ -242,11 +263,17 @@ def _trees(points: DataFrame) -> tuple[DataFrame, int, int]:
     first = F.array(*[F.lit(int(x)) for x in np.cumsum(parts) - parts])
     many = F.array(*[F.lit(int(max(1, x))) for x in parts])
     chunk = (first[F.col("own")] + F.pmod(F.xxhash64(F.lit(9), "rep"), many[F.col("own")])).cast("int")
-    return (
-        stored(vectors.packed(near.withColumn("chunk", chunk), ["chunk"], "v", width, ["rep", "weight"], build), "trees"),
-        int(parts.sum()),
-        width,
-    )
+    made = vectors.packed(near.withColumn("chunk", chunk), ["chunk"], "v", width, ["rep", "weight"], lambda *x: slim(build(*x)))
+
+    def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trees = [opened(blob.as_py()) for blob in batch.column("blob")]
+            top = [unit(t.raw[t.levels[0].center])[0].tolist() for t in trees]
+            radius = [float(t.levels[0].radius[0]) for t in trees]
+            columns = [batch.column("chunk"), pa.array(top, pa.list_(pa.float64())), pa.array(radius, pa.float64()), batch.column("blob")]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "top", "radius", "blob"])
+
+    return stored(made.mapInArrow(rooted, "chunk int, top array<double>, radius double, blob binary"), "trees"), width
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -259,45 +286,60 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x[picked]
 
 
-def _met(trees: DataFrame, chunks: int, width: int, cosine: float) -> DataFrame:
-    """(head, tail, n): link counts of points where tail is null, forest links elsewhere."""
-    limit = float(np.sqrt(2 - 2 * cosine))
+def _forest(heads: list[np.ndarray], tails: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """As few links as hold the same points together."""
+    ids, at = np.unique(np.concatenate([*heads, *tails]), return_inverse=True)
+    root = roots(at[: len(at) // 2], at[len(at) // 2 :], len(ids))
+    leaf = np.flatnonzero(root != np.arange(len(root)))
+    return [ids[leaf]], [ids[root[leaf]]]
 
-    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
-                tree = pickle.loads(blob.as_py())
-                top = unit(tree.raw[tree.levels[0].center])[0]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk], pa.int32()), pa.array([top.tolist()]), pa.array(tree.levels[0].radius)], ["chunk", "top", "radius"]
-                )
-
-    tops = stored(trees.mapInArrow(summary, "chunk int, top array<double>, radius double"), "tops")
-    # Each chunk names its partners by number; roots that rule each other out end it here.
-    named = tops.withColumn("partner", F.explode(F.sequence(F.col("chunk"), F.lit(max(chunks - 1, 0)))))
-    other = tops.select(F.col("chunk").alias("partner"), F.col("top").alias("top_"), F.col("radius").alias("radius_"))
+
+def _met(trees: DataFrame, cosine: float) -> DataFrame:
+    """(head, tail, n): link counts of points where tail is null, forest links elsewhere.
+
+    A product of the stored trees with themselves: each task reads two parts of the table.  Pairs whose roots rule
+    each other out end before they leave the JVM.
+    """
+    limit = float(np.sqrt(2 - 2 * cosine))
+    other = trees.select(*[F.col(c).alias(f"{c}_") for c in ("chunk", "top", "radius", "blob")])
     squares = F.aggregate(F.zip_with("top", "top_", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t)
-    pairs = named.join(other, "partner").filter(F.sqrt(squares) <= limit + F.col("radius") + F.col("radius_") + SLACK)
-    pairs = pairs.select("chunk", "partner")
+    near = (F.col("chunk") <= F.col("chunk_")) & (F.sqrt(squares) <= limit + F.col("radius") + F.col("radius_") + SLACK)
+    pairs = trees.hint("shuffle_replicate_nl").join(other, near)
+    apart = F.when(F.col("chunk") < F.col("chunk_"), F.col("blob_"))
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Counts of every chunk that the task meets: as many numbers as its two parts have points.
+        counts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        heads, tails, links = [], [], 0
+        at, a = None, None
+
+        def add(chunk: int, ids: np.ndarray, count: np.ndarray) -> None:
+            if chunk in counts:
+                counts[chunk][1][:] += count
+            else:
+                counts[chunk] = ids, count
+
         for batch in batches:
-            for x, y in zip(batch.column("blob"), batch.column("blob_"), strict=True):
-                a = pickle.loads(x.as_py())
-                b = pickle.loads(y.as_py()) if y.is_valid else a
-                count_a, count_b, heads, tails = dual(a, b, not y.is_valid, cosine)
-                ids = a.ids if not y.is_valid else np.append(a.ids, b.ids)
-                counted = np.append(count_a, count_b) if y.is_valid else count_a
-                some = np.flatnonzero(counted)
-                none = pa.nulls(len(some), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), none, pa.array(counted[some])], ["head", "tail", "n"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[heads]), pa.array(ids[tails]), pa.nulls(len(heads), pa.int64())], ["head", "tail", "n"]
-                )
-
-    mine = pairs.join(trees, "chunk")
-    theirs = trees.select(F.col("chunk").alias("partner"), F.col("blob").alias("blob_"))
-    both = mine.filter("chunk < partner").join(theirs, "partner").select("chunk", "partner", "blob", "blob_")
-    alone = mine.filter("chunk = partner").select("chunk", "partner", "blob", F.lit(None).cast("binary").alias("blob_"))
-    dealt = both.union(alone).repartition(F.xxhash64("chunk", "partner"))
-    return dealt.select("blob", "blob_").mapInArrow(traverse, "head long, tail long, n long")
+            for chunk, chunk_, x, y in zip(*(batch.column(c) for c in ("chunk", "chunk_", "blob", "blob_")), strict=True):
+                if at != (at := chunk.as_py()):
+                    a = opened(x.as_py())
+                b = opened(y.as_py()) if y.is_valid else a
+                count_a, count_b, head, tail = dual(a, b, not y.is_valid, cosine)
+                add(at, a.ids, count_a)
+                if y.is_valid:
+                    add(chunk_.as_py(), b.ids, count_b)
+                ids = np.append(a.ids, b.ids) if y.is_valid else a.ids
+                heads.append(ids[head])
+                tails.append(ids[tail])
+                links += len(head)
+                if links > LINKS:
+                    heads, tails = _forest(heads, tails)
+                    links = 0
+        for ids, count in counts.values():
+            some = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.nulls(len(some), pa.int64()), pa.array(count[some])], ["head", "tail", "n"])
+        if heads:
+            heads, tails = _forest(heads, tails)
+            yield pa.RecordBatch.from_arrays([pa.array(heads[0]), pa.array(tails[0]), pa.nulls(len(heads[0]), pa.int64())], ["head", "tail", "n"])
+
+    return pairs.select("chunk", "chunk_", "blob", apart.alias("blob_")).mapInArrow(traverse, "head long, tail long, n long")
