@@ -47,6 +47,8 @@ RECALL = 0.95
 ROUNDS = 8
 CHUNK = 4096
 QUERIES = 1024
+#: Queries of a task that copies them to the lists they probe.
+PROBES = 256
 STRIP = 1024
 COLUMNS = 16
 EPSILON = 2.1
@@ -124,30 +126,32 @@ def neighbours(
         vectors.packed(chunked(listed, sizes, CHUNK), ["list", "chunk"], "v", width, ["row", "id"], lambda x, r, i: (r, i, vectors.lean(x))), "blocks"
     )
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The lists of each query, best first; order 0 is the home list."""
-        for b in batches:
-            x = vectors.matrix(b.column("v"), width)
-            order = np.argsort(-(x @ index.value.centroids.T), axis=1, kind="stable")
-            enough = np.cumsum(index.value.sizes[order], axis=1) > k
-            least = np.where(enough.any(1), enough.argmax(1) + 1, lists)
-            take = np.arange(lists) < np.maximum(least, first)[:, None]
-            row, at = np.nonzero(take)
-            own = [b.column(c).take(pa.array(row)) for c in ("row", "id", "v", "least")]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(order[row, at].astype(np.int32)), pa.array(at.astype(np.int32)), *own], ["list", "at", "row", "id", "v", "least"]
-            )
-
-    def probed(asking: DataFrame, least) -> DataFrame:
+    asking = listed.filter("q").select("row", "id", "v")
+    # A query becomes some hundred rows, so tasks are made by the number of queries and not by their bytes.
+    tasks = max(1, -(-asking.count() // PROBES))
+
+    def probed(asking: DataFrame, least, at_home: bool) -> DataFrame:
+        """A row for the home list of each query, or for each of the others that it probes."""
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = vectors.matrix(b.column("v"), width)
+                order = np.argsort(-(x @ index.value.centroids.T), axis=1, kind="stable")
+                enough = np.cumsum(index.value.sizes[order], axis=1) > k
+                most = np.where(enough.any(1), enough.argmax(1) + 1, lists)
+                at = np.arange(lists)
+                row, at = np.nonzero((at < np.maximum(most, first)[:, None]) & ((at == 0) == at_home))
+                own = [b.column(c).take(pa.array(row)) for c in ("row", "id", "v", "least")]
+                yield pa.RecordBatch.from_arrays([pa.array(order[row, at].astype(np.int32)), *own], ["list", "row", "id", "v", "least"])
+
         asking = asking.select("row", "id", "v", F.coalesce(least, F.lit(float("-inf"))).alias("least"))
-        return asking.mapInArrow(probe, f"list int, at int, row long, id long, v {kind}, least double")
+        return asking.repartition(tasks, "row").mapInArrow(probe, f"list int, row long, id long, v {kind}, least double")
 
-    asking = listed.filter("q").select("row", "id", "v")
-    home = _scan(blocks, _asked(probed(asking, F.lit(None).cast("double")).filter("at = 0").drop("at"), width, chunked), index, k)
+    home = _scan(blocks, _asked(probed(asking, F.lit(None).cast("double"), True), width, chunked), index, k)
     home = stored(home, "home")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     kth = home.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k).select("query_row", F.col("score").alias("kth"))
-    rest = probed(asking.join(kth, F.col("row") == F.col("query_row"), "left"), F.col("kth")).filter("at > 0").drop("at")
+    rest = probed(asking.join(kth, F.col("row") == F.col("query_row"), "left"), F.col("kth"), False)
     found = home.union(_scan(blocks, _asked(rest, width, chunked), index, k))
     return (
         found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
