@@ -158,37 +158,88 @@ def pattern_values(inside: np.ndarray, cover: np.ndarray) -> np.ndarray:
     return (o - z) * out
 
 
+def every_pattern(cover: np.ndarray) -> np.ndarray:
+    """``pattern_values`` of all patterns, (leaf, path feature, 2**d); bit j of a pattern's number is feature j.
+
+    The product over all features is built a feature at a time, once per node; a share is then a weighted sum of such
+    products over the nodes, with weights that depend on the feature and its bit alone: one matrix product per leaf.
+    """
+    n, d = cover.shape
+    node, weight = np.polynomial.legendre.leggauss(-(-d // 2))
+    t, w = ((node + 1) / 2)[None, :, None], (weight / 2)[None, :, None]
+    z = cover[:, None]
+    out_, in_ = (1 - t) * z, t + (1 - t) * z
+    product = np.ones((n, len(node), 1))
+    for j in range(d):
+        product = np.concatenate([product * out_[:, :, j, None], product * in_[:, :, j, None]], 2)
+    shares = [np.matmul((w * gap / factor).transpose(0, 2, 1), product) for gap, factor in ((-z, out_), (1 - z, in_))]
+    for j in range(d):
+        one = shares[1][:, j].reshape(n, -1, 2, 1 << j)[:, :, 1]
+        shares[0][:, j].reshape(n, -1, 2, 1 << j)[:, :, 1] = one
+    return shares[0]
+
+
 def batch_attributions(x: np.ndarray, groups: list[LeafGroup]) -> np.ndarray:
     """Shapley values of a batch, (rows, used features).
 
-    A leaf has at most 2**d patterns: their values are computed once and looked up by row.
+    A leaf has at most 2**d patterns: their values are computed once and looked up by row.  Values are read as their
+    places between the ensemble's thresholds, so an interval is a range of small numbers.
     """
-    columns = np.ascontiguousarray(x.T)
-    out = np.zeros(columns.shape)
-    for group in groups:
+    places, ranges = _places(x, groups)
+    out = np.zeros(x.T.shape)
+    found, code = np.empty(len(x)), np.empty(len(x), np.int64)
+    for group, (low, span) in zip(groups, ranges, strict=True):
         d = group.features.shape[1]
         every = 2**d <= len(x)
         step = max(1, CELLS // (d * 2**d)) if every else 1
         for first in range(0, len(group.value), step):
             chunk = range(first, min(first + step, len(group.value)))
             if every:
-                tables = pattern_values(_bits(np.arange(2**d), d), group.cover[chunk.start : chunk.stop])
+                tables = every_pattern(group.cover[chunk.start : chunk.stop])
             for leaf in chunk:
-                code = np.zeros(len(x), np.int64)
+                short = np.zeros(len(x), np.uint16 if d <= 16 else np.int64)
                 for j, f in enumerate(group.features[leaf]):
-                    within = (columns[f] > group.low[leaf, j]) & (columns[f] <= group.high[leaf, j])
-                    code |= within.astype(np.int64) << j
+                    within = places[f] - low[leaf, j] <= span[leaf, j]
+                    short |= within.astype(short.dtype) << short.dtype.type(j)
+                np.copyto(code, short)
                 if every:
                     table = tables[leaf - first]
                 else:  # only the patterns that occur
-                    seen, code = np.unique(code, return_inverse=True)
+                    seen, where = np.unique(code, return_inverse=True)
+                    np.copyto(code, where)
                     table = pattern_values(_bits(seen, d), group.cover[leaf : leaf + 1])[0]
                 table = table * group.value[leaf]
                 for j, f in enumerate(group.features[leaf]):
-                    out[f] += table[j].take(code)
+                    out[f] += table[j].take(code, out=found, mode="clip")  # all codes are in range
     return out.T
 
 
+def _places(x: np.ndarray, groups: list[LeafGroup]) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+    """Place of every value between the thresholds of its feature, and of each group's intervals the first place and
+    how many more there are.  What lies in no interval (NaN, minus infinity) has a place after all."""
+    features = np.concatenate([g.features.ravel() for g in groups]) if groups else np.zeros(0, np.int64)
+    cut = np.concatenate([np.stack([g.low, g.high]).reshape(2, -1) for g in groups], 1) if groups else np.zeros((2, 0))
+    order = np.argsort(features, kind="stable")
+    bounds = np.searchsorted(features[order], np.arange(x.shape[1] + 1))
+    first, last = np.zeros(len(features), np.int64), np.zeros(len(features), np.int64)
+    places, most = [], 0
+    for f, column in enumerate(x.T):
+        own = order[bounds[f] : bounds[f + 1]]
+        edges = np.unique(cut[:, own])
+        edges = edges[np.isfinite(edges)]
+        first[own] = np.where(cut[0, own] == -np.inf, 0, np.searchsorted(edges, cut[0, own]) + 1)
+        last[own] = np.searchsorted(edges, cut[1, own])
+        places.append(np.where(column > -np.inf, np.searchsorted(edges, column), len(edges) + 1))
+        most = max(most, len(edges) + 1)
+    # Unsigned: what lies below an interval wraps to a number beyond it; an empty one begins beyond all places.
+    kind = np.min_scalar_type(most + 1)
+    empty = last < first
+    first, span = np.where(empty, most + 1, first).astype(kind), np.where(empty, 0, last - first).astype(kind)
+    ends = np.cumsum([g.features.size for g in groups], dtype=np.int64)
+    own = [(slice(e - g.features.size, e), g.features.shape) for g, e in zip(groups, ends, strict=True)]
+    return [p.astype(kind) for p in places], [(first[at].reshape(shape), span[at].reshape(shape)) for at, shape in own]
+
+
 def _bits(codes: np.ndarray, d: int) -> np.ndarray:
     return ((codes[:, None] >> np.arange(d)) & 1).astype(float)
 
@@ -196,8 +247,11 @@ def _bits(codes: np.ndarray, d: int) -> np.ndarray:
 ATTRIBUTION_SCHEMA = "row_id BIGINT, feature_index INT, value DOUBLE, shap DOUBLE"
 
 
-#: Rows that a task explains: no more than a batch, since tables of patterns are made for each batch.
-TASK_ROWS = 2_500
+#: Rows that a task explains, at least and at most.  Tables of patterns are made for each task, so few rows cost as
+#: much as some thousands; more than that take memory.
+TASK_ROWS, MOST_ROWS = 2_500, 16_384
+#: Tasks for each core, where rows allow.
+TASKS_A_CORE = 4
 
 
 def attributions(
@@ -206,31 +260,36 @@ def attributions(
     """Long table of the non-zero attributions of every row.
 
     Only the features that the ensemble uses leave the JVM.  Rows are dealt anew, so that a task's work does not grow
-    with the files they come from.
+    with the files they come from, and a task takes its rows at one go.
     """
     used = sorted({f for leaf in leaves for f in leaf.features}) or [0]
     shared = df.sparkSession.sparkContext.broadcast((np.array(used), grouped(leaves, used)))
 
+    def explained(row_id: list[np.ndarray], x: list[np.ndarray]) -> pd.DataFrame:
+        row_id, x = np.concatenate(row_id), np.concatenate(x)
+        names, groups = shared.value
+        phi = batch_attributions(x, groups)
+        row, col = np.nonzero(phi)
+        columns = {"row_id": row_id[row], "feature_index": names[col].astype(np.int32), "value": x[row, col], "shap": phi[row, col]}
+        return pd.DataFrame(columns)
+
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             if batch.empty:
                 continue
-            x = np.stack(batch["x"].to_numpy())
-            names, groups = shared.value
-            phi = batch_attributions(x, groups)
-            row, col = np.nonzero(phi)
-            yield pd.DataFrame(
-                {
-                    "row_id": batch["row_id"].to_numpy()[row],
-                    "feature_index": names[col].astype(np.int32),
-                    "value": x[row, col],
-                    "shap": phi[row, col],
-                }
-            )
+            if sum(len(r) for r, _ in held) + len(batch) > MOST_ROWS and held:
+                yield explained(*zip(*held, strict=True))
+                held = []
+            held.append((batch["row_id"].to_numpy(), np.stack(batch["x"].to_numpy())))
+        if held:
+            yield explained(*zip(*held, strict=True))
 
     sliced = VectorSlicer(inputCol=features, outputCol="_used", indices=used).transform(df)
     rows = sliced.select(F.col(id_col).cast("bigint").alias("row_id"), vector_to_array("_used").alias("x"))
-    tasks = max(1, -(-df.count() // TASK_ROWS))
+    n = df.count()
+    each = max(TASK_ROWS, min(MOST_ROWS, -(-n // (TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism))))
+    tasks = max(1, -(-n // each))
     return rows.repartition(tasks, "row_id").mapInPandas(explain, ATTRIBUTION_SCHEMA)
 
 
